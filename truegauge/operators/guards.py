@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.functions.timing import bin_of
-from truegauge.operators.ordered import previous, running
+from truegauge.operators.ordered import running
 
 if TYPE_CHECKING:
     from truegauge.operators.splits import Split
@@ -32,36 +32,34 @@ def _violation(guard: str, where: Column, detail: Column) -> list[Column]:
             where.cast("string").alias("subject_of"), detail.cast("string").alias("detail")]
 
 
-def _distance_to_other_side(blocks: DataFrame, context_bins: int = 0) -> DataFrame:
-    """Each train/test block with the free bins since the latest end of the other side.
+def sweep(blocks: DataFrame) -> DataFrame:
+    """Train/test blocks in order of start, each with ``free_bins`` and ``prev_part``.
 
-    A sweep in order of start with a running maximum: no pair of blocks is formed,
-    so thousands of blocks in a session stay linear. Test windows look back
-    ``context_bins - 1`` bins, which is taken off the distance.
+    ``free_bins`` counts the bins since the latest end of the other side before it. A
+    running maximum finds it: no pair of blocks is formed, so a session with
+    thousands of blocks stays linear. Overlapping pairs show at their later block.
     """
-    sides = blocks.where(F.col("part").isin(*SIDES)).withColumn(
-        "_lo", F.greatest(F.col("start_bin") - max(context_bins - 1, 0), F.lit(0)))
-    # Every block opens at its start; the tie order is irrelevant because equal
-    # starts are compared through both directions of the sweep.
-    order = ["_lo", "end_bin", "part"]
-    grouped = sides.groupBy("split_id", "eid", *order).agg(F.min("start_bin").alias("start_bin"))
-    ends = {f"_last_{p}": ("max", F.when(F.col("part") == p, F.col("end_bin"))) for p in SIDES}
-    swept = running(grouped, ["split_id", "eid"], order, bin_of("_lo", CHUNK_BINS), ends,
+    order = ["start_bin", "end_bin", "part"]
+    sides = blocks.where(F.col("part").isin(*SIDES)).groupBy("split_id", "eid", *order).agg(
+        F.lit(True).alias("_seen"))
+    carry = {f"_last_{p}": ("max", F.when(F.col("part") == p, F.col("end_bin"))) for p in SIDES}
+    carry["prev_part"] = ("last", F.col("part"))
+    swept = running(sides, ["split_id", "eid"], order, bin_of("start_bin", CHUNK_BINS), carry,
                     inclusive=False)
     other = F.when(F.col("part") == "train", F.col("_last_test")).otherwise(F.col("_last_train"))
-    return swept.withColumn("free_bins", F.col("_lo") - other - 1).where(other.isNotNull())
+    return swept.withColumn("free_bins", F.col("start_bin") - other - 1)
 
 
-def shared_bins(blocks: DataFrame, context_bins: int) -> DataFrame:
-    """G1: a train and a test window, context included, touch the same bin."""
-    hit = _distance_to_other_side(blocks, context_bins).where("free_bins < 0")
+def shared_bins(swept: DataFrame, context_bins: int) -> DataFrame:
+    """G1: a train and a test window touch the same bin; windows look back context - 1 bins."""
+    hit = swept.where(F.col("free_bins") < max(context_bins - 1, 0))
     return hit.select(*_violation("shared_bins", F.col("eid"),
                                   F.concat_ws(":", "part", "start_bin", "end_bin")))
 
 
-def short_gap(blocks: DataFrame, min_gap_bins: int) -> DataFrame:
+def short_gap(swept: DataFrame, min_gap_bins: int) -> DataFrame:
     """G2: fewer than ``min_gap_bins`` bins between a train and a test block."""
-    hit = _distance_to_other_side(blocks).where(F.col("free_bins") < min_gap_bins)
+    hit = swept.where(F.col("free_bins") < min_gap_bins)
     return hit.select(*_violation("short_gap", F.col("eid"),
                                   F.concat_ws(":", "part", "start_bin", "end_bin", "free_bins")))
 
@@ -126,14 +124,10 @@ def version_mismatch(meta: DataFrame, manifest_version: str, preproc_version: st
                     F.coalesce("preproc_version", F.lit("")))))
 
 
-def interleaved(blocks: DataFrame) -> DataFrame:
+def interleaved(swept: DataFrame) -> DataFrame:
     """G9: more than one change between train and test along a session."""
-    sides = blocks.where(F.col("part").isin(*SIDES)).groupBy(
-        "split_id", "eid", "start_bin", "end_bin", "part").agg(F.lit(1).alias("_one"))
-    seen = previous(sides, ["split_id", "eid"], ["start_bin", "end_bin", "part"],
-                    bin_of("start_bin", CHUNK_BINS), ["part"])
     changed = F.count_if(F.col("prev_part") != F.col("part"))
-    return (seen.groupBy("split_id", "eid").agg(changed.alias("_changes")).where("_changes > 1")
+    return (swept.groupBy("split_id", "eid").agg(changed.alias("_changes")).where("_changes > 1")
             .select(*_violation("interleaved", F.col("eid"), F.col("_changes"))))
 
 
@@ -155,11 +149,12 @@ def split_violations(split: "Split", context_bins: int) -> DataFrame:
     """The guards that apply to the kind of a split, in one table."""
     from truegauge.operators.splits import ANIMAL_KINDS, SESSION_KINDS
     blocks = split.blocks
-    found = [shared_bins(blocks, context_bins),
+    swept = sweep(blocks)
+    found = [shared_bins(swept, context_bins),
              calibration_overlap(blocks, split.kind in ANIMAL_KINDS),
              empty_parts(blocks, split.required_parts)]
     if split.kind == "within_session":
-        found += [short_gap(blocks, max(context_bins, split.min_gap_bins)), interleaved(blocks)]
+        found += [short_gap(swept, max(context_bins, split.min_gap_bins)), interleaved(swept)]
     if split.kind in SESSION_KINDS + ANIMAL_KINDS:
         found.append(shared_sessions(blocks))
     if split.kind in ANIMAL_KINDS:
@@ -176,9 +171,11 @@ def assert_split_valid(split: "Split", context_bins: int) -> None:
     if stale or split.preproc_version != PREPROC_VERSION:
         raise SplitViolation(f"split {split.kind} was made for another version: manifest "
                              f"{split.manifest_version}, preprocessing {split.preproc_version}")
+    found = (split_violations(split, context_bins).groupBy("guard")
+             .agg(F.count(F.lit(1)).alias("n"),
+                  F.min(F.concat_ws(" ", "subject_of", "detail")).alias("first")).collect())
+    if found:
+        shown = "; ".join(f"{v['guard']} x{v['n']}, first {v['first']}" for v in found)
+        raise SplitViolation(f"split {split.kind}: {shown}")
     if split.blocks.isEmpty():
         raise SplitViolation(f"split {split.kind} has no blocks")
-    first = split_violations(split, context_bins).take(5)
-    if first:
-        shown = "; ".join(f"{v['guard']} {v['subject_of']} {v['detail']}" for v in first)
-        raise SplitViolation(f"split {split.kind}: {shown}")

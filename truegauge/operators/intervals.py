@@ -20,13 +20,12 @@ def join_points(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at
     """
     touched = F.sequence(bin_of(start, bucket), bin_of(F.col(end) - 1, bucket))
     right = (intervals.where(F.col(start) < F.col(end))
-             .withColumn("_bucket", F.explode(touched)))
-    left = points.withColumn("_bucket", bin_of(at, bucket))
-    same = [left[k] == right[k] for k in [*keys, "_bucket"]]
-    inside = (left[at] >= right[start]) & (left[at] < right[end])
-    condition = inside
-    for equal in same:
-        condition = condition & equal
-    joined = left.join(right, condition, how)
-    extra = [right[c] for c in right.columns if c not in (*keys, "_bucket")]
-    return joined.select(*[left[c] for c in points.columns], *extra)
+             .withColumn("_bucket", F.explode(touched))).alias("_r")
+    left = points.withColumn("_bucket", bin_of(at, bucket)).alias("_l")
+    condition = ((F.col(f"_l.{at}") >= F.col(f"_r.{start}"))
+                 & (F.col(f"_l.{at}") < F.col(f"_r.{end}")))
+    for key in [*keys, "_bucket"]:
+        condition = condition & (F.col(f"_l.{key}") == F.col(f"_r.{key}"))
+    extra = [c for c in intervals.columns if c not in keys]
+    return left.join(right, condition, how).select(
+        *[F.col(f"_l.{c}") for c in points.columns], *[F.col(f"_r.{c}") for c in extra])

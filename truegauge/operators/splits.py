@@ -49,11 +49,14 @@ class Split:
         assert_split_valid(self, self.context_bins)
 
     def rows(self, df: DataFrame, *parts: str, at: str = "bin") -> DataFrame:
-        """Rows of ``df(eid, <at>, ...)`` inside the given parts, tagged with ``part``."""
+        """Rows of ``df(eid, <at>, ...)`` inside the given parts, tagged with ``part``.
+
+        ``pos`` counts the bins from the start of the block.
+        """
         wanted = self.blocks.where(F.col("part").isin(*parts)).select(
             "eid", "part", "start_bin", (F.col("end_bin") + 1).alias("_stop"))
-        return join_points(df, wanted, ["eid"], at, "start_bin", "_stop",
-                           self.chunk_bins).drop("start_bin", "_stop")
+        found = join_points(df, wanted, ["eid"], at, "start_bin", "_stop", self.chunk_bins)
+        return found.withColumn("pos", F.col(at) - F.col("start_bin")).drop("start_bin", "_stop")
 
     def part_sizes(self, part: str) -> DataFrame:
         return (self.blocks.where(F.col("part") == part).groupBy("eid")

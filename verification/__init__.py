@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("preprocessing", "splitting")
+MODULES = ("preprocessing", "splitting", "modelling")
 
 
 def load_all() -> None:
