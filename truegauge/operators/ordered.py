@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from truegauge.session import cut_lineage
+
 RANK_CHUNKS = 512
 
 
@@ -126,7 +128,8 @@ def cumulative_cells(df: DataFrame, keys: Sequence[str], value: str,
     """
     cells = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in totals.items()])
     if chunk is None:
-        cells = with_value_chunk(cells, value)
+        # The cells are read for the cuts, the chunk sums and the rows: write them once.
+        cells = with_value_chunk(cut_lineage(cells), value)
     else:
         cells = cells.withColumn("_part", chunk)
     return running(cells, keys, [value], F.col("_part"),
@@ -134,12 +137,11 @@ def cumulative_cells(df: DataFrame, keys: Sequence[str], value: str,
                    inclusive=False).drop("_part")
 
 
-def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Rank of ``value`` inside ``keys`` with ties at their mean rank."""
+def rank_cells(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Rank of each distinct non-null ``value`` inside ``keys``, ties at their mean rank."""
     cells = cumulative_cells(df.where(F.col(value).isNotNull()), keys, value,
                              {"_n": F.count(F.lit(1))})
-    ranks = cells.select(*keys, value, (F.col("before__n") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value], "left").select(*df.columns, out)
+    return cells.select(*keys, value, (F.col("before__n") + (F.col("_n") + 1) / 2).alias(out))
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str,

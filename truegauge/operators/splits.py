@@ -154,10 +154,11 @@ def split_config(sessions: DataFrame, config: str) -> DataFrame:
                           F.when(F.col(config) == F.lit(standard[0]), "train").otherwise("test"))
 
 
-def split_three_way(sessions: DataFrame, train: int, calib: int, seed: str) -> DataFrame:
-    """Animals to train / calib / test by a stable hash, percentages ``train`` and ``calib``."""
-    bucket = hash_bucket(100, F.col("subject"), F.lit(seed))
-    return whole_sessions(sessions, "three_way", f"three_way={seed}",
+def split_three_way(sessions: DataFrame, train: int, calib: int, seed: str,
+                    by: str = "subject", kind: str = "three_way") -> DataFrame:
+    """Groups of ``by`` to train / calib / test by a stable hash, in percent."""
+    bucket = hash_bucket(100, F.col(by), F.lit(seed))
+    return whole_sessions(sessions, kind, f"{kind}={seed}",
                           F.when(bucket < train, "train")
                           .when(bucket < train + calib, "calib").otherwise("test"))
 

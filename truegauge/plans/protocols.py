@@ -7,13 +7,17 @@ joins of session-level tables instead of one fit over the data per fold.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from truegauge.functions.hashing import hash_order
 from truegauge.operators.baselines import (gram_columns, merge_grams, solve_ridge,
                                            squared_error)
+from truegauge.operators.ordered import running
 from truegauge.operators.splits import GROUP_OF
 
 
@@ -69,23 +73,26 @@ def all_kinds(grams: DataFrame, trains: DataFrame, tests: DataFrame, d: int, lam
     return reduce(DataFrame.unionByName, found)
 
 
-def scaling_curve(grams: DataFrame, tests: DataFrame, order: Column, sizes: list[int], d: int,
+def scaling_curve(grams: DataFrame, tests: DataFrame, shares: Sequence[float], seed: str, d: int,
                   lam: float) -> DataFrame:
     """Error against the number of training animals, with nested subsets.
 
-    Animals are ranked once by ``order``; the subset of size n holds ranks 1 .. n. The
-    Gram of each subset is a sum over animals with rank <= n.
+    Animals are ranked once in a stable shuffled order; a share takes the first
+    ceil(share * animals) of them. Each animal adds its Gram to every subset it is in.
     """
-    animals = merge_grams(grams, ["subject"], d).withColumn("_o", order)
-    # Only animals that can enter the largest subset are ranked.
-    ranked = animals.orderBy("_o", "subject").limit(max(sizes)).select(
-        "*", F.expr("row_number() over (order by _o, subject)").alias("_rank"))
-    steps = F.explode(F.filter(F.array(*[F.lit(s) for s in sizes]),
-                               lambda s: s >= F.col("_rank"))).alias("n_animals")
+    animals = merge_grams(grams, ["subject"], d).withColumn(
+        "_h", hash_order("subject", F.lit(seed)))
+    chunk = F.conv(F.substring("_h", 1, 3), 16, 10).cast("bigint")
+    ranked = running(animals, [], ["_h", "subject"], chunk,
+                     {"_rank": ("sum", F.lit(1).cast("bigint"))})
+    n = grams.select(F.count_distinct("subject")).head()[0]
+    sizes = sorted({math.ceil(s * n) for s in shares})
+    every = F.array(*[F.lit(s).cast("bigint") for s in sizes])
+    steps = F.explode(F.filter(every, lambda s: s >= F.col("_rank"))).alias("n_animals")
     pooled = merge_grams(ranked.select("*", steps), ["n_animals"], d)
     models = solve_ridge(pooled, ["n_animals"], d, lam)
-    reach = tests.select("*", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("n_animals"))
     coef = [F.col("coef")[i] for i in range(d)]
     sse = squared_error(d, F.col("intercept"), coef)
-    return reach.where("n > 0").join(models, "n_animals").groupBy("n_animals").agg(
+    reach = tests.where("n > 0").select("*", F.explode(every).alias("n_animals"))
+    return reach.join(models, "n_animals").groupBy("n_animals").agg(
         F.count(F.lit(1)).alias("n_sessions"), F.avg(F.sqrt(sse / F.col("n"))).alias("mean_rmse"))

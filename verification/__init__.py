@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("preprocessing", "splitting", "modelling")
+MODULES = ("preprocessing", "splitting", "modelling", "trust", "records")
 
 
 def load_all() -> None:

@@ -259,9 +259,13 @@ def _(t: Tables):
 
 
 @query("h05_per_session", sql("ridge2_each", """
-SELECT eid, round(a, 5) AS intercept, round(b1, 5) AS b1, round(b2, 5) AS b2 FROM ridge2_each"""))
+SELECT eid, round(sqrt(b1 * b1 + b2 * b2), 6) AS coef_norm, round(atan2(b2, b1), 6) AS coef_angle
+FROM ridge2_each"""))
 def _(t: Tables):
-    return coefficients(baselines.fit_per_session(t.within, t.samples, ["x1", "x2"], "y", LAM))
+    models = baselines.fit_per_session(t.within, t.samples, ["x1", "x2"], "y", LAM)
+    b1, b2 = F.col("coef")[0], F.col("coef")[1]
+    return models.select("eid", r6(F.sqrt(b1 * b1 + b2 * b2)).alias("coef_norm"),
+                         r6(F.atan2(b2, b1)).alias("coef_angle"))
 
 
 cte("pairs", ("parted",), """
