@@ -19,6 +19,7 @@ from truegauge.operators.ordered import running, with_halo
 from truegauge.operators.splits import Split
 
 CHUNK_BINS = 4096
+GRID_CHUNK = 256
 
 
 def bin_spikes(spikes: DataFrame, width_us: int) -> DataFrame:
@@ -37,16 +38,33 @@ def bin_multi(spikes: DataFrame, widths_us: Sequence[int]) -> DataFrame:
             .agg(F.sum("n").alias("n")))
 
 
-def grid(units: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every bin of ``spans(eid, n_bins)`` for the units present in that session."""
-    bins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1))
-    return units.select("eid", "unit_id").join(spans.select("eid", "n_bins"), "eid").select(
-        "eid", "unit_id", bins.alias("bin"))
+def whole_spans(sessions: DataFrame) -> DataFrame:
+    """Every session as one span of bins 0 .. n_bins - 1."""
+    return sessions.select("eid", F.lit(0).cast("bigint").alias("start_bin"),
+                           (F.col("n_bins") - 1).alias("end_bin"))
 
 
-def densify(bins: DataFrame, units: DataFrame, spans: DataFrame) -> DataFrame:
-    return (grid(units, spans).join(bins, ["eid", "unit_id", "bin"], "left")
-            .select("eid", "unit_id", "bin", F.coalesce("n", F.lit(0)).alias("n")))
+def densify(bins: DataFrame, units: DataFrame, spans: DataFrame,
+            carry: Sequence[str] = ()) -> DataFrame:
+    """Counts with zeros for every bin of ``spans(eid, start_bin, end_bin, ...)``.
+
+    Units are those present in the session. Only sparse rows are shuffled: they meet
+    one row per (unit, chunk of bins), and the dense rows are made after the join.
+    ``carry`` names columns of ``units`` kept on the dense rows; other columns of
+    ``spans`` (such as part) are kept too.
+    """
+    tags = [c for c in spans.columns if c not in ("eid", "start_bin", "end_bin")]
+    sparse = bins.groupBy("eid", "unit_id", bin_of("bin", GRID_CHUNK).alias("_chunk")).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts"))
+    touched = F.sequence(bin_of("start_bin", GRID_CHUNK), bin_of("end_bin", GRID_CHUNK))
+    chunks = (units.select("eid", "unit_id", *carry).join(spans, "eid")
+              .withColumn("_chunk", F.explode(touched)))
+    first = F.greatest(F.col("start_bin"), F.col("_chunk") * GRID_CHUNK)
+    last = F.least(F.col("end_bin"), (F.col("_chunk") + 1) * GRID_CHUNK - 1)
+    dense = chunks.join(sparse, ["eid", "unit_id", "_chunk"], "left").select(
+        "eid", "unit_id", *carry, *tags, "_counts", F.explode(F.sequence(first, last)).alias("bin"))
+    n = F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0).cast("bigint"))
+    return dense.select("eid", "unit_id", *tags, "bin", n.alias("n"), *carry)
 
 
 def align_mean(behaviour: DataFrame, width_us: int) -> DataFrame:
@@ -89,11 +107,20 @@ def fit_norm(bins: DataFrame, units: DataFrame, split: Split) -> DataFrame:
             .select("eid", "unit_id", mean.alias("mean"), F.sqrt(variance).alias("std"), "n"))
 
 
-def apply_norm(dense: DataFrame, stats: DataFrame) -> DataFrame:
+def _z() -> Column:
+    return F.when(F.col("std") > 0, (F.col("n") - F.col("mean")) / F.col("std")).otherwise(0.0)
+
+
+def apply_norm(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """z-score with stored statistics; a unit without variance becomes 0."""
-    z = F.when(F.col("std") > 0, (F.col("n") - F.col("mean")) / F.col("std")).otherwise(0.0)
-    return (dense.join(stats.select("eid", "unit_id", "mean", "std"), ["eid", "unit_id"])
-            .withColumn("z", z).drop("mean", "std"))
+    return (rows.join(stats.select("eid", "unit_id", "mean", "std"), ["eid", "unit_id"])
+            .withColumn("z", _z()).drop("mean", "std"))
+
+
+def normalized_grid(bins: DataFrame, stats: DataFrame, spans: DataFrame) -> DataFrame:
+    """Dense z-scores of ``spans``; the statistics join per unit, before rows are dense."""
+    units = stats.select("eid", "unit_id", "mean", "std")
+    return densify(bins, units, spans, ("mean", "std")).withColumn("z", _z()).drop("mean", "std")
 
 
 def context_windows(rows: DataFrame, value: str, k: int,

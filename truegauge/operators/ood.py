@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from truegauge.functions.arrays import log_sum_exp, total
 from truegauge.functions.hashing import hash_bucket, hash_order
 from truegauge.operators.ordered import kth_smallest, quantiles
+from truegauge.session import cut_lineage
 
 # Fixed gate levels, from trusted to refused.
 LEVELS = ("high", "moderate", "low", "abstain")
@@ -93,11 +94,11 @@ def knn_distance(test: DataFrame, train: DataFrame, k: int, pivots: int = 16,
                  block_rows: int = 4096, x: str = "x") -> DataFrame:
     """Exact mean distance of each test row to its k nearest train rows.
 
-    Train rows belong to the cell of their nearest pivot. The triangle inequality
-    gives each test row an upper bound for its k-th distance and rules cells out; it is
-    sent only to the others. Cells are cut into blocks of about ``block_rows``, test
-    rows likewise, so that no task gets a whole cell. A block returns k distances per
-    test row, never its pairs.
+    Rows of both sides belong to the cell of their nearest pivot, and a cell is cut into
+    blocks of about ``block_rows``. The triangle inequality bounds the k-th distance of
+    a test row and rules cells out; test blocks meet only the train blocks that are
+    left. A meeting returns k distances per test row, never its pairs, and no task
+    holds more than one block of each side.
     """
     centres = np.stack([np.asarray(r[x], float) for r in
                         train.orderBy(hash_order("eid"), "eid").limit(pivots).select(x).collect()])
@@ -112,40 +113,48 @@ def knn_distance(test: DataFrame, train: DataFrame, k: int, pivots: int = 16,
                 d = to_centres(batch[x])
                 yield batch.assign(cell=d.argmin(axis=1), reach=d.min(axis=1))
 
-    kind = dict(train.dtypes)["eid"]
-    cells = train.select("eid", x).mapInPandas(
-        assign, f"eid {kind}, {x} array<double>, cell int, reach double")
-    # One row per pivot: how many rows, how far, and how far the k-th row is.
-    stats = kth_smallest(cells, ["cell"], "reach", k, "kth").join(
-        cells.groupBy("cell").agg(F.max("reach").alias("radius")), "cell").collect()
-    radius = np.full(len(centres), -np.inf)
-    kth = np.full(len(centres), np.inf)
-    blocks = np.ones(len(centres), dtype=int)
-    for row in stats:
+    def celled(rows: DataFrame) -> DataFrame:
+        kind = dict(rows.dtypes)["eid"]
+        return cut_lineage(rows.select("eid", F.col(x).cast("array<double>").alias(x)).mapInPandas(
+            assign, f"eid {kind}, {x} array<double>, cell int, reach double"))
+
+    def blocked(rows: DataFrame, sizes: np.ndarray) -> Column:
+        n = F.element_at(F.array(*[F.lit(max(1, -(-int(s) // block_rows))) for s in sizes]),
+                         F.col("cell") + 1)
+        return F.concat_ws(":", F.col("cell").cast("string"),
+                           (hash_bucket(1 << 31, "eid") % n).cast("string"))
+
+    # One row per pivot: how many rows, how far the farthest and the k-th are.
+    known, asking = celled(train), celled(test)
+    radius, kth = np.full(len(centres), -np.inf), np.full(len(centres), np.inf)
+    sizes, asked_sizes = np.zeros(len(centres)), np.zeros(len(centres))
+    for row in kth_smallest(known, ["cell"], "reach", k, "kth").join(
+            known.groupBy("cell").agg(F.max("reach").alias("radius")), "cell").collect():
         radius[row["cell"]], kth[row["cell"]] = row["radius"], row["kth"]
-        blocks[row["cell"]] = -(-row["size"] // block_rows)
+        sizes[row["cell"]] = row["size"]
+    for row in asking.groupBy("cell").count().collect():
+        asked_sizes[row["cell"]] = row["count"]
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 d = to_centres(batch[x])
                 # The slack keeps rounding from ruling out a cell at the very bound.
                 bound = (d + kth).min(axis=1, keepdims=True) * (1 + 1e-9) + 1e-9
                 near = (d - radius <= bound) & np.isfinite(radius)
-                pairs = [[f"{c}:{b}" for c in np.flatnonzero(row) for b in range(blocks[c])]
-                         for row in near]
-                yield batch[["eid", x]].assign(block=pairs).explode("block")
-
-    n_slices = max(1, -(-test.count() // block_rows))
-    test_kind = dict(test.dtypes)["eid"]
-    asked = test.select("eid", x).mapInPandas(
-        route, f"eid {test_kind}, {x} array<double>, block string").withColumn(
-        "slice", hash_bucket(n_slices, "eid"))
-    sizes = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    offered = cells.withColumn("block", F.concat_ws(
-        ":", F.col("cell").cast("string"),
-        (hash_bucket(1 << 31, "eid") % sizes).cast("string"))).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_slices - 1).cast("bigint"))))
+                yield batch.assign(near=[np.flatnonzero(row) for row in near])
+
+    kind = dict(test.dtypes)["eid"]
+    offered = known.withColumn("block", blocked(known, sizes)).select("eid", x, "cell", "block")
+    routed = asking.withColumn("own", blocked(asking, asked_sizes)).select("eid", x, "own").mapInPandas(
+        near_cells, f"eid {kind}, {x} array<double>, own string, near array<int>")
+    routed = routed.select("eid", x, "own", F.explode("near").alias("cell"))
+    blocks = offered.select("cell", "block").distinct()
+    asked = routed.join(blocks, "cell")
+    # A train block travels to the test blocks that have a row asking for it.
+    meetings = asked.select("block", "own").distinct()
+    given = offered.join(meetings, "block").select(
+        F.col("block").alias("given_block"), F.col("own").alias("given_to"), x)
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -159,8 +168,9 @@ def knn_distance(test: DataFrame, train: DataFrame, k: int, pivots: int = 16,
         return pd.DataFrame({"eid": np.repeat(left["eid"].to_numpy(), take),
                              "distance": exact.ravel()})
 
-    found = (asked.groupBy("block", "slice").cogroup(offered.groupBy("block", "slice"))
-             .applyInPandas(nearest, f"eid {test_kind}, distance double"))
+    found = (asked.select("block", "own", "eid", x).groupBy("block", "own")
+             .cogroup(given.groupBy("given_block", "given_to"))
+             .applyInPandas(nearest, f"eid {kind}, distance double"))
     # Only the k best per row survive, and Spark drops the others before the shuffle.
     rank = F.row_number().over(W.partitionBy("eid").orderBy("distance"))
     best = found.withColumn("_r", rank).where(F.col("_r") <= k)

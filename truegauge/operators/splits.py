@@ -58,6 +58,11 @@ class Split:
         found = join_points(df, wanted, ["eid"], at, "start_bin", "_stop", self.chunk_bins)
         return found.withColumn("pos", F.col(at) - F.col("start_bin")).drop("start_bin", "_stop")
 
+    def bin_spans(self, *parts: str) -> DataFrame:
+        """The blocks of the given parts as (eid, part, start_bin, end_bin)."""
+        return self.blocks.where(F.col("part").isin(*parts)).select(
+            "eid", "part", "start_bin", "end_bin")
+
     def part_sizes(self, part: str) -> DataFrame:
         return (self.blocks.where(F.col("part") == part).groupBy("eid")
                 .agg(F.sum(F.col("end_bin") - F.col("start_bin") + 1).alias("n_bins")))

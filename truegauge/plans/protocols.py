@@ -19,6 +19,7 @@ from truegauge.operators.baselines import (gram_columns, merge_grams, solve_ridg
                                            squared_error)
 from truegauge.operators.ordered import running
 from truegauge.operators.splits import GROUP_OF
+from truegauge.session import cut_lineage
 
 
 def score_models(models: DataFrame, tests: DataFrame, key: str, d: int, kind: str) -> DataFrame:
@@ -65,7 +66,11 @@ def partition_scores(grams: DataFrame, tests: DataFrame, parts: DataFrame, kind:
 
 def all_kinds(grams: DataFrame, trains: DataFrame, tests: DataFrame, d: int, lam: float,
               partitions: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Scores of every split kind: within, the three leave-one-group-out kinds, partitions."""
+    """Scores of every split kind: within, the three leave-one-group-out kinds, partitions.
+
+    The three Gram tables are written once, so the rows behind them are read once.
+    """
+    grams, trains, tests = cut_lineage(grams), cut_lineage(trains), cut_lineage(tests)
     found = [within_scores(trains, tests, d, lam)]
     found += [held_out_scores(grams, tests, kind, d, lam) for kind in GROUP_OF]
     found += [partition_scores(grams, tests, parts, kind, d, lam)

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans are built in Python calls; recording a call site for each doubles their cost.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from truegauge.functions.hashing import hash_bucket
 from truegauge.operators import binning, splits, targets
+from truegauge.session import cut_lineage
 
 SESSION_US = 6 * 86_400_000_000
 BIN_US = 21_600_000_000
@@ -87,7 +88,7 @@ class Tables:
 
     @cached_property
     def dense(self) -> DataFrame:
-        return binning.densify(self.bins, self.units, self.sessions)
+        return binning.densify(self.bins, self.units, binning.whole_spans(self.sessions))
 
     @cached_property
     def within_blocks(self) -> DataFrame:
@@ -107,13 +108,16 @@ class Tables:
 
     @cached_property
     def samples(self) -> DataFrame:
-        """Regression rows: y = mean behaviour in the bin, x1 = all counts, x2 = views."""
+        """Regression rows: y = mean behaviour in the bin, x1 = all counts, x2 = views.
+
+        Every model reads them, so they are written once.
+        """
         counts = self.bins.groupBy("eid", "bin").agg(
             F.sum("n").cast("double").alias("x1"),
             F.sum(F.when(F.col("unit_id") == "view", F.col("n")).otherwise(0))
             .cast("double").alias("x2"))
         y = self.aligned.select("eid", "bin", F.col("value").alias("y"))
-        return counts.join(y, ["eid", "bin"])
+        return cut_lineage(counts.join(y, ["eid", "bin"]))
 
     @cached_property
     def parted(self) -> DataFrame:

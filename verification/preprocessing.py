@@ -106,7 +106,7 @@ SELECT d.eid, d.unit_id, d.bin, d.n,
 FROM dense d JOIN norm USING (eid, unit_id)"""))
 def _(t: Tables):
     stats = binning.fit_norm(t.bins, t.units, t.within)
-    return rounded(binning.apply_norm(t.dense, stats), "z")
+    return rounded(binning.normalized_grid(t.bins, stats, binning.whole_spans(t.sessions)), "z")
 
 
 @query("c11_context_windows", sql("dense parts24", """
@@ -118,7 +118,7 @@ SELECT eid, unit_id, part, bin AS end_bin, first, total, ctx FROM (
   WINDOW w AS (PARTITION BY eid, unit_id, part ORDER BY bin))
 WHERE first IS NOT NULL"""))
 def _(t: Tables):
-    rows = t.within.rows(t.dense, "train", "test")
+    rows = binning.densify(t.bins, t.units, t.within.bin_spans("train", "test"))
     ctx = binning.context_windows(rows, "n", CONTEXT)
     return ctx.select("eid", "unit_id", "part", "end_bin", F.col("ctx")[0].alias("first"),
                       F.aggregate("ctx", F.lit(0).cast("bigint"), lambda a, v: a + v)
@@ -152,7 +152,7 @@ SELECT d.eid, d.unit_id, count(*) AS n_bins,
 FROM dense d JOIN norm USING (eid, unit_id) WHERE d.bin >= 16 GROUP BY d.eid, d.unit_id"""))
 def _(t: Tables):
     stats = binning.fit_norm(t.bins, t.units, t.within)
-    z = binning.apply_norm(t.within.rows(t.dense, "test"), stats)
+    z = binning.normalized_grid(t.bins, stats, t.within.bin_spans("test"))
     return z.groupBy("eid", "unit_id").agg(F.count(F.lit(1)).alias("n_bins"),
                                            r6(F.avg("z")).alias("mean_z"))
 
