@@ -18,6 +18,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from truegauge.functions.stats import slope
 from truegauge.operators.splits import Split
 
 
@@ -225,12 +226,14 @@ def horizon_line(pairs: DataFrame, predictor: str = "y_now",
     With the default predictor this is the behaviour-only baseline. ``pairs`` has
     part, y_ahead and the predictor; the result is the test pairs with yhat.
     """
-    lines = pairs.where("part = 'train'").groupBy(*keys).agg(
-        F.regr_slope("y_ahead", predictor).alias("_slope"),
-        F.regr_intercept("y_ahead", predictor).alias("_icpt"))
+    known = pairs.where("part = 'train'").where(F.col(predictor).isNotNull())
+    lines = known.groupBy(*keys).agg(
+        F.coalesce(slope("y_ahead", predictor), F.lit(0.0)).alias("_slope"),
+        F.avg("y_ahead").alias("_my"), F.avg(predictor).alias("_mx"))
+    lines = lines.withColumn("_icpt", F.col("_my") - F.col("_slope") * F.col("_mx"))
     return (pairs.where("part = 'test'").join(lines, list(keys))
             .withColumn("yhat", F.col("_icpt") + F.col("_slope") * F.col(predictor))
-            .drop("_slope", "_icpt"))
+            .drop("_slope", "_icpt", "_my", "_mx"))
 
 
 def pool_units(bins: DataFrame, units: DataFrame, regions: Sequence[str],

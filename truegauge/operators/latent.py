@@ -16,6 +16,7 @@ from truegauge.functions.timing import bin_of
 from truegauge.operators.binning import CHUNK_BINS
 from truegauge.operators.ordered import previous, running
 from truegauge.operators.targets import state_epochs
+from truegauge.session import cut_lineage
 
 
 def _assemble(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -88,18 +89,21 @@ def transition_lags(states: DataFrame, events: DataFrame, width_us: int,
 
 
 def state_counts(train: DataFrame, rows: DataFrame, features: Sequence[str],
-                 candidates: Sequence[int], seed: int = 7) -> DataFrame:
+                 candidates: Sequence[int], seed: int = 7, restarts: int = 2) -> DataFrame:
     """Number of states each session prefers by BIC among shared mixtures, per session.
 
     The mixtures are fit once on train rows; a session only sums its log likelihoods, so
     no session is ever gathered in one place.
     """
     d = len(features)
-    fitted = _assemble(train, features)
+    fitted = cut_lineage(_assemble(train, features).select("features"))
     scored = _assemble(rows, features).withColumn("_x", vector_to_array("features"))
     terms = []
     for k in candidates:
-        model = GaussianMixture(k=k, seed=seed, maxIter=50).fit(fitted)
+        # A mixture can get stuck; the best of a few starts is kept.
+        starts = [GaussianMixture(k=k, seed=seed + i, maxIter=60, tol=1e-3).fit(fitted)
+                  for i in range(restarts)]
+        model = max(starts, key=lambda m: m.summary.logLikelihood)
         parts = [_log_density(model.weights[i], g) for i, g in enumerate(model.gaussians)]
         top = F.greatest(*parts) if len(parts) > 1 else parts[0]
         like = top + F.ln(sum((F.exp(p - top) for p in parts), F.lit(0.0)))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from truegauge.functions.stats import correlation
 from truegauge.operators.ordered import cumulative_cells
 
 KEYS = ("eid",)
@@ -90,7 +91,7 @@ def regression(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     sse, n = F.sum(err * err), F.count(F.lit(1))
     return rows.groupBy(*keys).agg(
         n.alias("n"), (1 - F.try_divide(sse, n * F.var_pop("y"))).alias("r2"),
-        F.corr("y", "yhat").alias("pearson"), F.avg(F.abs(err)).alias("mae"),
+        correlation("y", "yhat").alias("pearson"), F.avg(F.abs(err)).alias("mae"),
         F.sqrt(sse / n).alias("rmse"))
 
 

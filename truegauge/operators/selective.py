@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.functions.hashing import hash_bucket
+from truegauge.functions.stats import correlation
 from truegauge.operators.ordered import rank_cells, running, with_value_chunk
 from truegauge.session import cut_lineage
 
@@ -72,7 +73,7 @@ def rank_table(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     ranked = rank_table(rows, [x, y])
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr(f"rk_{x}", f"rk_{y}").alias("rho"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), correlation(f"rk_{x}", f"rk_{y}").alias("rho"))
 
 
 def rank_correlations(rows: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray]:
@@ -80,7 +81,7 @@ def rank_correlations(rows: DataFrame, columns: Sequence[str]) -> tuple[int, np.
     ranked = rank_table(rows, columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     found = ranked.agg(F.count(F.lit(1)).alias("n"), *[
-        F.corr(f"rk_{columns[i]}", f"rk_{columns[j]}").alias(f"c_{i}_{j}") for i, j in pairs]).head()
+        correlation(f"rk_{columns[i]}", f"rk_{columns[j]}").alias(f"c_{i}_{j}") for i, j in pairs]).head()
     matrix = np.eye(len(columns))
     for i, j in pairs:
         value = found[f"c_{i}_{j}"]

@@ -93,7 +93,7 @@ def relative_horizon(model: DataFrame, baseline: DataFrame) -> DataFrame:
     """Error per horizon next to the behaviour-only baseline; ratio < 1 is a gain."""
     a = model.select("horizon", F.col("rmse").alias("model_rmse"))
     b = baseline.select("horizon", F.col("rmse").alias("baseline_rmse"))
-    return a.join(b, "horizon").withColumn("ratio", F.col("model_rmse") / F.col("baseline_rmse"))
+    return a.join(b, "horizon").withColumn("ratio", F.try_divide("model_rmse", "baseline_rmse"))
 
 
 def matrix(scores: DataFrame, kinds: Sequence[str], value: Column | str = "value") -> DataFrame:
