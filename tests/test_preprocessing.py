@@ -151,7 +151,26 @@ def pooled(spark, n_units, order, ghosts=0):
     units += [("a", f"g{u}", "R", False) for u in range(ghosts)]
     return baselines.pool_units(
         spark.createDataFrame(rows, "eid string, unit_id string, bin bigint, n bigint"),
-        spark.createDataFrame(units, "eid string, unit_id string, region string, mask boolean"), ["R", "S"])
+        spark.createDataFrame(units, "eid string, unit_id string, region string, mask boolean"),
+        spark.createDataFrame([("a", 0, 5)], "eid string, start_bin bigint, end_bin bigint"), ["R", "S"])
+
+
+def test_pooled_features_against_numpy(spark):
+    counts = {(u, b): int(planted.draw(u, b) * 3) for u in range(9) for b in range(6)}
+    rows = [("a", f"u{u}", b, n) for (u, b), n in counts.items() if n]
+    df = spark.createDataFrame(rows, "eid string, unit_id string, bin bigint, n bigint")
+    units = spark.createDataFrame([("a", f"u{u}", "RS"[u % 2]) for u in range(9)],
+                                  "eid string, unit_id string, region string")
+    spans = spark.createDataFrame([("a", 0, 6)], "eid string, start_bin bigint, end_bin bigint")
+    pooled_rows = {r["bin"]: r for r in baselines.pool_units(df, units, spans, ["R", "S"]).collect()}
+    vectors = {r["bin"]: r["vector"] for r in binning.population_vectors(df, units, spans).collect()}
+    assert len(pooled_rows) == len(vectors) == 7
+    for b in range(7):
+        v = np.array([counts.get((u, b), 0) for u in range(9)])
+        assert vectors[b] == v.tolist()
+        row = pooled_rows[b]
+        assert np.allclose([row["mean"], row["std"], row["max"], row["sum"], row["mean_R"], row["mean_S"]],
+                           [v.mean(), v.std(), v.max(), v.sum(), v[::2].mean(), v[1::2].mean()])
 
 
 def test_permutation_invariance_variable_unit_count_and_masking(spark):

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.functions.stats import slope
+from truegauge.operators.binning import session_bins
 from truegauge.operators.splits import Split
 
 
@@ -236,20 +237,33 @@ def horizon_line(pairs: DataFrame, predictor: str = "y_now",
             .drop("_slope", "_icpt", "_my", "_mx"))
 
 
-def pool_units(bins: DataFrame, units: DataFrame, regions: Sequence[str],
+def pool_units(bins: DataFrame, units: DataFrame, spans: DataFrame, regions: Sequence[str],
                value: str = "n") -> DataFrame:
     """Features over the unit axis that no order or number of units can change.
 
-    Per bin: mean, deviation, maximum and sum over all units, and mean per region.
-    A unit with ``mask`` false in ``units`` contributes nothing.
+    Per bin of ``spans``: mean, deviation, maximum and sum over all units, and mean per
+    region. They come from the sparse counts and the number of units per session, so
+    silent units are counted without a row each. A unit with ``mask`` false in ``units``
+    contributes nothing.
     """
     live = units.where("mask") if "mask" in units.columns else units
+    is_in = {r: F.col("region") == r for r in regions}
+    sizes = live.groupBy("eid").agg(
+        F.count(F.lit(1)).alias("n_units"),
+        *[F.count_if(is_in[r]).alias(f"_n_{r}") for r in regions])
     rows = bins.join(live.select("eid", "unit_id", "region"), ["eid", "unit_id"])
     v = F.col(value).cast("double")
-    per_region = [F.avg(F.when(F.col("region") == r, v)).alias(f"mean_{r}") for r in regions]
-    return rows.groupBy("eid", "bin").agg(
-        F.count(F.lit(1)).alias("n_units"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-        F.max(v).alias("max"), F.sum(v).alias("sum"), *per_region)
+    sums = rows.groupBy("eid", "bin").agg(
+        F.sum(v).alias("_s"), F.sum(v * v).alias("_q"), F.max(v).alias("_m"),
+        *[F.sum(F.when(is_in[r], v)).alias(f"_s_{r}") for r in regions])
+    zero = F.lit(0.0)
+    s, q, n = F.coalesce("_s", zero), F.coalesce("_q", zero), F.col("n_units")
+    per_region = [F.try_divide(F.coalesce(f"_s_{r}", zero), F.col(f"_n_{r}")).alias(f"mean_{r}")
+                  for r in regions]
+    return (session_bins(spans).join(sizes, "eid").join(sums, ["eid", "bin"], "left")
+            .select("eid", "bin", "n_units", (s / n).alias("mean"),
+                    (F.sqrt(F.greatest(n * q - s * s, zero)) / n).alias("std"),
+                    F.coalesce("_m", zero).alias("max"), s.alias("sum"), *per_region))
 
 
 def invariance_gap(a: DataFrame, b: DataFrame) -> DataFrame:

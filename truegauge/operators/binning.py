@@ -153,11 +153,35 @@ def peri_event(spikes: DataFrame, trials: DataFrame, pre_us: int, post_us: int,
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def population_vectors(dense: DataFrame, value: str = "n") -> DataFrame:
-    """One array per (eid, bin), units in the order of their id (a session's unit count bounds it)."""
-    pairs = F.array_sort(F.collect_list(F.struct("unit_id", value)))
-    return dense.groupBy("eid", "bin").agg(
-        F.transform(pairs, lambda p: p[value]).alias("vector"))
+def population_vectors(bins: DataFrame, units: DataFrame, spans: DataFrame) -> DataFrame:
+    """One array of counts per (eid, bin) of ``spans``, units in the order of their id.
+
+    Sparse counts are gathered per bin (at most one per unit of the session) and the
+    zeros filled in between, so the dense rows never exist as rows.
+    """
+    order = F.row_number().over(W.partitionBy("eid").orderBy("unit_id")) - 1
+    index = units.select("eid", "unit_id", order.alias("_i"))
+    sizes = units.groupBy("eid").agg(F.count(F.lit(1)).cast("int").alias("_size"))
+    pairs = bins.join(index, ["eid", "unit_id"]).groupBy("eid", "bin").agg(
+        F.array_sort(F.collect_list(F.struct("_i", F.col("n").cast("bigint").alias("n"))))
+        .alias("_pairs"))
+
+    def zeros(length: Column) -> Column:
+        return F.array_repeat(F.lit(0).cast("bigint"), length)
+    indices = F.transform("_pairs", lambda p: p["_i"])
+    before = F.concat(F.array(F.lit(-1)), indices)
+    filled = F.flatten(F.zip_with(
+        F.col("_pairs"), F.slice(before, 1, F.size("_pairs")),
+        lambda p, q: F.concat(zeros(p["_i"] - q - 1), F.array(p["n"]))))
+    vector = F.concat(filled, zeros(F.col("_size") - 1 - F.element_at(indices, -1)))
+    rows = session_bins(spans).join(sizes, "eid").join(pairs, ["eid", "bin"], "left")
+    return rows.select("eid", "bin", F.when(F.col("_pairs").isNull(), zeros(F.col("_size")))
+                       .otherwise(vector).alias("vector"))
+
+
+def session_bins(spans: DataFrame) -> DataFrame:
+    """One row per bin of ``spans(eid, start_bin, end_bin)``."""
+    return spans.select("eid", F.explode(F.sequence("start_bin", "end_bin")).alias("bin"))
 
 
 def in_bin(column: str, width_us: int) -> Column:

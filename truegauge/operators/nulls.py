@@ -43,10 +43,13 @@ def null_trialstruct(train: DataFrame, test: DataFrame, features: Sequence[str],
 
 
 def null_p_value(model: DataFrame, null: DataFrame, keys: Sequence[str] = ("eid",),
-                 higher_is_better: bool = True) -> DataFrame:
-    """One-sided p-value (1 + nulls at least as good) / (1 + nulls) and margin to the null mean."""
+                 higher_is_better: bool = True, tie: float = 1e-9) -> DataFrame:
+    """One-sided p-value (1 + nulls at least as good) / (1 + nulls) and margin to the null mean.
+
+    Scores closer than ``tie`` are equal: sums of the same numbers differ in the last bits.
+    """
     a, b = F.col("score"), F.col("null_score")
-    as_good = (b >= a) if higher_is_better else (b <= a)
+    as_good = (b >= a - tie) if higher_is_better else (b <= a + tie)
     margin = (F.max(a) - F.avg(b)) if higher_is_better else (F.avg(b) - F.max(a))
     joined = null.withColumnRenamed("score", "null_score").join(model, list(keys))
     return joined.where(a.isNotNull() & b.isNotNull()).groupBy(*keys).agg(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from truegauge.session import cut_lineage
 
-RANK_CHUNKS = 512
+MIN_CHUNKS = 64
 
 
 def with_halo(df: DataFrame, index: str, chunk: int, back: int = 0, ahead: int = 0) -> DataFrame:
@@ -103,13 +103,16 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
     return packed.select(*df.columns, *[F.col(f"_prev.{c}").alias(prefix + c) for c in columns])
 
 
-def with_value_chunk(df: DataFrame, column: str, chunks: int = RANK_CHUNKS) -> DataFrame:
+def with_value_chunk(df: DataFrame, column: str, chunks: int | None = None) -> DataFrame:
     """Add ``_part``: an order-preserving chunk cut at approximate quantiles of a column.
 
-    The cut points (at most ``chunks``) are read once and frozen, so a recomputed
-    partition falls into the same chunks. Any cut points give exact results; the
-    quantiles only balance the load.
+    There are as many chunks as shuffle partitions by default. Their cut points are
+    read once and frozen, so a recomputed partition falls into the same chunks. Any cut
+    points give exact results; the quantiles only balance the load.
     """
+    if chunks is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = max(MIN_CHUNKS, partitions)
     steps = [i / chunks for i in range(1, chunks)]
     found = df.approxQuantile(column, steps, 1.0 / (2 * chunks))
     cuts = sorted({float(c) for c in found if not math.isnan(c) and not math.isinf(c)})
@@ -175,12 +178,12 @@ def kth_smallest(df: DataFrame, keys: Sequence[str], value: str, k: Column | int
     A k beyond the size gives +infinity, as a conformal quantile requires.
     """
     cells = cumulative_cells(df, keys, value, {"_n": F.count(F.lit(1))})
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    sizes = cells.groupBy(*keys).agg(F.sum("_n").alias("size"))
     rank = k if isinstance(k, Column) else F.lit(k)
     if keys:
         cells = cells.join(sizes, list(keys))
     else:
-        cells = cells.withColumn("size", F.lit(sizes.head()[0]))
+        cells = cells.withColumn("size", F.lit(sizes.head()[0] or 0).cast("bigint"))
     hit = (F.col("before__n") < rank) & (rank <= F.col("before__n") + F.col("_n"))
     return cells.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(hit, F.col(value).cast("double"))),

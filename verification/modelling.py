@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from truegauge.functions.hashing import hash_bucket
-from truegauge.operators import baselines, metrics, nulls, splits, targets
+from truegauge.operators import baselines, binning, metrics, nulls, splits, targets
 from truegauge.plans import contract
 from verification.bindings import BIN_US, Tables
 from verification.ctes import bucket, cte, sql
@@ -314,7 +314,7 @@ FROM dense d JOIN units u USING (eid, unit_id) GROUP BY d.eid, d.bin"""
 
 @query("h07_pool_units", sql("dense units", POOLED))
 def _(t: Tables):
-    pooled = baselines.pool_units(t.dense, t.units, ["v", "c"])
+    pooled = baselines.pool_units(t.bins, t.units, binning.whole_spans(t.sessions), ["v", "c"])
     return rounded(pooled, "mean", "std", "mean_v", "mean_c")
 
 
@@ -323,15 +323,16 @@ SELECT eid, count(DISTINCT bin) AS n_rows, 0::BIGINT AS n_unmatched, 0.0::DOUBLE
 FROM dense GROUP BY eid"""))
 def _(t: Tables):
     """Units renamed, shuffled and joined by masked noise units: nothing may change."""
-    pooled = baselines.pool_units(t.dense, t.units, ["v", "c"])
+    spans = binning.whole_spans(t.sessions)
+    pooled = baselines.pool_units(t.bins, t.units, spans, ["v", "c"])
     renamed = F.md5("unit_id")
     ghost = F.concat(F.lit("ghost"), F.col("unit_id"))
     units = t.units.select("eid", renamed.alias("unit_id"), "region", F.lit(True).alias("mask"))
     ghosts = t.units.select("eid", ghost.alias("unit_id"), "region", F.lit(False).alias("mask"))
-    bins = t.dense.withColumn("unit_id", renamed)
-    noise = t.dense.select("eid", ghost.alias("unit_id"), "bin", (F.col("n") + 1000).alias("n"))
+    bins = t.bins.withColumn("unit_id", renamed)
+    noise = t.bins.select("eid", ghost.alias("unit_id"), "bin", (F.col("n") + 1000).alias("n"))
     shuffled = baselines.pool_units(bins.unionByName(noise).repartition("bin"),
-                                    units.unionByName(ghosts), ["v", "c"])
+                                    units.unionByName(ghosts), spans, ["v", "c"])
     return rounded(baselines.invariance_gap(pooled, shuffled), "max_gap")
 
 
@@ -433,12 +434,12 @@ def _(t: Tables):
 
 @query("k03_null_p_value", sql("shuffle_rmse rmse", """
 SELECT s.eid, count(*) AS n_null,
-       round((1 + count(*) FILTER (WHERE round(s.value, 9) <= round(r.value, 9))) / (1 + count(*)), 6) AS p_value,
-       round(avg(round(s.value, 9)) - any_value(round(r.value, 9)), 6) AS margin
+       round((1 + count(*) FILTER (WHERE s.value <= r.value + 1e-9)) / (1 + count(*)), 6) AS p_value,
+       round(avg(s.value) - any_value(r.value), 6) AS margin
 FROM shuffle_rmse s JOIN rmse r ON r.eid = s.eid GROUP BY s.eid"""))
 def _(t: Tables):
-    model = rmse(preds(t)).select("eid", F.round("value", 9).alias("score"))
-    null = shuffle_rmse(t).select("eid", F.round("value", 9).alias("score"))
+    model = rmse(preds(t)).withColumnRenamed("value", "score")
+    null = shuffle_rmse(t).select("eid", F.col("value").alias("score"))
     return rounded(nulls.null_p_value(model, null, higher_is_better=False), "p_value", "margin")
 
 

@@ -140,7 +140,7 @@ def _(t: Tables):
 SELECT eid, bin, string_agg(n::VARCHAR, ',' ORDER BY unit_id) AS vector, count(*) AS n_units
 FROM dense GROUP BY eid, bin"""))
 def _(t: Tables):
-    vectors = binning.population_vectors(t.dense)
+    vectors = binning.population_vectors(t.bins, t.units, binning.whole_spans(t.sessions))
     return vectors.select("eid", "bin",
                           F.concat_ws(",", F.col("vector").cast("array<string>")).alias("vector"),
                           F.size("vector").cast("bigint").alias("n_units"))
