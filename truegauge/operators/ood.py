@@ -198,21 +198,22 @@ def argmax(logits: Column) -> Column:
 
 # --- metadata ----------------------------------------------------------------------------
 
-def region_distance(units: DataFrame, train: DataFrame) -> DataFrame:
-    """Total variation between a session's region shares and the train shares.
+def profile_distance(units: DataFrame, train: DataFrame, column: str, out: str) -> DataFrame:
+    """Total variation between a session's shares of a unit category and the train shares.
 
-    Regions a session lacks contribute their train share; that part is folded into
-    the constant 1, so sessions are never crossed with the list of regions.
+    The category can be the region or a bin of depth, rate or coordinate. Categories a
+    session lacks contribute their train share; that part is folded into the constant 1,
+    so sessions are never crossed with the list of categories.
     """
-    counts = units.groupBy("eid", "region").agg(F.count(F.lit(1)).alias("n"))
+    counts = units.groupBy("eid", column).agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("eid").agg(F.sum("n").alias("size"))
-    known = units.join(train.select("eid"), "eid", "left_semi").groupBy("region").agg(
+    known = units.join(train.select("eid"), "eid", "left_semi").groupBy(column).agg(
         F.count(F.lit(1)).alias("_n"))
     whole = known.agg(F.sum("_n")).head()[0]
-    shares = known.select("region", (F.col("_n") / F.lit(whole)).alias("_t"))
+    shares = known.select(column, (F.col("_n") / F.lit(whole)).alias("_t"))
     t = F.coalesce("_t", F.lit(0.0))
-    return (counts.join(sizes, "eid").join(shares, "region", "left").groupBy("eid")
-            .agg((0.5 * (1 + F.sum(F.abs(F.col("n") / F.col("size") - t) - t))).alias("region_tv")))
+    return (counts.join(sizes, "eid").join(shares, column, "left").groupBy("eid")
+            .agg((0.5 * (1 + F.sum(F.abs(F.col("n") / F.col("size") - t) - t))).alias(out)))
 
 
 def z_distance(features: DataFrame, train: DataFrame, columns: Sequence[str],
@@ -230,11 +231,13 @@ def z_distance(features: DataFrame, train: DataFrame, columns: Sequence[str],
 
 
 def metadata_distance(units: DataFrame, features: DataFrame, train: DataFrame,
-                      columns: Sequence[str]) -> DataFrame:
-    """Region composition plus numeric session metadata, as one session score."""
-    numeric = z_distance(features, train, columns)
-    return numeric.join(region_distance(units, train), "eid").withColumn(
-        "score", F.col("region_tv") + F.col("z_l2"))
+                      columns: Sequence[str], profiles: Sequence[str] = ("region",)) -> DataFrame:
+    """Composition profiles of the units plus numeric session metadata, as one session score."""
+    out, score = z_distance(features, train, columns), F.col("z_l2")
+    for p in profiles:
+        out = out.join(profile_distance(units, train, p, f"{p}_tv"), "eid")
+        score = score + F.col(f"{p}_tv")
+    return out.withColumn("score", score)
 
 
 # --- sessions and gates ---------------------------------------------------------------

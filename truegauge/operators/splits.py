@@ -205,6 +205,24 @@ def all_splits(sessions: DataFrame, kind: str) -> DataFrame:
                       (F.col("_pool") - F.col("n_test")).alias("n_train"))
 
 
+def all_region_splits(units: DataFrame, min_share: float = 0.2) -> DataFrame:
+    """Leave-one-region-out: per region the sessions that have a unit in it, test or dropped.
+
+    Every other session trains; it is stored as the count ``n_train``. ``units`` has eid,
+    region and passed.
+    """
+    cells = units.groupBy("eid", "region").agg(
+        F.count_if("passed").alias("_in"))
+    passing = units.groupBy("eid").agg(F.count_if("passed").alias("_pass"))
+    share = F.try_divide("_in", "_pass")
+    n = units.select(F.count_distinct("eid")).head()[0]
+    rows = cells.join(passing, "eid").select(
+        "eid", "region", F.when(share >= min_share, "test").otherwise("dropped").alias("part"))
+    sizes = cells.groupBy("region").agg((F.lit(n) - F.count(F.lit(1))).alias("n_train"))
+    return rows.join(sizes, "region").select(
+        F.concat(F.lit("held_out_region="), "region").alias("split_id"), "eid", "part", "n_train")
+
+
 def split_hash(blocks: DataFrame, manifest_version: str,
                preproc_version: str = PREPROC_VERSION) -> DataFrame:
     """One hash per split over its blocks, the manifest version and the preprocessing version.

@@ -31,12 +31,13 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, backend: str,
                  buckets: int = BUCKETS) -> None:
     """Parquet per table, partitioned by a hash bucket of the session.
 
-    Buckets keep the number of folders fixed however many sessions there are. Rows are
-    not shuffled into one writer per bucket, so a very long session is written by all
-    the tasks that hold it; inside a task they are sorted for row-group pruning by eid.
+    Buckets keep the number of folders fixed however many sessions there are. The
+    rebalance hint gathers a bucket for few files but lets Spark split one that a very
+    long session makes too large; rows are sorted for row-group pruning by eid.
     """
     for name, df in tables.items():
         (df.withColumn("session_bucket", hash_bucket(buckets, "eid").cast("int"))
+         .hint("rebalance", "session_bucket")
          .sortWithinPartitions("session_bucket", "eid")
          .write.mode("overwrite").partitionBy("session_bucket").parquet(f"{root}/{backend}/{name}"))
 

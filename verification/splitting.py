@@ -129,6 +129,16 @@ def _(t: Tables):
     return splits.all_splits(t.sessions, "held_out_session")
 
 
+@query("e09_all_regions", sql("order_units", """
+SELECT 'held_out_region=' || region AS split_id, eid,
+       CASE WHEN p > 0 AND n >= 0.2 * p THEN 'test' ELSE 'dropped' END AS part,
+       (SELECT count(DISTINCT eid) FROM order_units) - count(*) OVER (PARTITION BY region) AS n_train
+FROM (SELECT eid, region, count(*) FILTER (WHERE passed) AS n FROM order_units GROUP BY eid, region)
+JOIN (SELECT eid, count(*) FILTER (WHERE passed) AS p FROM order_units GROUP BY eid) USING (eid)"""))
+def _(t: Tables):
+    return splits.all_region_splits(t.order_units)
+
+
 def _hash_sql(source: str, manifest: str) -> str:
     words = ", ".join(
         f"sum(('0x' || substr(d, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(8))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from truegauge.functions.arrays import entropy, softmax
 from truegauge.operators import (baselines, classifiers, latent, ood, selective, splits, targets,
                                  uncertainty)
-from truegauge.operators.metrics import calibration_error
+from truegauge.operators.metrics import calibration_error, set_coverage
+from truegauge.session import cut_lineage
 from verification.bindings import BIN_US, CLASSES, Tables
 from verification.ctes import bucket, cte, sql
 from verification.modelling import LAM, preds, rmse, three_way
@@ -116,6 +117,19 @@ SELECT s AS w FROM (
 WHERE r = ceil((n + 1) * {1 - ALPHA}::DOUBLE)""")
 
 
+@query("m12_set_coverage", sql("probs limit_u4", f"""
+SELECT eid % 10 AS "group", count(*) AS n, round(avg(covered), 6) AS coverage, round(avg(size), 6) AS mean_size,
+       round(avg(covered) - {1 - ALPHA}::DOUBLE, 6) AS miss FROM (
+  SELECT eid, count(*) FILTER (WHERE 1 - p <= q) AS size,
+         max((cls = y AND 1 - p <= q)::INT) AS covered
+  FROM probs, limit_u4 WHERE part = 'test' GROUP BY eid) GROUP BY ALL"""))
+def _(t: Tables):
+    rows = uncertainty.conformal_sets(scored(t).where("part = 'calib'"),
+                                      scored(t).where("part = 'test'"), ALPHA)
+    grouped = rows.withColumn("group", F.col("eid") % 10)
+    return rounded(set_coverage(grouped, 1 - ALPHA, ["group"]), "coverage", "mean_size", "miss")
+
+
 @query("u05_conformal_quantile", sql("cqr_rows cqr_raw cqr_wide", """
 SELECT eid, bin, round(lo - w, 6) AS lo, round(hi + w, 6) AS hi,
        y BETWEEN lo - w AND hi + w AS covered
@@ -283,37 +297,49 @@ def _(t: Tables):
 
 cte("features", ("units",), """
 SELECT eid, count(*) AS n_units, sum(n_spikes)::BIGINT AS n_spikes FROM units GROUP BY eid""")
-cte("region_tv", ("units", "three_way"), """
-SELECT u.eid, 0.5 * (1 + sum(abs(u.n / u.size - coalesce(t.share, 0)) - coalesce(t.share, 0))) AS region_tv
-FROM (SELECT eid, region, count(*) AS n, sum(count(*)) OVER (PARTITION BY eid) AS size
-      FROM units GROUP BY eid, region) u
-LEFT JOIN (SELECT region, count(*) / sum(count(*)) OVER () AS share FROM units
-           WHERE eid IN (SELECT eid FROM three_way WHERE part = 'train') GROUP BY region) t
-  ON t.region = u.region GROUP BY u.eid""")
-cte("metadata", ("features", "region_tv", "three_way"), """
-SELECT f.eid, w.part, n_units, n_spikes, region_tv, z_l2, region_tv + z_l2 AS score FROM (
+cte("rated", ("units",), "SELECT *, least(n_spikes, 4) AS rate FROM units")
+
+
+def _profile(column: str) -> str:
+    return f"""
+SELECT u.eid, 0.5 * (1 + sum(abs(u.n / u.size - coalesce(t.share, 0)) - coalesce(t.share, 0))) AS {column}_tv
+FROM (SELECT eid, {column}, count(*) AS n, sum(count(*)) OVER (PARTITION BY eid) AS size
+      FROM rated GROUP BY eid, {column}) u
+LEFT JOIN (SELECT {column}, count(*) / sum(count(*)) OVER () AS share FROM rated
+           WHERE eid IN (SELECT eid FROM three_way WHERE part = 'train') GROUP BY {column}) t
+  ON t.{column} = u.{column} GROUP BY u.eid"""
+
+
+cte("region_tv", ("rated", "three_way"), _profile("region"))
+cte("rate_tv", ("rated", "three_way"), _profile("rate"))
+cte("metadata", ("features", "region_tv", "rate_tv", "three_way"), """
+SELECT f.eid, w.part, n_units, n_spikes, region_tv, rate_tv, z_l2, z_l2 + region_tv + rate_tv AS score FROM (
   SELECT f.*, sqrt(((n_units - mu) / su) ** 2 + ((n_spikes - ms) / ss) ** 2) AS z_l2
   FROM features f, (SELECT avg(n_units) AS mu, stddev_pop(n_units) AS su, avg(n_spikes) AS ms,
                            stddev_pop(n_spikes) AS ss FROM features
                     WHERE eid IN (SELECT eid FROM three_way WHERE part = 'train'))) f
-JOIN region_tv USING (eid) JOIN three_way w USING (eid)""")
+JOIN region_tv USING (eid) JOIN rate_tv USING (eid) JOIN three_way w USING (eid)""")
 
 
 def metadata(t: Tables):
-    features = t.units.groupBy("eid").agg(F.count(F.lit(1)).alias("n_units"),
-                                          F.sum("n_spikes").alias("n_spikes"))
-    parts = three_way(t).blocks.select("eid", "part")
-    scores = ood.metadata_distance(t.units, features, parts.where("part = 'train'"),
-                                   ["n_units", "n_spikes"])
-    return scores.join(parts, "eid")
+    """Session table of region and firing-rate profiles and counts; read by all trust queries."""
+    if "_metadata" not in t.__dict__:
+        features = t.units.groupBy("eid").agg(F.count(F.lit(1)).alias("n_units"),
+                                              F.sum("n_spikes").alias("n_spikes"))
+        units = t.units.withColumn("rate", F.least(F.col("n_spikes"), F.lit(4)))
+        parts = three_way(t).blocks.select("eid", "part")
+        scores = ood.metadata_distance(units, features, parts.where("part = 'train'"),
+                                       ["n_units", "n_spikes"], ["region", "rate"])
+        t.__dict__["_metadata"] = cut_lineage(scores.join(parts, "eid"))
+    return t.__dict__["_metadata"]
 
 
 @query("o05_metadata_distance", sql("metadata", """
-SELECT eid, part, round(region_tv, 6) AS region_tv, round(z_l2, 6) AS z_l2, round(score, 6) AS score
-FROM metadata"""))
+SELECT eid, part, round(region_tv, 6) AS region_tv, round(rate_tv, 6) AS rate_tv,
+       round(z_l2, 6) AS z_l2, round(score, 6) AS score FROM metadata"""))
 def _(t: Tables):
-    rows = metadata(t).select("eid", "part", "region_tv", "z_l2", "score")
-    return rounded(rows, "region_tv", "z_l2", "score")
+    rows = metadata(t).select("eid", "part", "region_tv", "rate_tv", "z_l2", "score")
+    return rounded(rows, "region_tv", "rate_tv", "z_l2", "score")
 
 
 @query("o06_session_scores", sql("mahalanobis", """
