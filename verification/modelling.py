@@ -46,9 +46,10 @@ def _(t: Tables):
 
 
 @query("m02_auroc_by_language", sql("outcomes", """
-SELECT a.lang, round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END::DOUBLE)
-             / count(*), 6) AS auroc
-FROM outcomes a JOIN outcomes b ON a.lang = b.lang AND a.y = 1 AND b.y = 0 GROUP BY a.lang"""))
+SELECT lang, round(auroc, 6) AS auroc FROM (SELECT DISTINCT lang FROM outcomes) LEFT JOIN (
+  SELECT a.lang, sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END::DOUBLE)
+         / count(*) AS auroc
+  FROM outcomes a JOIN outcomes b ON a.lang = b.lang AND a.y = 1 AND b.y = 0 GROUP BY a.lang) USING (lang)"""))
 def _(t: Tables):
     return rounded(metrics.auroc(t.outcomes, keys=["lang"]), "auroc")
 

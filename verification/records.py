@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from truegauge.operators import baselines, binning, integrity, report, splits
 from truegauge.plans import contract, protocols
-from truegauge.session import shared_folder
+from truegauge.session import cut_lineage, shared_folder
 from truegauge.sources import artifacts, cache, inventory, sessions
 from verification.bindings import BIN_US, N_BINS, Tables
 from verification.ctes import cte, sql
@@ -388,10 +388,15 @@ cte("kind_scores_stiff", _NEEDS, _kind_scores(10.0))
 
 
 def session_grams(t: Tables):
+    if "_grams" in t.__dict__:
+        return t.__dict__["_grams"]
     owner = t.sessions.select("eid", "subject", "lab")
     whole = baselines.gram(t.samples, ["eid"], ["x1"], "y").join(owner, "eid")
     parts = baselines.gram(t.parted, ["eid", "part"], ["x1"], "y").join(owner, "eid")
-    return whole, parts.where("part = 'train'").drop("part"), parts.where("part = 'test'").drop("part")
+    whole, parts = cut_lineage(whole), cut_lineage(parts)
+    t.__dict__["_grams"] = (whole, parts.where("part = 'train'").drop("part"),
+                            parts.where("part = 'test'").drop("part"))
+    return t.__dict__["_grams"]
 
 
 def kind_scores(t: Tables, lam: float = LAM):
