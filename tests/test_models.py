@@ -115,8 +115,7 @@ def run_contract(spark, frame, split, df):
     def rmse(rows, keys=("eid",)):
         return rows.groupBy(*keys).agg(F.sqrt(F.avg(err * err)).alias("value"))
     ridge = baselines.fit_ridge(split, df, ["x1"], "y", LAM).predict(test)
-    sizes = split.part_sizes("test").withColumnRenamed("n_bins", "n_pos")
-    shuffled = rmse(nulls.null_shuffle(ridge, sizes, 10, "t"), ("eid", "rep"))
+    shuffled = rmse(nulls.null_shuffle(ridge, 10, "t"), ("eid", "rep"))
     phase = df.withColumn("phase", F.col("bin") % 6)
     structure = nulls.null_trialstruct(split.rows(phase, "train"), split.rows(phase, "test"), ["phase"])
     own = baselines.fit_per_session(split, df, ["x1"], "y", LAM)
@@ -167,9 +166,9 @@ def test_interleaved_split_inflates_autocorrelated_scores(spark, frame):
 
 
 def test_shuffle_is_a_rotation_by_at_least_one(spark):
-    rows = spark.createDataFrame([("a", i, float(i), 0.0) for i in range(9)],
-                                 "eid string, pos bigint, y double, yhat double")
-    got = nulls.null_shuffle(rows, spark.createDataFrame([("a", 9)], "eid string, n_pos bigint"), 30, "q").toPandas()
+    rows = spark.createDataFrame([("a", i, 9, float(i), 0.0) for i in range(9)],
+                                 "eid string, pos bigint, n_pos bigint, y double, yhat double")
+    got = nulls.null_shuffle(rows, 30, "q").toPandas()
     seen = set()
     for _, rep in got.groupby("rep"):
         shifts = set((rep.pos - rep.y.astype(int)) % 9)

@@ -260,7 +260,7 @@ def pool_units(bins: DataFrame, units: DataFrame, spans: DataFrame, regions: Seq
     s, q, n = F.coalesce("_s", zero), F.coalesce("_q", zero), F.col("n_units")
     per_region = [F.try_divide(F.coalesce(f"_s_{r}", zero), F.col(f"_n_{r}")).alias(f"mean_{r}")
                   for r in regions]
-    return (session_bins(spans).join(sizes, "eid").join(sums, ["eid", "bin"], "left")
+    return (session_bins(spans, sizes).join(sums, ["eid", "bin"], "left")
             .select("eid", "bin", "n_units", (s / n).alias("mean"),
                     (F.sqrt(F.greatest(n * q - s * s, zero)) / n).alias("std"),
                     F.coalesce("_m", zero).alias("max"), s.alias("sum"), *per_region))

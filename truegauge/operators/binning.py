@@ -174,14 +174,19 @@ def population_vectors(bins: DataFrame, units: DataFrame, spans: DataFrame) -> D
         F.col("_pairs"), F.slice(before, 1, F.size("_pairs")),
         lambda p, q: F.concat(zeros(p["_i"] - q - 1), F.array(p["n"]))))
     vector = F.concat(filled, zeros(F.col("_size") - 1 - F.element_at(indices, -1)))
-    rows = session_bins(spans).join(sizes, "eid").join(pairs, ["eid", "bin"], "left")
+    rows = session_bins(spans, sizes).join(pairs, ["eid", "bin"], "left")
     return rows.select("eid", "bin", F.when(F.col("_pairs").isNull(), zeros(F.col("_size")))
                        .otherwise(vector).alias("vector"))
 
 
-def session_bins(spans: DataFrame) -> DataFrame:
-    """One row per bin of ``spans(eid, start_bin, end_bin)``."""
-    return spans.select("eid", F.explode(F.sequence("start_bin", "end_bin")).alias("bin"))
+def session_bins(spans: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row per bin of ``spans(eid, start_bin, end_bin)`` with the columns of ``sizes``.
+
+    The session tables are joined first: no row per bin is shuffled by session.
+    """
+    kept = [c for c in sizes.columns if c != "eid"]
+    return spans.select("eid", "start_bin", "end_bin").join(sizes, "eid").select(
+        "eid", F.explode(F.sequence("start_bin", "end_bin")).alias("bin"), *kept)
 
 
 def in_bin(column: str, width_us: int) -> Column:

@@ -10,17 +10,16 @@ from pyspark.sql import functions as F
 from truegauge.functions.hashing import hash_bucket
 
 
-def null_shuffle(rows: DataFrame, sizes: DataFrame, reps: int, seed: str) -> DataFrame:
-    """Targets rotated against the predictions inside each session, ``reps`` times.
+def null_shuffle(rows: DataFrame, reps: int, seed: str) -> DataFrame:
+    """Targets rotated against the predictions inside the block of each session, ``reps`` times.
 
-    ``rows`` has eid, pos (0-based in the block), y, yhat; ``sizes`` eid, n_pos. The
-    shift is 1 .. n_pos - 1 from a hash, and each target moves to its new position by
-    an equi-join on (eid, pos): a long session is spread over its positions.
+    ``rows`` are scored rows of a split with one block per session: eid, pos, n_pos, y,
+    yhat. The shift is 1 .. n_pos - 1 from a hash, and each target moves to its new
+    position by an equi-join on (eid, pos): a long session is spread over its positions.
     """
     shift = 1 + hash_bucket(1 << 31, "eid", "rep", F.lit(seed)) % (F.col("n_pos") - 1)
     numbers = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
-    moved = (rows.select("eid", "pos", "y").join(sizes.where("n_pos > 1"), "eid")
-             .select("*", numbers)
+    moved = (rows.where("n_pos > 1").select("eid", "pos", "n_pos", "y", numbers)
              .select("eid", F.col("rep").cast("bigint").alias("rep"), "y",
                      F.pmod(F.col("pos") + shift, F.col("n_pos")).alias("pos")))
     return rows.select("eid", "pos", "yhat").join(moved, ["eid", "pos"])

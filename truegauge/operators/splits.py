@@ -51,12 +51,14 @@ class Split:
     def rows(self, df: DataFrame, *parts: str, at: str = "bin") -> DataFrame:
         """Rows of ``df(eid, <at>, ...)`` inside the given parts, tagged with ``part``.
 
-        ``pos`` counts the bins from the start of the block.
+        ``pos`` counts the bins from the start of the block, ``n_pos`` is its length.
         """
         wanted = self.blocks.where(F.col("part").isin(*parts)).select(
             "eid", "part", "start_bin", (F.col("end_bin") + 1).alias("_stop"))
         found = join_points(df, wanted, ["eid"], at, "start_bin", "_stop", self.chunk_bins)
-        return found.withColumn("pos", F.col(at) - F.col("start_bin")).drop("start_bin", "_stop")
+        return (found.withColumn("pos", F.col(at) - F.col("start_bin"))
+                .withColumn("n_pos", F.col("_stop") - F.col("start_bin"))
+                .drop("start_bin", "_stop"))
 
     def bin_spans(self, *parts: str) -> DataFrame:
         """The blocks of the given parts as (eid, part, start_bin, end_bin)."""

@@ -26,7 +26,11 @@ CLASSES = 10
 
 
 class Tables:
-    """Lazy tables of one scale folder."""
+    """Tables of one scale folder.
+
+    Sessions, units, bins and regression rows are what a recording pipeline stores:
+    they are derived from the events once and written, not scanned for again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -58,16 +62,18 @@ class Tables:
     def sessions(self) -> DataFrame:
         owners = self.read("customer").select(F.col("c_custkey").alias("subject"),
                                               F.col("c_nationkey").alias("lab"))
-        return (self.events.select("eid", "subject").distinct().join(owners, "subject")
-                .select("eid", "subject", F.col("lab").cast("bigint").alias("lab"),
-                        F.lit(N_BINS).cast("bigint").alias("n_bins")))
+        return cut_lineage(
+            self.events.select("eid", "subject").distinct().join(owners, "subject")
+            .select("eid", "subject", F.col("lab").cast("bigint").alias("lab"),
+                    F.lit(N_BINS).cast("bigint").alias("n_bins")))
 
     @cached_property
     def units(self) -> DataFrame:
         """Units present in a session; the label stands for the curated quality score."""
-        return (self.events.groupBy("eid", "unit_id").agg(F.count(F.lit(1)).alias("n_spikes"))
-                .withColumn("label", F.when(F.col("unit_id") == "error", 0.0).otherwise(1.0))
-                .withColumn("region", F.substring("unit_id", 1, 1)))
+        return cut_lineage(
+            self.events.groupBy("eid", "unit_id").agg(F.count(F.lit(1)).alias("n_spikes"))
+            .withColumn("label", F.when(F.col("unit_id") == "error", 0.0).otherwise(1.0))
+            .withColumn("region", F.substring("unit_id", 1, 1)))
 
     @cached_property
     def trial_starts(self) -> DataFrame:
@@ -84,7 +90,7 @@ class Tables:
 
     @cached_property
     def bins(self) -> DataFrame:
-        return binning.bin_spikes(self.spikes, BIN_US)
+        return cut_lineage(binning.bin_spikes(self.spikes, BIN_US))
 
     @cached_property
     def dense(self) -> DataFrame:

@@ -65,7 +65,7 @@ def _(t: Tables):
 
 @query("c05_bin_spikes", sql("bins", "SELECT eid, unit_id, bin, n FROM bins"))
 def _(t: Tables):
-    return t.bins
+    return binning.bin_spikes(t.spikes, BIN_US)
 
 
 @query("c06_densify", sql("dense", "SELECT eid, unit_id, bin, n FROM dense"))
