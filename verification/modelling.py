@@ -427,9 +427,9 @@ def structure(t: Tables):
 
 
 @query("k02_null_trialstruct", sql("structure", """
-SELECT eid, bin, round(yhat, 6) AS yhat FROM structure"""))
+SELECT eid, bin, round(ln(yhat), 6) AS log_yhat FROM structure"""))
 def _(t: Tables):
-    return rounded(structure(t).select("eid", "bin", "yhat"), "yhat")
+    return structure(t).select("eid", "bin", r6(F.ln("yhat")).alias("log_yhat"))
 
 
 @query("k03_null_p_value", sql("shuffle_rmse rmse", """
