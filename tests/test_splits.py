@@ -62,6 +62,13 @@ def test_short_gap(spark):
         Split("within_session", close, 2, 4)
 
 
+def test_gap_lasts_two_seconds_even_with_a_short_context(spark):
+    rows = (("train", "a", "m", "l", 0, 9), ("test", "a", "m", "l", 60, 99))
+    Split("within_session", blocks(spark, *rows), 5, bin_width_us=50_000)
+    with pytest.raises(SplitViolation, match="short_gap"):
+        Split("within_session", blocks(spark, *rows), 5, bin_width_us=20_000)
+
+
 def test_test_block_before_train_is_checked_too(spark):
     close = blocks(spark, ("test", "a", "m", "l", 0, 9), ("train", "a", "m", "l", 10, 20))
     with pytest.raises(SplitViolation, match="short_gap"):

@@ -21,6 +21,8 @@ if TYPE_CHECKING:
 
 SIDES = ("train", "test")
 CHUNK_BINS = 65536
+# Fixed rule: behaviour stays correlated longer than the context of a window.
+MIN_GAP_US = 2_000_000
 
 
 class SplitViolation(AssertionError):
@@ -50,6 +52,12 @@ def sweep(blocks: DataFrame) -> DataFrame:
     return swept.withColumn("free_bins", F.col("start_bin") - other - 1)
 
 
+def required_gap(context_bins: int, bin_width_us: int | None) -> int:
+    """max(context, 2 s) in bins; without a bin width only the context is known."""
+    floor = -(-MIN_GAP_US // bin_width_us) if bin_width_us else 0
+    return max(context_bins, floor)
+
+
 def shared_bins(swept: DataFrame, context_bins: int) -> DataFrame:
     """G1: a train and a test window touch the same bin; windows look back context - 1 bins."""
     hit = swept.where(F.col("free_bins") < max(context_bins - 1, 0))
@@ -154,7 +162,8 @@ def split_violations(split: "Split", context_bins: int) -> DataFrame:
              calibration_overlap(blocks, split.kind in ANIMAL_KINDS),
              empty_parts(blocks, split.required_parts)]
     if split.kind == "within_session":
-        found += [short_gap(swept, max(context_bins, split.min_gap_bins)), interleaved(swept)]
+        needed = required_gap(context_bins, split.bin_width_us)
+        found += [short_gap(swept, max(needed, split.min_gap_bins)), interleaved(swept)]
     if split.kind in SESSION_KINDS + ANIMAL_KINDS:
         found.append(shared_sessions(blocks))
     if split.kind in ANIMAL_KINDS:

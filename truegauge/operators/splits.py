@@ -30,6 +30,8 @@ class Split:
 
     The blocks are written out once (a split is an artifact): the guards and every
     later use read that small table instead of deriving it from the events again.
+    With ``bin_width_us`` the gap has to last 2 s at least, besides the context and
+    ``min_gap_bins``.
     """
 
     kind: str
@@ -41,6 +43,7 @@ class Split:
     current_manifest_version: str = "1"
     trials: DataFrame | None = None
     required_parts: tuple[str, ...] = ("train", "test")
+    bin_width_us: int | None = None
     chunk_bins: int = field(default=4096, repr=False)
 
     def __post_init__(self) -> None:

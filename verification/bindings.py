@@ -102,7 +102,7 @@ class Tables:
 
     @cached_property
     def within(self) -> splits.Split:
-        return splits.Split("within_session", self.within_blocks, CONTEXT, GAP)
+        return splits.Split("within_session", self.within_blocks, CONTEXT, GAP, bin_width_us=BIN_US)
 
     @cached_property
     def aligned(self) -> DataFrame:
