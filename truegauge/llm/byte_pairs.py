@@ -241,17 +241,23 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, out: str = "decoded
                   lambda codec, packed: ([codec.decode(x or b"") for x in packed.to_pylist()],))
 
 
-def round_trip(df: DataFrame, text: str, path: str, pattern: str) -> DataFrame:
-    """Add n_tokens, ids_sha256 and decoded_sha256: encoded, then decoded, in one pass."""
-    def work(codec: Codec, texts: pa.Array) -> tuple[list, list, list]:
-        n, ids_hex, data_hex = [], [], []
-        for text in texts.to_pylist():
-            ids = codec.encode(text or "")
-            n.append(len(ids) // 4)
-            ids_hex.append(hashlib.sha256(ids).hexdigest())
-            data_hex.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-        return n, ids_hex, data_hex
-
-    return _added(df, text, _share(df, path, pattern),
-                  {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()),
-                   "decoded_sha256": ("string", pa.string())}, work)
+def round_trip(df: DataFrame, text: str, path: str, pattern: str, ids: str | None = None) -> DataFrame:
+    """Add n_tokens, ids_sha256 and decoded_sha256: encoded, then decoded, in one pass.
+
+    ``ids`` names a column for the packed ids themselves.
+    """
+    def work(codec: Codec, texts: pa.Array) -> tuple[list, ...]:
+        n, ids_hex, data_hex, packed = [], [], [], []
+        for value in texts.to_pylist():
+            coded = codec.encode(value or "")
+            n.append(len(coded) // 4)
+            ids_hex.append(hashlib.sha256(coded).hexdigest())
+            data_hex.append(hashlib.sha256(codec.decode(coded)).hexdigest())
+            packed.append(coded if ids else None)
+        return (n, ids_hex, data_hex, packed)[:4 if ids else 3]
+
+    columns = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()),
+               "decoded_sha256": ("string", pa.string())}
+    if ids:
+        columns[ids] = ("binary", pa.binary())
+    return _added(df, text, _share(df, path, pattern), columns, work)

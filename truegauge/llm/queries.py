@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import (byte_pairs, decontaminate, near_copies, pseudonyms, quality_rules,
-                           secret_scan)
+from truegauge.llm import (archives, byte_pairs, decontaminate, near_copies, pseudonyms, quality_rules,
+                           secret_scan, severity, url_rules)
+from truegauge.llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,29 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+@query
+def op1_archives(spark: SparkSession, folder: str) -> DataFrame:
+    target = new_folder(spark, "archive")
+    archives.write_archive(read(spark, folder, "pages"), target)
+    back = archives.read_archive(spark, target)
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op3_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judged(read(spark, folder, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict", "mined_rule")
+
+
+@query
+def op7_severity(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in a bad one."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    labels = read(spark, folder, "labels").select("doc_id", F.when(F.col("toxic") == 0, 0).otherwise(
+        F.col("toxic") + 1 - F.coalesce("quality", F.lit(0))).alias("grade"))
+    return severity.scored(docs, severity.fit(docs, labels))
+
+
 def count_kind(found: str, kind: str) -> Column:
     return F.size(F.filter(found, lambda f: f["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 

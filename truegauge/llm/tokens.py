@@ -101,6 +101,14 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray
             np.searchsorted(starts, bounds))
 
 
+def beginnings(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first ``size`` lower-cased bytes behind each start."""
+    out = np.full(len(starts), size, dtype=np.uint64)
+    for i in range(size):
+        out = out * np.uint64(_BASE) + _BYTE[_LOWER[data[starts + i]]]
+    return mix(out)
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of every run of k words; a row of fewer, but not none, has one run."""
     step = np.uint64(0xD6E8FEB86659FD93)
