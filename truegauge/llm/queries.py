@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import (archives, byte_pairs, decontaminate, near_copies, pseudonyms, quality_rules,
-                           secret_scan, severity, url_rules)
+from truegauge.llm import (archives, byte_pairs, decontaminate, language_model, near_copies, pseudonyms,
+                           quality_rules, secret_scan, severity, url_rules)
 from truegauge.llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op3_url_rules(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict", "mined_rule")
 
 
+@query
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.scored(read(spark, folder, "documents"), language_model.held_out())
+
+
 @query
 def op7_severity(spark: SparkSession, folder: str) -> DataFrame:
     """Grades: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in a bad one."""

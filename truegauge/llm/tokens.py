@@ -29,6 +29,10 @@ _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(
     0, 1 << 64, 256, dtype=np.uint64)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finishing steps of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
