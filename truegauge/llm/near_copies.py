@@ -10,7 +10,7 @@ is verified with the similarity itself.
 * Document frequencies are counted over all documents, in ``BUCKETS`` hashed cells: a
   statistic of fixed size. A run in fewer than about (runs per text / BUCKETS) of the
   documents weighs like any other rare run, at every corpus size.
-* Equal texts are one node; copies are not expanded. Within a band's bucket the smallest
+* Equal texts are one node; copies are not expanded. Within a band's bucket one leading
   node meets all others (no pairs among them). Where the verified links leave
   several components in a bucket, their nodes meet in blocks of bounded size, compare
   sample vectors, and only likely pairs leave the task to be verified. No pair of
@@ -308,11 +308,15 @@ def near_copy_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "nodes")
     members = nodes.where("bands is not null").select(
         "node", F.posexplode("bands").alias("band", "key"))
-    leaders = members.groupBy("band", "key").agg(
-        F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = written(members.join(leaders, ["band", "key"]).select("band", "key", "node", "leader"),
-                      "buckets")
-    stars = buckets.where("leader < node").select(
+    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(members.join(sizes, ["band", "key"]), "shared")
+    # The text that meets most others leads its buckets: copies agree with what they were made
+    # of more than with one another.
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = shared.select("band", "key", "node").join(met, "node").groupBy("band", "key").agg(
+        F.max(F.struct("met", "node"))["node"].alias("leader"))
+    buckets = written(shared.select("band", "key", "node").join(leaders, ["band", "key"]), "buckets")
+    stars = buckets.where("leader <> node").select(
         F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     wanted = buckets.select("node").distinct().join(nodes, "node").select(
         "node", F.col("id").alias("wanted_id"), F.hex("digest").alias("wanted_digest"))
