@@ -22,7 +22,7 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 SOLID = np.ones(256, dtype=bool)
 SOLID[9:14] = SOLID[32] = False
 
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(
