@@ -1,0 +1,169 @@
+"""Severity and language models against plain Python and held-out rows; the pipeline end to end."""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections import Counter
+from math import log10
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.conftest import SF_TINY
+from tests.llm.conftest import ROWS
+from truegauge.llm import decontaminate, language_model, near_copies, pseudonyms, quality_rules, queries, severity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def tokens_of(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [*WORD.findall(low), "\0end"]
+
+
+def check_scores(rows, docs):
+    held = {k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2 for k, _ in docs}
+    counts = Counter(w for k, t in docs if not held[k] for w in tokens_of(t))
+    n, v = sum(counts.values()), len(counts)
+    want = Counter((k, held[k], len(tokens_of(t)), sum(counts[w] > 0 for w in tokens_of(t)), n,
+                    round(sum(log10((counts[w] + 1) / (n + v + 1)) for w in tokens_of(t)), 4)) for k, t in docs)
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"],
+                    round(r["base_score"], 4)) for r in rows) == want
+    return held
+
+
+def test_language_model_on_documents(spark):
+    docs = [(r["doc_id"], r["text"]) for r in queries.read(spark, SF_TINY, "documents").collect()]
+    rows = queries.op6_language_model(spark, SF_TINY).collect()
+    held = check_scores(rows, docs)
+    unseen = [r for r in rows if held[r["doc_id"]]]
+    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+
+
+def test_language_model_on_edge_rows(edge, nothing):
+    rows = language_model.scored(edge, language_model.held_out(), chunk_bytes=2000).collect()
+    check_scores(rows, [(r[0], r[1]) for r in ROWS])
+    assert language_model.scored(nothing, language_model.held_out()).count() == 0
+    alone = language_model.scored(edge, F.lit(True)).collect()
+    assert all(abs(r["score"]) < 1e-9 for r in alone)  # nothing learnt: the unknown token is certain
+
+
+def part_of(counts, discounts=(0.6, 0.5, 0.4)):
+    word = np.sort(np.array([c[0] for c in counts], np.uint64))
+    rows = sorted(counts)
+    words, first, context, _ = language_model.cells_of(word, np.array([c[1] for c in rows]))
+    return language_model.Part(language_model.pack(words, first.astype(np.int64), context.astype(np.int64),
+                                                   np.array([c[2] for c in rows], np.int64)), discounts, 3)
+
+
+def test_seating_stays_consistent_and_sums_to_one():
+    rng = np.random.default_rng(5)
+    counts = [(w, c, int(rng.integers(1, 9))) for w in range(1, 40) for c in rng.choice(600, 6, replace=False)]
+    part, base = part_of(counts), 1 / 40
+    for _ in range(20):
+        sums = part.sums()
+        part.set_totals([(sums[2 * i], sums[2 * i + 1]) for i in range(3)])
+        part.sweep(base)
+        for level, seats in enumerate(part.levels):
+            assert (seats.c >= seats.t).all() and ((seats.c > 0) == (seats.t > 0)).all()
+            assert (np.bincount(seats.cell, seats.size, len(seats.c)) == seats.c).all()
+            alive = seats.size > 0
+            assert (np.bincount(seats.cell[alive], minlength=len(seats.c)) == seats.t).all()
+        low, middle, root = part.levels
+        assert (np.bincount(part.up, low.t, len(middle.c)) == middle.c).all()
+        assert (np.bincount(part.top, middle.t, len(root.c)) == root.c).all()
+    assert low.c.sum() == sum(c[2] for c in counts)
+    sums = part.sums()
+    part.set_totals([(sums[2 * i], sums[2 * i + 1]) for i in range(3)])
+    for context in (counts[0][1], 40000):
+        n = len(part.words)
+        p, _ = part.asked(part.words, np.arange(n + 1), np.full(n, context), base)
+        unknown, _ = part.asked(np.array([10 ** 9], np.uint64), np.array([0, 1]), np.array([context]), base)
+        assert abs(p.sum() + unknown[0] - 1) < 1e-9
+
+
+def test_sampler_meets_the_exact_posterior():
+    """One cell of three customers under a fixed parent: P(tables) by enumeration."""
+    d, theta, base = 0.5, 1.0, 0.2
+    seats = language_model.Seats(np.array([0]), np.array([3]), d, (np.zeros(1), np.zeros(1)), np.random.default_rng(1))
+    found = Counter()
+    for _ in range(6000):
+        seats.resat(np.array([base]))
+        found[int(seats.t[0])] += 1
+    rise = lambda t: np.prod([theta + d * i for i in range(t)]) * base ** t
+    weight = {1: rise(1) * (1 - d) * (2 - d), 2: rise(2) * 3 * (1 - d), 3: rise(3)}
+    for t, w in weight.items():
+        assert abs(found[t] / 6000 - w / sum(weight.values())) < 0.03
+
+
+def test_severity_grades(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = queries.read(spark, folder, "documents")
+    labels = queries.read(spark, folder, "labels").where("quality is not null")
+    graded = labels.select("doc_id", F.when(F.col("toxic") == 0, 0).otherwise(1 + F.col("quality")).alias("grade"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = severity.fit(docs, graded.where(~held))
+    assert model.thresholds[0] < model.thresholds[1]
+    out = severity.scored(docs.join(graded.where(held), "doc_id").select("doc_id", "text", F.col("grade").alias("true")),
+                          model).join(graded.withColumnRenamed("grade", "true"), "doc_id").collect()
+    bad = [r for r in out if r["true"] > 0]
+    assert np.mean([r["toxic"] for r in bad]) > 0.8
+    assert np.mean([r["toxic"] for r in out if r["true"] == 0]) < 0.01
+    mean = [np.mean([r["severity"] for r in out if r["true"] == g]) for g in range(3)]
+    assert mean[0] < 0.1 < mean[1]
+
+
+def test_thresholds_share_weights():
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, 4)) < 0.4
+    z = x @ np.array([2.0, -1.0, 0.0, 1.0]) + rng.logistic(size=3000)
+    grades = (z > 0.5).astype(int) + (z > 2.0)
+    rows, cols = np.nonzero(x)
+    w, t = severity.fit_thresholds(rows, cols, grades, 4, 3, penalty=0.0, steps=1500)
+    assert np.allclose(w, [2, -1, 0, 1], atol=0.3) and np.allclose(t, [0.5, 2.0], atol=0.3)
+
+
+def test_severity_of_edge_rows(spark, edge, nothing):
+    labels = spark.createDataFrame([(1, 0), (4, 2), (8, 1), (None, 1), (9, None), (99, 0)], "doc_id bigint, grade int")
+    model = severity.fit(edge, labels)
+    assert severity.scored(edge, model).count() == len(ROWS)
+    assert severity.scored(nothing, severity.fit(nothing, labels)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs, out = queries.read(spark, SF_TINY, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = out[name] = stage(spark, docs, SF_TINY).cache()
+    return out
+
+
+def test_pipeline_stages(spark, stages):
+    docs = queries.read(spark, SF_TINY, "documents")
+    kept = stages["quality rules"]
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    rules = list(quality_rules.BASE + quality_rules.EXTRA)
+    assert kept.where(quality_rules.rejected_by(F.col("text"), rules).isNotNull()).count() == 0
+    single = stages["near duplicates"]
+    assert single.columns == docs.columns
+    rows, _ = near_copies.near_copy_classes(kept)
+    assert {r["doc_id"] for r in single.collect()} == {r["class_id"] for r in rows.collect()}
+    clean = stages["benchmark decontamination"]
+    items = queries.read(spark, SF_TINY, "benchmark")
+    assert clean.columns == docs.columns
+    assert decontaminate.hits(clean, "text", items).where("size(hits) > 0").count() == 0
+    assert clean.where("n_chars <> length(text)").count() == 0
+    private = stages["personal data"]
+    assert private.columns == docs.columns and private.count() == clean.count()
+    before = {r["doc_id"]: r for r in pseudonyms.with_pseudonyms(clean, found="f").collect()}
+    assert all(before[r["doc_id"]]["text"] == r["text"] and len(r["text"]) == r["n_chars"] for r in private.collect())
+    last = stages["byte pairs"].collect()
+    assert len(last) == private.count() and all(len(r["ids"]) == 4 * r["n_tokens"] for r in last)
+
+
+def test_pipeline_run(spark, stages):
+    ran = {(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SF_TINY).collect()}
+    assert ran == {(r["doc_id"], r["ids_sha256"]) for r in stages["byte pairs"].collect()}

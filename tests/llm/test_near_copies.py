@@ -27,7 +27,7 @@ def brute_classes(texts: list[str]) -> list[int]:
 
     bags = [runs(t) for t in texts]
     df, n = Counter(g for b in bags for g in b), sum(map(bool, bags))
-    weights = [{g: c * log(1 + n / df[g]) for g, c in b.items()} for b in bags]
+    weights = [{g: c * min(1.0, log(1 + n / df[g]) / log(4)) for g, c in b.items()} for b in bags]
     root = list(range(len(texts)))
 
     def find(x):
@@ -76,6 +76,22 @@ def test_mixed_bucket_loses_no_link(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_large_group_holds_together(spark):
+    """Two thirds of the rows are near copies of one text and no near copies of each other."""
+    base, texts = [f"w{i}" for i in range(300)], []
+    for k in range(80):
+        words = list(base)
+        for j in range(4):
+            words[(k * 37 + j * 71) % 300] = f"c{k}x{j}"
+        texts.append(" ".join(words))
+    texts = texts[:40] + [" ".join(base)] + texts[40:] + [" ".join(f"o{k}x{i}" for i in range(300)) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows, _ = near_copies.near_copy_classes(docs)
+    got = {r["id"]: r["class_id"] for r in rows.collect()}
+    want = brute_classes(texts)
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_edge_rows(edge, nothing):
     rows, classes = near_copies.near_copy_classes(edge)
     got = rows.collect()

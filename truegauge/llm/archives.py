@@ -146,7 +146,8 @@ class _Files:
             name = f"part-{shard:06d}-{self.part:05d}.warc.gz"
             self.entry = {"name": name, "temporary": f"{self.temporary.removeprefix(self.root)}/{name}",
                           "records": 0, "bytes": 0, "first_key": key, "last_key": key}
-            self.hash, self.out = hashlib.sha256(), self.system.open_output_stream(f"{self.temporary}/{name}")
+            self.hash, self.out = hashlib.sha256(), self.system.open_output_stream(
+                f"{self.temporary}/{name}", compression=None)
         self.out.write(member)
         self.hash.update(member)
         self.entry["records"] += 1
@@ -261,7 +262,7 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) ->
         for batch in batches:
             for name in batch["name"].to_pylist():
                 rows, held = [], 0
-                with system.open_input_stream(f"{root}/{name}") as stream:
+                with system.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for record in _members(stream):
                         rows.append(parse_record(record) | {"file": name})
                         if not with_payload:

@@ -8,8 +8,8 @@ weighted Jaccard similarity; bands of samples give candidates, and every candida
 is verified with the similarity itself.
 
 * Document frequencies are counted over all documents, in ``BUCKETS`` hashed cells: a
-  statistic of fixed size. A run in fewer than about (runs per text / BUCKETS) of the
-  documents weighs like any other rare run, at every corpus size.
+  statistic of fixed size that resolves shares of about (runs per text / BUCKETS) at every
+  corpus size. Only runs in over a third of the documents weigh less (see ``rarity``).
 * Equal texts are one node; copies are not expanded. Within a band's bucket one leading
   node meets all others (no pairs among them). Where the verified links leave
   several components in a bucket, their nodes meet in blocks of bounded size, compare
@@ -39,6 +39,8 @@ BUCKETS = 1 << 20
 ROWS, BANDS = 4, 14
 WORDS = 5
 SIMILARITY = 0.8
+#: One group of copies may hold a third of all rows; runs more frequent than that weigh less.
+COMMON = 3.0
 #: Share of equal samples below which a pair of a mixed bucket is not verified: 3.4 standard
 #: deviations below 0.8.
 LIKELY = 0.62
@@ -115,8 +117,13 @@ def document_frequencies(texts: DataFrame, words: int) -> tuple[np.ndarray, int]
 
 
 def rarity(frequencies: np.ndarray, documents: int) -> np.ndarray:
-    """Inverse document frequency per cell: ln(1 + documents / frequency)."""
-    return np.log1p(documents / np.maximum(frequencies, 1)).astype(np.float32)
+    """Saturating inverse document frequency per cell: ln(1 + documents / frequency), 1 at most.
+
+    Runs in up to a ``COMMON``-th of the documents all weigh 1. A steeper weight would let a
+    large group of near copies fall apart: what its members share is frequent because of
+    them, and what tells them apart is rare.
+    """
+    return np.minimum(np.log1p(documents / np.maximum(frequencies, 1)) / np.log1p(COMMON), 1.0).astype(np.float32)
 
 
 def samples(rows: np.ndarray, runs: np.ndarray, weights: np.ndarray, sampler: Sampler

@@ -47,10 +47,10 @@ def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_severity(spark: SparkSession, folder: str) -> DataFrame:
-    """Grades: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in a bad one."""
+    """Grades: 0 not toxic, 1 toxic in a text of bad quality, 2 toxic in a good one, which more will read."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
     labels = read(spark, folder, "labels").select("doc_id", F.when(F.col("toxic") == 0, 0).otherwise(
-        F.col("toxic") + 1 - F.coalesce("quality", F.lit(0))).alias("grade"))
+        F.col("toxic") + F.coalesce("quality", F.lit(0))).alias("grade"))
     return severity.scored(docs, severity.fit(docs, labels))
 
 

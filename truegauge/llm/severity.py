@@ -25,15 +25,17 @@ from pyspark.sql import functions as F
 from truegauge.llm import tokens
 from truegauge.session import ship_package
 
-CELL_BITS = 20
+CELL_BITS = 22
 CELLS = 1 << CELL_BITS
-SAMPLE = 6000
+SAMPLE = 8000
 FEATURES = 8192
 #: Bytes of word beginnings.
 STEMS = (5, 6, 7, 8, 9)
 LEAST_TEXTS = 5
+#: Standard errors by which a cell's share of texts must differ between lowest and other grades.
+LEAST_SCORE = 5.0
 PENALTY = 2e-4
-STEPS = 400
+STEPS = 1200
 _PIECE = 1 << 21
 
 
@@ -71,8 +73,14 @@ def fit_thresholds(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_
     share = np.array([(grades > j).mean() for j in range(cuts)]).clip(1e-4, 1 - 1e-4)
     w, t = np.zeros(n_columns), -np.log(share / (1 - share))
     vw, vt = w.copy(), t.copy()
-    # Half the largest eigenvalue of the mean square is bounded by the texts' mean feature count.
-    rate = 1.0 / (0.5 * max(1.0, np.bincount(rows, minlength=n).mean()) ** 0.5 + 1.0)
+    # The loss bends at most half as much as the squares of the features with a constant one.
+    v, constant = np.ones(n_columns), 1.0
+    for _ in range(30):
+        z = np.bincount(rows, v[columns], n) + constant
+        v, constant = np.bincount(columns, z[rows], n_columns) / n, z.mean()
+        size = float(np.sqrt((v ** 2).sum() + constant ** 2))
+        v, constant = v / size, constant / size
+    rate = 1.0 / (0.6 * size)
     low, high = grades - 1, grades
     for step in range(steps):
         z = np.bincount(rows, vw[columns], n)
@@ -84,8 +92,8 @@ def fit_thresholds(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_
         slope = (du - dl) / n
         gw = np.bincount(columns, slope[rows], n_columns)
         gt = np.array([(-(du * (high == j)) + dl * (low == j)).sum() / n for j in range(cuts)])
-        nw = vw - rate * 20 * gw
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * 20 * penalty, 0)
+        nw = vw - rate * gw
+        nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * penalty, 0)
         nt = np.maximum.accumulate(vt - rate * gt + np.arange(cuts) * 1e-9)
         pull = step / (step + 3)
         vw, vt = nw + pull * (nw - w), nt + pull * (nt - t)
@@ -134,8 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if total is None or min(total[1]) == 0:
         return model
     seen = np.frombuffer(pa.decompress(bytes(total[0]), 8 * CELLS, codec="zstd"), np.int32).reshape(2, CELLS)
-    share = (seen + 0.5) / (np.array(total[1])[:, None] + 1)
-    score = np.abs(np.log(share[1] / share[0])) * np.sqrt(seen.sum(0)) * (seen.sum(0) >= LEAST_TEXTS)
+    n = np.array(total[1], float)
+    pooled = seen.sum(0) / n.sum()
+    spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n).sum())
+    score = np.abs(seen[1] / n[1] - seen[0] / n[0]) / spread
+    score *= (seen.sum(0) >= LEAST_TEXTS) & (score >= LEAST_SCORE)
     top = np.sort(np.argsort(-score, kind="stable")[:FEATURES])
     place = np.full(CELLS, -1, np.int32)
     place[top[score[top] > 0]] = np.arange((score[top] > 0).sum())
