@@ -13,7 +13,7 @@ is verified with the similarity itself.
 * Equal texts are one node; copies are not expanded. Within a band's bucket one leading
   node meets all others (no pairs among them). Where the verified links leave
   several components in a bucket, their nodes meet in blocks of bounded size, compare
-  sample vectors, and only likely pairs leave the task to be verified. No pair of
+  sample vectors, verify likely pairs in place, and only links leave the task. No pair of
   a bucket is given up by a cap.
 * Null and empty texts, and texts without words, have no runs: they are near copies of
   exactly equal texts only (null equals empty). Repeated rows and null ids are allowed.
@@ -185,35 +185,40 @@ def sign(texts: DataFrame, key: str, text: str, idf, words: int = WORDS,
 _ODD = 0xFF51AFD7ED558CCD
 
 
+def weighed(column: pa.Array, table: np.ndarray, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Runs and weights of each text."""
+    out = []
+    for _, piece in small_pieces(column):
+        places, runs, counts = features(piece, words)
+        bounds = np.searchsorted(places, np.arange(len(piece) + 1))
+        weights = counts * table[cell(runs)].astype(np.float64)
+        out += [(runs[i:j], weights[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
+    return out
+
+
+def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    (runs, weights), (others, theirs) = x, y
+    if not len(runs) or not len(others):
+        return 0.0
+    place = np.searchsorted(others, runs)
+    place[place == len(others)] = 0
+    same = others[place] == runs
+    low = np.minimum(weights[same], theirs[place[same]]).sum()
+    return float(low / (weights.sum() + theirs.sum() - low))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf, words: int, least: float) -> DataFrame:
     """Those pairs (a, b) of nodes whose weighted Jaccard similarity is ``least`` or more."""
-    def weigh(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        table, out = idf.value, []
-        for _, piece in small_pieces(column):
-            places, runs, counts = features(piece, words)
-            bounds = np.searchsorted(places, np.arange(len(piece) + 1))
-            weights = counts * table[cell(runs)].astype(np.float64)
-            out += [(runs[i:j], weights[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, piece in tokens.pieces(batch.column(3), _PIECE):
                 left_ids = batch.column(0).slice(at, len(piece)).to_numpy()
                 # The rows come by their first node: its text is weighed once a run of rows.
                 new = np.flatnonzero(np.concatenate(([True], left_ids[1:] != left_ids[:-1])))
-                left = weigh(batch.column(2).slice(at, len(piece)).take(pa.array(new)))
-                right = weigh(piece)
+                left = weighed(batch.column(2).slice(at, len(piece)).take(pa.array(new)), idf.value, words)
+                right = weighed(piece, idf.value, words)
                 which = np.cumsum(np.isin(np.arange(len(piece)), new)) - 1
-                found = np.empty(len(piece))
-                for i, (runs, weights) in enumerate(right):
-                    others, theirs = left[which[i]]
-                    place = np.searchsorted(others, runs)
-                    place[place == len(others)] = 0
-                    same = others[place] == runs if len(others) else np.zeros(len(runs), bool)
-                    low = np.minimum(weights[same], theirs[place[same]]).sum()
-                    both = weights.sum() + theirs.sum() - low
-                    found[i] = low / both if both else 0.0
+                found = np.array([weighted_jaccard(x, left[which[i]]) for i, x in enumerate(right)])
                 keep = pa.array(found >= least - 1e-9)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(piece)).filter(keep),
@@ -256,37 +261,49 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def mixed_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, least: float,
-                likely: float, block: int) -> DataFrame:
-    """Pairs across components of one bucket whose samples agree often enough.
+def mixed_links(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame, idf, words: int,
+                least: float, likely: float, block: int) -> DataFrame:
+    """Links (a, b) across components of one bucket that the leaders' links left apart.
 
     A bucket's nodes fall into hashed blocks of about ``block``; every two blocks meet
-    in one group, so a group stays small however large the bucket is.
+    in one group, so a group stays small however large the bucket is. Pairs whose samples agree
+    often enough are verified there; only links that join what is still apart leave the group.
     """
     rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("band", "key").agg(
         F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")
     ).where("r0 < r1")
     rows = (rooted.join(sizes.select("band", "key", "n"), ["band", "key"])
-            .join(nodes.select("node", "weight", "samples"), "node")
+            .join(nodes.select("node", "weight", "samples"), "node").join(texts, "node")
             .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     met = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-           .select("band", "key", "i", "j", "own", "node", "root", "weight", "samples"))
+           .select("band", "key", "i", "j", "own", "node", "root", "weight", "samples", "text"))
 
     def meet(table: pa.Table) -> pa.Table:
         node, root = table["node"].to_numpy(), table["root"].to_numpy()
         own, weight = table["own"].to_numpy(), table["weight"].to_numpy()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         drawn = np.stack([np.frombuffer(x, np.uint16) for x in table["samples"].to_pylist()])
+        bags = weighed(pa.concat_arrays(table["text"].chunks), idf.value, words)
+        parts = {r: r for r in root}
         out = []
+
+        def part(r):
+            while parts[r] != r:
+                r = parts[r]
+            return r
+
         for x in np.flatnonzero(own == i):
             y = np.flatnonzero((own == j) & (root != root[x]) & ((node > node[x]) | (i != j)))
             # min / max of the totals bounds the similarity from above.
             y = y[np.minimum(weight[y], weight[x]) >= (least - 1e-9) * np.maximum(weight[y], weight[x])]
             y = y[(drawn[y] == drawn[x]).mean(axis=1) >= likely] if len(y) else y
-            out += [(min(node[x], b), max(node[x], b)) for b in node[y]]
+            for k in y:
+                if part(root[x]) != part(root[k]) and weighted_jaccard(bags[x], bags[k]) >= least - 1e-9:
+                    parts[part(root[x])] = part(root[k])
+                    out.append((node[x], node[k]))
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -332,9 +349,8 @@ def near_copy_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
                                & (found["wanted_digest"] == wanted["wanted_digest"]))
                     .select("node", "text").dropDuplicates(["node"]), "texts")
     links = written(verified(stars, texts, idf, words, similarity), "links")
-    more = written(verified(
-        mixed_pairs(buckets, nodes, components(links), similarity, likely, block),
-        texts, idf, words, similarity), "links")
+    more = written(mixed_links(buckets, nodes, components(links), texts, idf, words, similarity, likely, block),
+                   "links")
     roots = components(links.select("a", "b").union(more.select("a", "b")))
     rooted = nodes.select("digest", "id", "node").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
