@@ -19,7 +19,7 @@ def frame():
 
 @pytest.fixture(scope="module")
 def split(spark, frame):
-    return splits.Split("within_session", splits.split_within(spark.createDataFrame(frame), 0.5, 5), 4, 5)
+    return splits.Split("within_session", splits.split_within(spark.createDataFrame(frame), 0.5, 5), 4, 5, bin_width_us=2_000_000)
 
 
 @pytest.fixture(scope="module")

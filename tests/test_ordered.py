@@ -85,3 +85,13 @@ def test_interval_join_matches_brute_force(spark):
                       ["k"], "t", "lo", "hi", 37)
     want = sorted((t, lo, hi) for _, t in points for _, lo, hi in spans if lo <= t < hi)
     assert sorted((r["t"], r["lo"], r["hi"]) for r in got.collect()) == want
+
+
+def test_rows_with_null_keys_stay(spark):
+    from pyspark.sql import functions as F
+
+    from truegauge.operators.ordered import running
+    rows = spark.createDataFrame([(None, 1, 5), (None, 2, 7), ("a", 1, 1)], "k string, i bigint, v bigint")
+    out = running(rows, ["k"], ["i"], F.col("i"), {"best": ("max", F.col("v"))})
+    assert sorted((str(r["k"]), r["i"], r["best"]) for r in out.collect()) == [
+        ("None", 1, 5), ("None", 2, 7), ("a", 1, 1)]

@@ -25,7 +25,7 @@ def session(spark):
 
 @pytest.fixture(scope="module")
 def split(session):
-    return splits.Split("within_session", splits.split_within(session, 0.5, 10), 5, 10)
+    return splits.Split("within_session", splits.split_within(session, 0.5, 10), 5, 10, bin_width_us=2_000_000)
 
 
 def test_border_spikes_open_the_next_bin(spark):
@@ -100,8 +100,19 @@ def test_windows_never_cross_a_border(spikes, split):
         assert list(row.ctx) == [lookup[row.unit_id, row.end_bin - 4 + i] for i in range(5)]
 
 
+def whole(spikes):
+    return spikes.groupBy("eid").agg(F.min("t_us").alias("start_us"), (F.max("t_us") + 1).alias("end_us"))
+
+
+def test_refractory_share_leaves_test_time_out(spark):
+    rows = [("a", "u", t) for t in (0, 10, 20, 1_000, 1_001, 1_002)]
+    spikes = spark.createDataFrame(rows, "eid string, unit_id string, t_us bigint")
+    train = spark.createDataFrame([("a", 0, 100)], "eid string, start_us bigint, end_us bigint")
+    assert qc.rp_violation(spikes, train, 5).head()["rp_violation"] == 0.0
+
+
 def test_refractory_share_against_numpy(spikes):
-    got = {r["unit_id"]: (r["n_isi"], r["rp_violation"]) for r in qc.rp_violation(spikes, 3_000).collect()}
+    got = {r["unit_id"]: (r["n_isi"], r["rp_violation"]) for r in qc.rp_violation(spikes, whole(spikes), 3_000).collect()}
     frame = spikes.toPandas()
     for unit, rows in frame.groupby("unit_id"):
         isi = np.diff(np.sort(rows.t_us.to_numpy()))
@@ -110,7 +121,7 @@ def test_refractory_share_against_numpy(spikes):
 
 def test_single_spike_has_no_refractory_share(spark):
     one = spark.createDataFrame([("a", "u", 5)], "eid string, unit_id string, t_us bigint")
-    assert qc.rp_violation(one, 2_000).head()["rp_violation"] is None
+    assert qc.rp_violation(one, whole(one), 2_000).head()["rp_violation"] is None
 
 
 def test_firing_rate_ignores_test_time(spark, spikes, split):

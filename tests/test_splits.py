@@ -23,7 +23,7 @@ def blocks(spark, *rows, kind="within_session"):
 
 
 def test_all_six_kinds_validate(spark, table):
-    Split("within_session", splits.split_within(table, 0.5, 5), 4, 5)
+    Split("within_session", splits.split_within(table, 0.5, 5), 4, 5, bin_width_us=2_000_000)
     Split("held_out_session", splits.split_session(table, "s0_0_0"), 1)
     Split("held_out_animal", splits.split_animal(table, "m0_1"), 1)
     Split("held_out_lab", splits.split_lab(table, "lab1"), 1)
@@ -48,18 +48,18 @@ def test_region_rule_is_asymmetric(spark):
 def test_no_temporal_leakage(spark):
     bad = blocks(spark, ("train", "a", "m", "l", 0, 9), ("test", "a", "m", "l", 8, 20))
     with pytest.raises(SplitViolation, match="shared_bins"):
-        Split("within_session", bad, 1)
+        Split("within_session", bad, 1, bin_width_us=2_000_000)
     # The context of a test window reaches back into the train block.
     close = blocks(spark, ("train", "a", "m", "l", 0, 9), ("test", "a", "m", "l", 12, 20))
     with pytest.raises(SplitViolation, match="shared_bins"):
-        Split("within_session", close, 5)
+        Split("within_session", close, 5, bin_width_us=2_000_000)
 
 
 def test_short_gap(spark):
     close = blocks(spark, ("train", "a", "m", "l", 0, 9), ("test", "a", "m", "l", 13, 20))
-    Split("within_session", close, 2, 3)
+    Split("within_session", close, 2, 3, bin_width_us=2_000_000)
     with pytest.raises(SplitViolation, match="short_gap"):
-        Split("within_session", close, 2, 4)
+        Split("within_session", close, 2, 4, bin_width_us=2_000_000)
 
 
 def test_gap_lasts_two_seconds_even_with_a_short_context(spark):
@@ -72,7 +72,7 @@ def test_gap_lasts_two_seconds_even_with_a_short_context(spark):
 def test_test_block_before_train_is_checked_too(spark):
     close = blocks(spark, ("test", "a", "m", "l", 0, 9), ("train", "a", "m", "l", 10, 20))
     with pytest.raises(SplitViolation, match="short_gap"):
-        Split("within_session", close, 1, 2)
+        Split("within_session", close, 1, 2, bin_width_us=2_000_000)
 
 
 def test_no_subject_leakage(spark):
@@ -101,29 +101,29 @@ def test_straddling_trial(spark):
     trials = spark.createDataFrame([("x", "a", 1, "train"), ("x", "a", 1, "test")],
                                    "split_id string, eid string, trial_id int, part string")
     with pytest.raises(SplitViolation, match="straddling_trial"):
-        Split("within_session", good, 1, trials=trials)
+        Split("within_session", good, 1, trials=trials, bin_width_us=2_000_000)
 
 
 def test_empty_part(spark):
     only = blocks(spark, ("train", "a", "m", "l", 0, 9))
     with pytest.raises(SplitViolation, match="empty_part"):
-        Split("within_session", only, 1)
+        Split("within_session", only, 1, bin_width_us=2_000_000)
     with pytest.raises(SplitViolation, match="no blocks"):
-        Split("within_session", only.where("false"), 1)
+        Split("within_session", only.where("false"), 1, bin_width_us=2_000_000)
 
 
 def test_versions(spark):
     good = blocks(spark, ("train", "a", "m", "l", 0, 9), ("test", "a", "m", "l", 20, 29))
     with pytest.raises(SplitViolation, match="another version"):
-        Split("within_session", good, 1, manifest_version="1", current_manifest_version="2")
+        Split("within_session", good, 1, manifest_version="1", current_manifest_version="2", bin_width_us=2_000_000)
     with pytest.raises(SplitViolation, match="another version"):
-        Split("within_session", good, 1, preproc_version="0")
+        Split("within_session", good, 1, preproc_version="0", bin_width_us=2_000_000)
 
 
 def test_interleaved(spark):
     rows = [(p, "a", "m", "l", 20 * i, 20 * i + 9) for i, p in enumerate(["train", "test", "train"])]
     with pytest.raises(SplitViolation, match="interleaved"):
-        Split("within_session", blocks(spark, *rows), 1)
+        Split("within_session", blocks(spark, *rows), 1, bin_width_us=2_000_000)
 
 
 def test_shuffled_trials_fail_the_gap_guard(spark):
@@ -132,7 +132,7 @@ def test_shuffled_trials_fail_the_gap_guard(spark):
     leaky = splits.trial_blocks(splits.split_interleaved(spark.createDataFrame(trials), "z"), 50)
     assert leaky.groupBy("part").count().count() == 3
     with pytest.raises(SplitViolation):
-        Split("within_session", leaky, 4)
+        Split("within_session", leaky, 4, bin_width_us=2_000_000)
 
 
 def test_hash_ignores_order_but_not_content(spark, table):
@@ -156,3 +156,11 @@ def test_sweep_of_many_blocks_across_chunks(spark):
     rows = [("train", "a", "m", "l", 0, 200_000), ("test", "a", "m", "l", 150_000, 150_010)]
     swept = guards.sweep(blocks(spark, *rows))
     assert guards.shared_bins(swept, 1).count() == 1
+
+
+def test_unknown_kind_and_missing_width_are_refused(spark):
+    sides = blocks(spark, ("train", "a", "m1", "l", 0, 9), ("test", "a", "m1", "l", 10_000, 10_009))
+    with pytest.raises(SplitViolation, match="unknown kind"):
+        Split("held_out_animals", sides, 1)
+    with pytest.raises(SplitViolation, match="bin_width_us"):
+        Split("within_session", sides, 1)

@@ -156,12 +156,16 @@ def norm_leak(stored: DataFrame, refit: DataFrame, tolerance: float = 1e-9) -> D
 def split_violations(split: "Split", context_bins: int) -> DataFrame:
     """The guards that apply to the kind of a split, in one table."""
     from truegauge.operators.splits import ANIMAL_KINDS, SESSION_KINDS
+    if split.kind not in ("within_session", "whole", *SESSION_KINDS, *ANIMAL_KINDS):
+        raise SplitViolation(f"unknown kind of split {split.kind!r}: no guard would apply")
     blocks = split.blocks
     swept = sweep(blocks)
     found = [shared_bins(swept, context_bins),
              calibration_overlap(blocks, split.kind in ANIMAL_KINDS),
              empty_parts(blocks, split.required_parts)]
     if split.kind == "within_session":
+        if split.bin_width_us is None:
+            raise SplitViolation("a within_session split needs bin_width_us to keep its 2 s gap")
         needed = required_gap(context_bins, split.bin_width_us)
         found += [short_gap(swept, max(needed, split.min_gap_bins)), interleaved(swept)]
     if split.kind in SESSION_KINDS + ANIMAL_KINDS:

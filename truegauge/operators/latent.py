@@ -122,10 +122,11 @@ def _log_density(weight: float, gaussian):
     cov = np.asarray(gaussian.cov.toArray())
     d = len(mean)
     values, vectors = np.linalg.eigh(cov)
-    keep = values > 1e-12
-    root = (vectors[:, keep] / np.sqrt(values[keep])).T
+    # A direction without spread keeps a floor, so that points off the component pay for it.
+    values = np.maximum(values, 1e-12)
+    root = (vectors / np.sqrt(values)).T
     const = math.log(max(weight, 1e-300)) - 0.5 * (
-        d * math.log(2 * math.pi) + float(np.log(values[keep]).sum()))
+        d * math.log(2 * math.pi) + float(np.log(values).sum()))
     square = F.lit(0.0)
     for row in root:
         z = dot(F.col("_x"), row) - F.lit(float(row @ mean))

@@ -25,15 +25,13 @@ def null_shuffle(rows: DataFrame, reps: int, seed: str) -> DataFrame:
     return rows.select("eid", "pos", "yhat").join(moved, ["eid", "pos"])
 
 
-def null_trialstruct(train: DataFrame, test: DataFrame, features: Sequence[str],
-                     min_rows: int = 5) -> DataFrame:
+def null_trialstruct(train: DataFrame, test: DataFrame, features: Sequence[str]
+                     ) -> DataFrame:
     """Predict from trial structure alone: train means of the features, no neural data.
 
-    Cells with fewer than ``min_rows`` train rows fall back to the first feature, then
-    to the overall mean.
+    Cells without a train row fall back to the first feature, then to the overall mean.
     """
-    fine = train.groupBy(*features).agg(F.avg("y").alias("_fine"), F.count(F.lit(1)).alias("_n"))
-    fine = fine.where(F.col("_n") >= min_rows).drop("_n")
+    fine = train.groupBy(*features).agg(F.avg("y").alias("_fine"))
     coarse = train.groupBy(features[0]).agg(F.avg("y").alias("_coarse"))
     overall = train.agg(F.avg("y")).head()[0]
     guess = F.coalesce("_fine", "_coarse", F.lit(overall))

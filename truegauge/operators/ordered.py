@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -91,7 +92,11 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
             raise ValueError(f"unknown running kind {kind!r}")
 
     ends = rows.groupBy(*keys, "_chunk").agg(*summaries).select(*keys, "_chunk", *carried)
-    out = rows.select("*", *local).join(ends, [*keys, "_chunk"])
+    # Null keys and a null chunk are groups of their own, so their rows stay.
+    by = [*keys, "_chunk"]
+    ends = ends.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    out = rows.select("*", *local).join(ends, same)
     return out.select(*df.columns, *merged)
 
 

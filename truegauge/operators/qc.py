@@ -38,22 +38,24 @@ def firing_rate(spikes: DataFrame, units: DataFrame, spans: DataFrame,
                     (F.coalesce("n_spikes", F.lit(0)) / F.col("seconds")).alias("rate_hz")))
 
 
-def rp_violation(spikes: DataFrame, tau_us: int) -> DataFrame:
+def rp_violation(spikes: DataFrame, spans: DataFrame, tau_us: int,
+                 bucket_us: int = 60_000_000) -> DataFrame:
     """Share of inter-spike intervals shorter than ``tau_us``; null for a single spike.
 
-    Only whether the previous spike lies within tau matters, so a halo of tau
-    suffices. Spikes at the same instant are counted, not sorted.
+    As with ``firing_rate``, pass the train spans: test time must not decide which units
+    survive. Only whether the previous spike lies within tau matters, so a halo of tau
+    suffices. Spikes at one instant are intervals of zero.
     """
-    instants = spikes.groupBy("eid", "unit_id", "t_us").agg(F.count(F.lit(1)).alias("n"))
-    rows = with_halo(instants, "t_us", 64 * tau_us, back=tau_us)
+    inside = join_points(spikes.select("eid", "unit_id", "t_us"), spans, ["eid"],
+                         "t_us", "start_us", "end_us", bucket_us)
+    rows = with_halo(inside.select("eid", "unit_id", "t_us"), "t_us", 64 * tau_us, back=tau_us)
     prev = F.lag("t_us").over(W.partitionBy("eid", "unit_id", "_chunk").orderBy("t_us"))
     short = F.coalesce((F.col("t_us") - prev < tau_us).cast("bigint"), F.lit(0))
-    isi = F.sum("n") - 1
+    isi = F.count(F.lit(1)) - 1
     return (rows.withColumn("_short", short).where("_core")
             .groupBy("eid", "unit_id")
             .agg(isi.alias("n_isi"),
-                 F.try_divide(F.sum(F.col("n") - 1 + F.col("_short")), isi)
-                 .alias("rp_violation")))
+                 F.try_divide(F.sum("_short"), isi).alias("rp_violation")))
 
 
 def qc_units(units: DataFrame, rates: DataFrame, violations: DataFrame,

@@ -93,9 +93,17 @@ def column_mapping(spark: SparkSession, rows: Sequence[tuple] = KNOWN_COLUMNS) -
         list(rows), "source string, source_name string, canonical string, factor double")
 
 
-def map_inventory(inventory: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Canonical name of each path by the last part of the path; null where unknown."""
-    names = mapping.select("source_name", "canonical")
+def map_inventory(inventory: DataFrame, mapping: DataFrame, source: str | None = None) -> DataFrame:
+    """Canonical name of each path by the last part of the path; null where unknown.
+
+    ``source`` restricts the mapping; without it a name that sources map apart is an error.
+    """
+    if source is not None:
+        mapping = mapping.where(F.col("source") == source)
+    names = mapping.select("source_name", "canonical").distinct()
+    apart = [r[0] for r in names.groupBy("source_name").count().where("count > 1").collect()]
+    if apart:
+        raise ValueError(f"names with several canonical ones, give the source: {sorted(apart)}")
     named = inventory.withColumn("source_name", F.element_at(F.split("path", "/"), -1))
     return named.join(names, "source_name", "left").select("file", "path", "canonical")
 

@@ -406,7 +406,7 @@ cte("structure", ("phased",), """
 SELECT p.eid, p.bin, p.y, coalesce(f.m, c.m, (SELECT avg(y) FROM phased WHERE part = 'train')) AS yhat
 FROM phased p
 LEFT JOIN (SELECT phase, probability_left, contrast, avg(y) AS m FROM phased WHERE part = 'train'
-           GROUP BY ALL HAVING count(*) >= 5) f
+           GROUP BY ALL) f
   ON f.phase = p.phase AND f.probability_left = p.probability_left AND f.contrast = p.contrast
 LEFT JOIN (SELECT phase, avg(y) AS m FROM phased WHERE part = 'train' GROUP BY phase) c
   ON c.phase = p.phase

@@ -21,7 +21,7 @@ SELECT eid, unit_id, count(isi) AS n_isi,
        CASE WHEN count(isi) > 0 THEN count(*) FILTER (WHERE isi < 21600000000)::DOUBLE / count(isi) END
        AS rp_violation
 FROM (SELECT eid, unit_id, t_us - lag(t_us) OVER (PARTITION BY eid, unit_id ORDER BY t_us) AS isi
-      FROM ev) GROUP BY eid, unit_id""")
+      FROM ev WHERE t_us < 259200000000) GROUP BY eid, unit_id""")
 cte("verdicts", ("units", "rates", "violations"), """
 SELECT u.eid, u.unit_id, u.region, r.rate_hz, v.rp_violation,
        CASE WHEN u.label < 1.0 THEN 'label' WHEN r.rate_hz < 5e-6 THEN 'rate'
@@ -30,8 +30,9 @@ FROM units u JOIN rates r USING (eid, unit_id) LEFT JOIN violations v USING (eid
 
 
 def verdicts(t: Tables):
-    rates = qc.firing_rate(t.spikes, t.units, t.within.spans("train", BIN_US), BIN_US)
-    return qc.qc_units(t.units, rates, qc.rp_violation(t.spikes, TAU_US), CONFIG)
+    spans = t.within.spans("train", BIN_US)
+    rates = qc.firing_rate(t.spikes, t.units, spans, BIN_US)
+    return qc.qc_units(t.units, rates, qc.rp_violation(t.spikes, spans, TAU_US, BIN_US), CONFIG)
 
 
 @query("c01_unit_qc", sql("verdicts", """
@@ -50,7 +51,7 @@ def _(t: Tables):
 @query("c03_rp_violation", sql("violations", """
 SELECT eid, unit_id, n_isi, round(rp_violation, 6) AS rp_violation FROM violations"""))
 def _(t: Tables):
-    return rounded(qc.rp_violation(t.spikes, TAU_US), "rp_violation")
+    return rounded(qc.rp_violation(t.spikes, t.within.spans("train", BIN_US), TAU_US, BIN_US), "rp_violation")
 
 
 @query("c04_qc_report", sql("verdicts", """

@@ -497,7 +497,7 @@ def _(t: Tables):
     shifted = test.join(offsets, "eid").withColumn("yhat", model.score() + F.col("offset"))
     wide_us = 2 * BIN_US
     halves = t.sessions.withColumn("n_bins", F.lit(N_BINS // 2).cast("bigint"))
-    wide_split = splits.Split("within_session", splits.split_within(halves, 0.5, 2), 2, 2)
+    wide_split = splits.Split("within_session", splits.split_within(halves, 0.5, 2), 2, 2, bin_width_us=wide_us)
     wide = (t.events.groupBy("eid", binning.in_bin("t_us", wide_us))
             .agg(F.count(F.lit(1)).cast("double").alias("x1"), F.avg("value").alias("y")))
     wide_model = baselines.fit_ridge(wide_split, wide, ["x1"], "y", LAM)
