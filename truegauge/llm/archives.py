@@ -20,7 +20,7 @@ import hashlib
 import io
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,8 @@ SHARD_BYTES = 64 << 20
 FILE_BYTES = 16 << 20
 #: Key ranges counted at a time to cut shards.
 CELLS = 4096
+#: Tasks that read archives, each one or more files.
+READ_TASKS = 20_000
 #: Archives carry no clock time, so that they can be made again.
 DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,18 +51,27 @@ def _digest(hexed: str) -> str:
     return base64.b32encode(bytes.fromhex(hexed)).decode()
 
 
-def with_revisits(rows: DataFrame, key: str, payload: str, min_revisit: int = 0) -> DataFrame:
-    """(key, url columns..., payload, sha1, refers_to): revisits lose their payload, not its length."""
-    full = rows.withColumn("__sha1", F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary"))
-                           ).withColumn("__bytes", F.octet_length(F.coalesce(F.col(payload), F.lit(""))).cast("bigint"))
-    firsts = full.where(F.col("__bytes") >= min_revisit).groupBy(F.col("__sha1").alias("s")).agg(
-        F.min(key).alias("__first"))
-    joined = full.join(firsts, full["__sha1"] == firsts["s"], "left").drop("s")
-    return joined.withColumn("__refers", F.when(F.col(key) != F.col("__first"), F.col("__first"))).drop("__first")
+def digested(rows: DataFrame, payload: str) -> DataFrame:
+    """``rows`` with the payload's SHA-1 and its bytes."""
+    whole = F.coalesce(F.col(payload), F.lit(""))
+    return rows.withColumn("__sha1", F.sha1(whole.cast("binary"))).withColumn(
+        "__bytes", F.octet_length(whole).cast("bigint"))
 
 
-def shard_column(rows: DataFrame, key: str, size: str, shard_bytes: int) -> Column:
-    """Shard number of a key: runs of keys of about ``shard_bytes``, the same for the same rows.
+def revisits(full: DataFrame, key: str, min_revisit: int = 0) -> DataFrame:
+    """(key, sha1, refers) of the rows that revisit another; payloads don't travel.
+
+    Nothing is grouped after the join, so that a payload of very many rows can be split.
+    """
+    narrow = full.where(F.col(key).isNotNull() & (F.col("__bytes") >= min_revisit)).select(
+        F.col(key).alias("__key"), F.col("__sha1").alias("__digest"))
+    firsts = narrow.groupBy(F.col("__digest").alias("__d")).agg(F.min("__key").alias("__refers"))
+    return narrow.join(firsts, narrow["__digest"] == firsts["__d"]).where(
+        F.col("__key") != F.col("__refers")).drop("__d")
+
+
+def shard_column(rows: DataFrame, key: str, size: str, shard_bytes: int) -> Callable[[Column], Column]:
+    """A function from a key to its shard number: runs of keys of about ``shard_bytes``, the same for the same rows.
 
     Key ranges are counted in at most ``CELLS`` cells a pass; a cell that is too heavy and still
     holds more than one key is cut finer in the next pass. Null keys are in shard 0.
@@ -68,7 +79,7 @@ def shard_column(rows: DataFrame, key: str, size: str, shard_bytes: int) -> Colu
     known = rows.where(F.col(key).isNotNull())
     low, high = known.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return F.lit(0).cast("int")
+        return lambda column: F.lit(0).cast("int")
     todo, weights = [(low, high + 1)], {}
     while todo:
         wide = [(a, b, max(1, -(-(b - a) // max(1, CELLS // len(todo))))) for a, b in todo]
@@ -99,7 +110,7 @@ def shard_column(rows: DataFrame, key: str, size: str, shard_bytes: int) -> Colu
         found = np.searchsorted(shared.value, keys.fillna(low).astype("int64").to_numpy(), "right") - 1
         return pd.Series(np.maximum(found, 0).astype("int32"))
 
-    return place(F.col(key))
+    return place
 
 
 def _member(kind: str, key: str, url: str, sha1: str, size: int, refers: int | None,
@@ -172,17 +183,27 @@ def write_archive(rows: DataFrame, folder: str, key: str = "page_id", url: str =
     plain = rows.select(F.col(key).cast("bigint").alias("key"), F.col(url).alias("url"),
                         F.col(payload).alias("payload"))
     sized = plain.withColumn("__size", F.octet_length(F.coalesce("payload", F.lit(""))).cast("bigint"))
-    shard = shard_column(sized, "key", "__size", shard_bytes)
-    marked = with_revisits(plain, "key", "payload", min_revisit).withColumn(
-        "payload", F.when(F.col("__refers").isNull(), F.col("payload"))).withColumn("shard", shard)
-    dealt = marked.repartition("shard").sortWithinPartitions(
-        "shard", F.col("key").asc_nulls_first(), "__sha1", F.col("url").asc_nulls_first())
+    place = shard_column(sized, "key", "__size", shard_bytes)
+    # Payloads are dealt once, by shard. A mark goes ahead of the rows that revisit another.
+    full = digested(plain, "payload")
+    marks = revisits(full, "key", min_revisit).select(
+        F.col("__key").alias("key"), F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("string").alias("payload"), F.col("__digest").alias("__sha1"),
+        F.lit(None).cast("bigint").alias("__bytes"), "__refers")
+    dealt = full.withColumn("__refers", F.lit(None).cast("bigint")).unionByName(marks).withColumn(
+        "shard", place(F.col("key"))).repartition("shard").sortWithinPartitions(
+        "shard", F.col("key").asc_nulls_first(), "__sha1", F.col("__refers").asc_nulls_last(),
+        F.col("url").asc_nulls_first())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = None
+        files, marked, target = None, None, None
         for batch in batches:
             for row in range(batch.num_rows):
                 k, link, text, sha1, size, refers, own = (column[row].as_py() for column in batch.columns)
+                if refers is not None:
+                    marked, target = (k, sha1), refers
+                    continue
+                refers = target if marked == (k, sha1) else None
                 files = files or _Files(folder, file_bytes)
                 files.add(own, k, _member(
                     "response" if refers is None else "revisit", "-" if k is None else str(k),
@@ -251,7 +272,9 @@ def parse_record(record: bytes) -> dict:
 def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """One row per record of the files that the manifest names; digests are checked (``intact``)."""
     ship_package(spark)
-    files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("name").repartition("name")
+    named = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("name")
+    # A given number keeps tasks apart whose names are small and whose files are not.
+    files = named.repartition(max(1, min(named.count(), READ_TASKS)), "name")
     schema = pa.schema([("key", pa.int64()), ("record_type", pa.string()), ("target", pa.string()),
                         ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         ("refers_to", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_()),
