@@ -18,8 +18,9 @@ from truegauge.operators.baselines import LinearModel, gram, solve_ridge
 from truegauge.operators.classifiers import member_draw
 from truegauge.operators.ordered import kth_smallest, quantiles
 
-# Kinds whose calibration and test sessions can be taken as exchangeable.
-EXCHANGEABLE_KINDS = ("within_session", "held_out_session")
+# Kinds whose calibration and test rows can be taken as exchangeable. Within a session the test
+# rows are later than the calibration rows, so they cannot.
+EXCHANGEABLE_KINDS = ("held_out_session",)
 
 
 def temperature_losses(calib: DataFrame, grid: Sequence[float], logits: str = "logits") -> DataFrame:

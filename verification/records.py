@@ -30,8 +30,8 @@ LEFT JOIN (SELECT eid, count(*) AS n_trials FROM trial_starts GROUP BY eid) t US
 
 def manifest(t: Tables):
     spots = t.sessions.select("eid", F.concat(F.lit("probe0"), (F.col("subject") % 2).cast("string"))
-                              .alias("probe_name"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"),
-                              F.lit(0.0).alias("z"))
+                              .alias("probe_name"),
+                              *[F.lit(None).cast("double").alias(c) for c in "xyz"])  # not in the tables
     return sessions.build_manifest(t.sessions, verdicts(t), t.trial_starts, t.behaviour, spots)
 
 
