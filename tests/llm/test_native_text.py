@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_TINY
 from tests.llm.conftest import ROWS
-from truegauge.llm import decontaminate, pseudonyms, quality_rules, queries, secret_scan
+from truegauge.llm import decontaminate, near_copies, pseudonyms, quality_rules, queries, secret_scan
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -149,6 +149,29 @@ def test_large_benchmark_is_joined_not_broadcast(spark, edge, monkeypatch):
     assert shape() == before
 
 
+def test_common_window_of_many_items_is_joined(spark, edge, monkeypatch):
+    """Few windows that very many items share are no small table either."""
+    items = spark.createDataFrame(ITEMS + [(i, "Short") for i in range(100, 130)], "item_id bigint, text string")
+    shape = lambda: as_multiset(decontaminate.hits(edge.select("doc_id", "text"), "text", items).select(
+        "doc_id", "n_words", decontaminate.count_hit(F.col("hits")), F.array_join("found_items", ",")).collect())
+    before = shape()
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 25)
+    assert shape() == before
+
+
+def test_clashing_columns_stay(spark, edge):
+    """Columns of the caller that are called like internal ones come back as they were."""
+    names = ["k", "h", "n", "spans", "first", "digest", "own", "_made", "row", "rid", "w", "at", "words", "items"]
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string").selectExpr("*", "1 AS w", "2 AS k")
+    wide = edge.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for work in (lambda d: decontaminate.decontaminated(d, items), near_copies.one_per_class,
+                 pseudonyms.with_pseudonyms, quality_rules.filtered):
+        out = work(wide)
+        assert out.columns == wide.columns
+        assert as_multiset(out.select(*edge.columns).collect()) == as_multiset(work(edge).collect())
+        assert out.where(" OR ".join(f"NOT `{n}` <=> concat('{n}', doc_id)" for n in names)).count() == 0
+
+
 def test_spans_are_cut(spark, edge):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     clean = decontaminate.decontaminated(edge, items, length="n_chars")

@@ -5,8 +5,9 @@ a benchmark item; an item of fewer words, but not none, is one window. Every win
 every whole text is looked up by hash and a hit is verified by its words. Native: SQL
 functions and joins only.
 
-* The set is broadcast when it has at most ``BROADCAST_WINDOWS`` windows (counted first);
-  a larger one is joined by a shuffle on the window's hash.
+* The set is broadcast when its windows and their item ids are at most ``BROADCAST_WINDOWS``
+  each (counted first); a larger one is joined by a shuffle on the window's hash, which moves
+  a window's own words, never the text, and deals places without a window by row.
 * Null and empty texts have no words. Repeated rows each get their own row, repeated or
   null item ids count as they are: a null item id is shown as the empty string.
   An empty benchmark hits nothing.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.llm.common import ascii_lower, let, written
+from truegauge.llm.common import ascii_lower, let, spare, written
 
 # Fixed value: the contract's words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,7 +54,8 @@ def hits(docs: DataFrame, text: str, items: DataFrame, item: str = "item_id",
     of a window; ``found_items`` the sorted ids of the items whose windows occur.
     """
     windows = written(benchmark_windows(items, item, item_text, window), "windows")
-    sizes = {r["k"]: r["count"] for r in windows.groupBy("k").count().collect()}  # window rows at most
+    counted = windows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("items")).alias("ids"))
+    sizes = {r["k"]: (r["n"], r["ids"]) for r in counted.collect()}  # ``window`` rows at most
     others = [c for c in docs.columns if c != text]
     worded = docs.select(
         F.struct(*[F.col(c) for c in others]).alias("row") if others else F.lit(None).alias("row"),
@@ -77,11 +79,16 @@ def hits(docs: DataFrame, text: str, items: DataFrame, item: str = "item_id",
     table = windows.select(
         F.col("k").alias("wk"), "words", "items",
         F.coalesce(*[F.when(F.col("k") == k, item_key(k)) for k in lengths]).alias("wkey"))
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
+    shown = F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("k")))
+    if all(sum(each) <= BROADCAST_WINDOWS for each in zip(*sizes.values())):
         table = F.broadcast(table)
-    met = keyed.join(
-        table, (F.col("key") == F.col("wkey")) & (F.col("k") == F.col("wk")) & (F.col("words")
-        == F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("k")))), "left")
+    else:
+        keyed = keyed.where(F.col("key").isNotNull() | F.coalesce(F.col("at"), F.lit(0)).eqNullSafe(0)).select(
+            "row", "rid", "n_words", "at", "k", F.coalesce("key", F.xxhash64("rid")).alias("key"),
+            F.when(F.col("key").isNotNull(), shown).alias("window"))
+        shown = F.col("window")
+    met = keyed.join(table, (F.col("key") == F.col("wkey")) & (F.col("k") == F.col("wk"))
+                     & (F.col("words") == shown), "left")
     # One row a text stays for texts without a hit: that of the first word, or of none.
     kept = met.where(F.col("wk").isNotNull() | F.coalesce(F.col("at"), F.lit(0)).eqNullSafe(0))
     found = kept.groupBy("rid").agg(
@@ -138,15 +145,15 @@ def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     and is kept right.
     """
     scan = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    k, h, n, spans = (spare(docs, c) for c in ("k", "h", "n", "spans"))
     found = hits(scan, "t", items, item, item_text, window).where(F.size("hits") > 0).select(
-        F.col("k").alias("__k"), F.col("h").alias("__h"), F.col("n_words").alias("__n"),
-        F.col("hits").alias("__hits")).dropDuplicates(["__k", "__h"])
-    rows = docs.join(found, docs[key].eqNullSafe(found["__k"])
-                     & (F.xxhash64(docs[text]) == found["__h"]), "left")
-    kept = rows.where(F.col("__n").isNull() | (count_hit(F.col("__hits")) <= most * F.col("__n")))
-    out = kept.withColumn(text, F.when(F.col("__n").isNull(), F.col(text)).otherwise(
-        cut(F.col(text), F.col("__hits"))))
+        F.col("k").alias(k), F.col("h").alias(h), F.col("n_words").alias(n),
+        F.col("hits").alias(spans)).dropDuplicates([k, h])
+    rows = docs.join(found, docs[key].eqNullSafe(found[k]) & (F.xxhash64(docs[text]) == found[h]), "left")
+    kept = rows.where(F.col(n).isNull() | (count_hit(F.col(spans)) <= most * F.col(n)))
+    out = kept.withColumn(text, F.when(F.col(n).isNull(), F.col(text)).otherwise(
+        cut(F.col(text), F.col(spans))))
     if length is not None:
-        out = out.withColumn(length, F.when(F.col("__n").isNull(), F.col(length)).otherwise(
+        out = out.withColumn(length, F.when(F.col(n).isNull(), F.col(length)).otherwise(
             F.length(text)).cast(docs.schema[length].dataType))
     return out.select(*docs.columns)

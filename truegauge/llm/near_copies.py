@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.llm import tokens
-from truegauge.llm.common import written
+from truegauge.llm.common import spare, written
 from truegauge.session import cut_lineage, ship_package
 
 BUCKETS = 1 << 20
@@ -366,9 +366,9 @@ def near_copy_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each class with all its columns: the one with the smallest id."""
     _, classes = near_copy_classes(docs, key, text, **options)
+    first, digest, own = (spare(docs, c) for c in ("first", "digest", "own"))
     firsts = classes.where("is_first").select(
-        F.col("id").alias("__id"), F.lower(F.hex("digest")).alias("__digest"))
-    keyed = docs.withColumn("__digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    kept = keyed.join(firsts, (keyed["__digest"] == firsts["__digest"])
-                      & keyed[key].eqNullSafe(firsts["__id"])).drop(firsts["__digest"])
-    return kept.dropDuplicates(["__digest", "__id"]).select(*docs.columns)
+        F.col("id").alias(first), F.lower(F.hex("digest")).alias(digest))
+    keyed = docs.withColumn(own, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    kept = keyed.join(firsts, (keyed[own] == firsts[digest]) & keyed[key].eqNullSafe(firsts[first]))
+    return kept.dropDuplicates([digest, first]).select(*docs.columns)

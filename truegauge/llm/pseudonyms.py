@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.llm.common import let
+from truegauge.llm.common import let, spare
 
 ROUNDS = 8
 #: For tests and the queries; a caller passes a secret of their own.
@@ -200,20 +200,20 @@ def with_pseudonyms(docs: DataFrame, text: str = "text", key: str = DEMO_KEY,
 
     ``found``: array<struct<kind, pseudonym>> in the order of the text.
     """
-    value = F.col(text)
+    value, each = F.col(text), spare(docs, f"{found or ''}_made")
     kind = "array<struct<kind:string,value:string,pseudonym:string>>"
     # A text without a digit or an at sign has nothing to look for.
     matches = F.when(value.rlike("[0-9@]"), F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)))
     made = F.transform(matches, lambda m: F.struct(
         kind_of(m).alias("kind"), m.alias("value"), pseudonym(m, key).alias("pseudonym")))
-    rebuilt = F.when(F.size("__made") > 0, let(F.split(value, PATTERN, -1), lambda gaps: F.array_join(
+    rebuilt = F.when(F.size(each) > 0, let(F.split(value, PATTERN, -1), lambda gaps: F.array_join(
         F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(
-            F.get(F.col("__made"), i)["pseudonym"], F.get(F.col("__made"), i)["value"], F.lit("")))),
+            F.get(F.col(each), i)["pseudonym"], F.get(F.col(each), i)["value"], F.lit("")))),
         ""))).otherwise(value)
-    out = docs.withColumn("__made", F.coalesce(made, F.array().cast(kind))).withColumn(
+    out = docs.withColumn(each, F.coalesce(made, F.array().cast(kind))).withColumn(
         text, rebuilt)
     if found is not None:
         out = out.withColumn(found, F.transform(
-            F.filter("__made", lambda x: x["pseudonym"].isNotNull()),
+            F.filter(each, lambda x: x["pseudonym"].isNotNull()),
             lambda x: F.struct(x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym"))))
-    return out.drop("__made")
+    return out.drop(each)
