@@ -122,12 +122,13 @@ def strongest_covariate(rows: DataFrame, score: str, covariates: Sequence[str])
 
 def success_summary(rho: DataFrame, areas: DataFrame, ood: str, confidence: str,
                     min_rho: float = 0.5, min_sessions: int = 20) -> DataFrame:
-    """The criteria side by side: correlation, area below confidence, enough sessions."""
+    """The criteria side by side: correlation, area below confidence and a random order, enough sessions."""
     pick = lambda m: F.max(F.when(F.col("method") == m, F.col("aurc")))
     both = areas.agg(pick(ood).alias("aurc_ood"), pick(confidence).alias("aurc_confidence"),
+                     pick("random").alias("aurc_random"),
                      F.max("n_sessions").alias("n_sessions")).withColumn("_one", F.lit(1))
     joined = rho.select("rho").withColumn("_one", F.lit(1)).join(both, "_one").drop("_one")
     return joined.withColumns({
         "rho_ok": F.coalesce(F.abs("rho") > min_rho, F.lit(False)),
-        "aurc_ok": F.coalesce(F.col("aurc_ood") < F.col("aurc_confidence"), F.lit(False)),
+        "aurc_ok": F.coalesce(F.col("aurc_ood") < F.least("aurc_confidence", "aurc_random"), F.lit(False)),
         "enough": F.col("n_sessions") >= min_sessions})
