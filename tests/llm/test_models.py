@@ -126,6 +126,21 @@ def test_thresholds_share_weights():
     assert np.allclose(w, [2, -1, 0, 1], atol=0.3) and np.allclose(t, [0.5, 2.0], atol=0.3)
 
 
+def test_severity_means_the_same_when_the_sample_is_capped(spark):
+    """A word that makes toxic texts likelier, but not likely: a fit on equal numbers a grade would flag it."""
+    rng = np.random.default_rng(4)
+    grades = np.repeat([0, 1, 2], [3600, 100, 300])
+    words = [["plain", *(["odd"] if rng.random() < (0.85 if g else 0.25) else []),
+              *(["foul"] if g and rng.random() < 0.5 else [])] for g in grades]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(grades)], "doc_id bigint, grade int")
+    asked = spark.createDataFrame([(1, "plain"), (2, "plain odd"), (3, "plain odd foul")], docs.schema)
+    whole, cut = ({r["doc_id"]: r for r in severity.scored(asked, severity.fit(docs, labels, sample=n)).collect()}
+                  for n in (8000, 200))
+    assert [whole[i]["toxic"] for i in (1, 2, 3)] == [cut[i]["toxic"] for i in (1, 2, 3)] == [False, False, True]
+    assert all(abs(whole[i]["severity"] - cut[i]["severity"]) < 0.2 for i in (1, 2, 3))
+
+
 def test_severity_of_edge_rows(spark, edge, nothing):
     labels = spark.createDataFrame([(1, 0), (4, 2), (8, 1), (None, 1), (9, None), (99, 0)], "doc_id bigint, grade int")
     model = severity.fit(edge, labels)

@@ -7,7 +7,9 @@ words, which stand for stems in inflecting and compounding languages; hashed to
 
 Fitted on a sample of at most ``SAMPLE`` labelled texts a grade (those with the smallest hash of
 their id) and on the ``FEATURES`` cells whose presence differs most between the lowest grade and
-the others; an L1 penalty leaves few weights. Every text is scored, whole. Null and empty
+the others; an L1 penalty leaves few weights. A sampled text weighs as many labels as it stands for,
+its grade's number over the number sampled, so shares, loss and thresholds are those of all labels
+whether the bound cuts a grade or not. Every text is scored, whole. Null and empty
 texts have no features: their score is that of the thresholds alone. Labels that are
 null are left out; without two grades to learn from, all weights are zero.
 """
@@ -67,17 +69,23 @@ def present(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def fit_thresholds(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_columns: int, n_grades: int,
-                   penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by accelerated proximal gradient on the mean log loss."""
+                   penalty: float = PENALTY, steps: int = STEPS, stands_for: np.ndarray | None = None
+                   ) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by accelerated proximal gradient on the mean log loss.
+
+    ``stands_for``: labels that each row stands for, one if not given.
+    """
     n, cuts = len(grades), n_grades - 1
-    share = np.array([(grades > j).mean() for j in range(cuts)]).clip(1e-4, 1 - 1e-4)
+    part = np.full(n, 1 / n) if stands_for is None else stands_for / stands_for.sum()
+    share = np.array([part[grades > j].sum() for j in range(cuts)]).clip(1e-4, 1 - 1e-4)
     w, t = np.zeros(n_columns), -np.log(share / (1 - share))
     vw, vt = w.copy(), t.copy()
     # The loss bends at most half as much as the squares of the features with a constant one.
     v, constant = np.ones(n_columns), 1.0
     for _ in range(30):
         z = np.bincount(rows, v[columns], n) + constant
-        v, constant = np.bincount(columns, z[rows], n_columns) / n, z.mean()
+        z *= part
+        v, constant = np.bincount(columns, z[rows], n_columns), z.sum()
         size = float(np.sqrt((v ** 2).sum() + constant ** 2))
         v, constant = v / size, constant / size
     rate = 1.0 / (0.6 * size)
@@ -89,9 +97,9 @@ def fit_thresholds(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_
         upper, lower = (1 / (1 + np.exp(-np.clip(edge(j), -500, 500))) for j in (high, low))
         mass = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / mass, lower * (1 - lower) / mass
-        slope = (du - dl) / n
+        slope = (du - dl) * part
         gw = np.bincount(columns, slope[rows], n_columns)
-        gt = np.array([(-(du * (high == j)) + dl * (low == j)).sum() / n for j in range(cuts)])
+        gt = np.array([((dl * (low == j) - du * (high == j)) * part).sum() for j in range(cuts)])
         nw = vw - rate * gw
         nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * penalty, 0)
         nt = np.maximum.accumulate(vt - rate * gt + np.arange(cuts) * 1e-9)
@@ -103,11 +111,15 @@ def fit_thresholds(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade",
         n_grades: int = 3, sample: int = SAMPLE) -> SeverityModel:
-    """Fit on at most ``sample`` labelled texts a grade."""
+    """Fit on at most ``sample`` labelled texts a grade, each weighted by the labels that it stands for."""
     spark = docs.sparkSession
     ship_package(spark)
     plain = labels.select(F.col(key).alias("k"), F.col(grade).cast("int").alias("g")).where(
         F.col("k").isNotNull() & F.col("g").between(0, n_grades - 1))
+    labelled = np.zeros(n_grades)
+    for g, count in plain.groupBy("g").count().collect():
+        labelled[g] = count
+    stands_for = np.maximum(labelled / sample, 1.0)
     chosen = None
     for g in range(n_grades):
         part = plain.where(F.col("g") == g).orderBy(F.xxhash64("k"), "k").limit(sample)
@@ -116,15 +128,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     taught = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(
         F.broadcast(chosen), "k").select("g", "text")
 
+    size = 4 * n_grades * CELLS
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, texts = np.zeros((2, CELLS), np.int32), np.zeros(2, np.int64)
+        seen, texts = np.zeros((n_grades, CELLS), np.int32), np.zeros(n_grades, np.int64)
         for batch in batches:
             grades = batch.column(0).to_numpy()
             for at, n, rows, found in present(batch.column(1)):
-                bad = (grades[at:at + n] > 0).astype(np.int64)
-                texts += np.bincount(bad, minlength=2)
-                for b in (0, 1):
-                    seen[b] += np.bincount(found[bad[rows] == b], minlength=CELLS).astype(np.int32)
+                own = grades[at:at + n].astype(np.int64)
+                texts += np.bincount(own, minlength=n_grades)
+                for g in np.unique(own):
+                    seen[g] += np.bincount(found[own[rows] == g], minlength=CELLS).astype(np.int32)
         if texts.sum():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([pa.compress(seen.tobytes(), codec="zstd", asbytes=True)], pa.binary()),
@@ -133,19 +147,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def add(a, b):
         if a is None or b is None:
             return a or b
-        counts = sum(np.frombuffer(pa.decompress(bytes(x[0]), 8 * CELLS, codec="zstd"), np.int32) for x in (a, b))
+        counts = sum(np.frombuffer(pa.decompress(bytes(x[0]), size, codec="zstd"), np.int32) for x in (a, b))
         return pa.compress(counts.tobytes(), codec="zstd", asbytes=True), [x + y for x, y in zip(a[1], b[1])]
 
     total = taught.mapInArrow(cells, "seen binary, texts array<bigint>").rdd.map(tuple).treeAggregate(
         None, add, add, depth=2)
     model = SeverityModel(np.zeros(CELLS, np.float32), np.linspace(1.0, 2.0, n_grades - 1))
-    if total is None or min(total[1]) == 0:
+    if total is None or total[1][0] == 0 or sum(total[1][1:]) == 0:
         return model
-    seen = np.frombuffer(pa.decompress(bytes(total[0]), 8 * CELLS, codec="zstd"), np.int32).reshape(2, CELLS)
-    n = np.array(total[1], float)
-    pooled = seen.sum(0) / n.sum()
-    spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n).sum())
-    score = np.abs(seen[1] / n[1] - seen[0] / n[0]) / spread
+    seen = np.frombuffer(pa.decompress(bytes(total[0]), size, codec="zstd"), np.int32).reshape(n_grades, CELLS)
+    texts = np.array(total[1], float)
+    # Labels that the lowest grade's texts and the others stand for, and with a cell; a text that stands
+    # for many makes them no surer, so errors go by the effective number of texts.
+    mass, with_cell = texts * stands_for, seen * stands_for[:, None]
+    n = np.array([mass[0], mass[1:].sum()])
+    sure = n ** 2 / np.array([mass[0] * stands_for[0], (mass[1:] * stands_for[1:]).sum()])
+    pooled = with_cell.sum(0) / n.sum()
+    spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / sure).sum())
+    score = np.abs(with_cell[1:].sum(0) / n[1] - with_cell[0] / n[0]) / spread
     score *= (seen.sum(0) >= LEAST_TEXTS) & (score >= LEAST_SCORE)
     top = np.sort(np.argsort(-score, kind="stable")[:FEATURES])
     place = np.full(CELLS, -1, np.int32)
@@ -169,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = sorted(range(len(parts)), key=lambda i: (grades[i], parts[i].tobytes()))  # as if in one order
     grades, parts = grades[order], [parts[i] for i in order]
     rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    w, thresholds = fit_thresholds(rows, np.concatenate(parts), grades, int(place.max()) + 1, n_grades)
+    w, thresholds = fit_thresholds(rows, np.concatenate(parts), grades, int(place.max()) + 1, n_grades,
+                                   stands_for=stands_for[grades])
     model.weights[np.flatnonzero(place >= 0)] = w
     model.thresholds = thresholds
     return model
