@@ -76,6 +76,20 @@ def test_mixed_bucket_loses_no_link(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_outlines_rule_out_no_pair(spark):
+    """Chains whose links are just over the similarity, with so few samples that many links agree in few of them."""
+    texts = []
+    for chain in range(10):
+        words = [f"w{chain}x{i}" for i in range(400)]
+        for step in range(12):
+            words[step * 30:step * 30 + 30] = [f"s{chain}x{step}x{i}" for i in range(30)]
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows, _ = near_copies.near_copy_classes(docs, rows=1, bands=8, block=8)
+    got = {r["id"]: r["class_id"] for r in rows.collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_large_group_holds_together(spark):
     """Two thirds of the rows are near copies of one text and no near copies of each other."""
     base, texts = [f"w{i}" for i in range(300)], []

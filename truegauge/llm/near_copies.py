@@ -5,16 +5,16 @@ digits, letters and all characters outside ASCII). A weight is the run's count i
 text times its inverse document frequency. Improved consistent weighted sampling
 draws samples of which two texts share each with a probability equal to their
 weighted Jaccard similarity; bands of samples give candidates, and every candidate pair
-is verified with the similarity itself.
+is verified with the similarity itself or ruled out by an exact upper bound of it.
 
 * Document frequencies are counted over all documents, in ``BUCKETS`` hashed cells: a
   statistic of fixed size that resolves shares of about (runs per text / BUCKETS) at every
   corpus size. Only runs in over a third of the documents weigh less (see ``rarity``).
 * Equal texts are one node; copies are not expanded. Within a band's bucket one leading
   node meets all others (no pairs among them). Where the verified links leave
-  several components in a bucket, their nodes meet in blocks of bounded size, compare
-  sample vectors, verify likely pairs in place, and only links leave the task. No pair of
-  a bucket is given up by a cap.
+  several components in a bucket, their nodes meet in blocks of bounded size, verify
+  what the bound leaves in place, and only links leave the task. No pair of a bucket is
+  given up by a cap or a chance: only the bands lose pairs.
 * Null and empty texts, and texts without words, have no runs: they are near copies of
   exactly equal texts only (null equals empty). Repeated rows and null ids are allowed.
 """
@@ -41,9 +41,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: One group of copies may hold a third of all rows; runs more frequent than that weigh less.
 COMMON = 3.0
-#: Share of equal samples below which a pair of a mixed bucket is not verified: 3.4 standard
-#: deviations below 0.8.
-LIKELY = 0.62
+#: Hashed cells of a text's weights that bound the similarity of two texts from above.
+OUTLINE = 256
 BLOCK = 512
 _POOL_BITS = 16
 _PIECE = 1 << 21
@@ -149,7 +148,7 @@ def samples(rows: np.ndarray, runs: np.ndarray, weights: np.ndarray, sampler: Sa
 
 def sign(texts: DataFrame, key: str, text: str, idf, words: int = WORDS,
          rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """Per row: key, digest of the text, total weight, band keys and packed samples."""
+    """Per row: key, digest of the text, total weight and band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table = Sampler(rows * bands), idf.value
         for batch in batches:
@@ -158,7 +157,6 @@ def sign(texts: DataFrame, key: str, text: str, idf, words: int = WORDS,
                            for x in piece.cast(pa.binary())]
                 places, runs, counts = features(piece, words)
                 keys: list = [None] * len(piece)
-                packed: list = [None] * len(piece)
                 total = np.zeros(len(piece))
                 if len(runs):
                     weights = counts * table[cell(runs)]
@@ -167,19 +165,16 @@ def sign(texts: DataFrame, key: str, text: str, idf, words: int = WORDS,
                     band = drawn[:, 0::rows].copy()
                     for j in range(1, rows):
                         band = tokens.mix(band * np.uint64(_ODD) + drawn[:, j::rows])
-                    short = (drawn >> np.uint64(48)).astype(np.uint16)
                     for i, owner in enumerate(owners):
                         keys[owner] = band[i].astype(np.int64)
-                        packed[owner] = short[i].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(piece)), pa.array(digests, pa.binary()),
-                     pa.array(total), pa.array(keys, pa.list_(pa.int64())),
-                     pa.array(packed, pa.binary())],
-                    names=["id", "digest", "weight", "bands", "samples"])
+                     pa.array(total), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["id", "digest", "weight", "bands"])
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, text).mapInArrow(
-        run, f"id {kind}, digest binary, weight double, bands array<bigint>, samples binary")
+        run, f"id {kind}, digest binary, weight double, bands array<bigint>")
 
 
 _ODD = 0xFF51AFD7ED558CCD
@@ -207,6 +202,16 @@ def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.n
     return float(low / (weights.sum() + theirs.sum() - low))
 
 
+def outlines(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weight of each text in ``OUTLINE`` hashed cells.
+
+    Two texts share no more weight in a cell than the smaller of their weights there.
+    """
+    shift = np.uint64(65 - OUTLINE.bit_length())
+    return np.array([np.bincount((tokens.mix(runs) >> shift).astype(np.int64), weights, OUTLINE)
+                     for runs, weights in bags]).reshape(len(bags), OUTLINE)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf, words: int, least: float) -> DataFrame:
     """Those pairs (a, b) of nodes whose weighted Jaccard similarity is ``least`` or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,31 +267,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def mixed_links(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame, idf, words: int,
-                least: float, likely: float, block: int) -> DataFrame:
+                least: float, block: int) -> DataFrame:
     """Links (a, b) across components of one bucket that the leaders' links left apart.
 
     A bucket's nodes fall into hashed blocks of about ``block``; every two blocks meet
-    in one group, so a group stays small however large the bucket is. Pairs whose samples agree
-    often enough are verified there; only links that join what is still apart leave the group.
+    in one group, so a group stays small however large the bucket is. Pairs that the bounds don't
+    rule out are verified there; only links that join what is still apart leave the group.
     """
     rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("band", "key").agg(
         F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")
     ).where("r0 < r1")
     rows = (rooted.join(sizes.select("band", "key", "n"), ["band", "key"])
-            .join(nodes.select("node", "weight", "samples"), "node").join(texts, "node")
+            .join(nodes.select("node", "weight"), "node").join(texts, "node")
             .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     met = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-           .select("band", "key", "i", "j", "own", "node", "root", "weight", "samples", "text"))
+           .select("band", "key", "i", "j", "own", "node", "root", "weight", "text"))
 
     def meet(table: pa.Table) -> pa.Table:
         node, root = table["node"].to_numpy(), table["root"].to_numpy()
         own, weight = table["own"].to_numpy(), table["weight"].to_numpy()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        drawn = np.stack([np.frombuffer(x, np.uint16) for x in table["samples"].to_pylist()])
         bags = weighed(pa.concat_arrays(table["text"].chunks), idf.value, words)
+        cells = outlines(bags)
         parts = {r: r for r in root}
         out = []
 
@@ -299,7 +304,8 @@ def mixed_links(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, texts: D
             y = np.flatnonzero((own == j) & (root != root[x]) & ((node > node[x]) | (i != j)))
             # min / max of the totals bounds the similarity from above.
             y = y[np.minimum(weight[y], weight[x]) >= (least - 1e-9) * np.maximum(weight[y], weight[x])]
-            y = y[(drawn[y] == drawn[x]).mean(axis=1) >= likely] if len(y) else y
+            both = np.minimum(cells[y], cells[x]).sum(axis=1)
+            y = y[both >= (least - 1e-9) * (weight[y] + weight[x] - both)]
             for k in y:
                 if part(root[x]) != part(root[k]) and weighted_jaccard(bags[x], bags[k]) >= least - 1e-9:
                     parts[part(root[x])] = part(root[k])
@@ -312,7 +318,7 @@ def mixed_links(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, texts: D
 
 def near_copy_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
                       words: int = WORDS, similarity: float = SIMILARITY, rows: int = ROWS,
-                      bands: int = BANDS, likely: float = LIKELY, block: int = BLOCK
+                      bands: int = BANDS, block: int = BLOCK
                       ) -> tuple[DataFrame, DataFrame]:
     """Classes of near copies.
 
@@ -327,8 +333,7 @@ def near_copy_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     idf = spark.sparkContext.broadcast(rarity(frequencies, documents))  # BUCKETS floats
     signed = written(sign(plain, "id", "text", idf, words, rows, bands), "signed")
     nodes = written(signed.groupBy("digest").agg(
-        F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"),
-        F.first("samples").alias("samples")).withColumn("node", F.monotonically_increasing_id()),
+        F.min("id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
         "nodes")
     members = nodes.where("bands is not null").select(
         "node", F.posexplode("bands").alias("band", "key"))
@@ -349,7 +354,7 @@ def near_copy_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
                                & (found["wanted_digest"] == wanted["wanted_digest"]))
                     .select("node", "text").dropDuplicates(["node"]), "texts")
     links = written(verified(stars, texts, idf, words, similarity), "links")
-    more = written(mixed_links(buckets, nodes, components(links), texts, idf, words, similarity, likely, block),
+    more = written(mixed_links(buckets, nodes, components(links), texts, idf, words, similarity, block),
                    "links")
     roots = components(links.select("a", "b").union(more.select("a", "b")))
     rooted = nodes.select("digest", "id", "node").join(roots, "node", "left").withColumn(
