@@ -43,7 +43,7 @@ def compare(name, frame, connection, oracles=ORACLES):
     types = sorted(zip(columns, [t for _, t in frame.dtypes]))
     duck = sorted((d[0], str(d[1])) for d in result.description)
     note = [f"{a[0]}:{a[1]}/{b[1]}" for a, b in zip(types, duck)
-            if {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+            if {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
                 "boolean": "BOOLEAN"}.get(a[1]) != b[1]]
     if len(mine) != len(theirs):
         return f"rows {len(mine)} != {len(theirs)} types {note}", False
