@@ -27,12 +27,16 @@ def edge_tables(spark, edge, tmp_path_factory):
     items = [(1, "a B c d e f a b c d e g"), (2, "same LINE other"), (3, None), (4, "..."), (None, "short text"),
              (5, "word7 line7 word8 line8 word9 line9 word10 line10 word11 line11 word12")]
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    vectors = [(i % 40, [((i * j) % 17 - 8) / 8.0 for j in range(64)]) for i in range(60)]
+    vectors += [(None, [0.25] * 64), (None, None), (70, [1.0]), (71, [float("nan")] * 64), (72, [None] * 64),
+                (73, [float("-inf")] * 64), (74, [])]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 def same(spark, name, folder):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "embeddings"):
         files = f"{folder}/{table}.parquet" + ("" if folder == TINY else "/*.parquet")
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{files}'")
     said, ok = compare(name, QUERIES[name](spark, folder), connection, ORACLES)

@@ -104,5 +104,30 @@ SELECT id AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (rid)""")
 
+
+
+def _heap_clusters(clusters: int = 8, rounds: int = 10, dimensions: int = 64) -> str:
+    """Lloyd's rounds one after another, each a table of centroids (k, c) and one of assignments (rid, k)."""
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, sha256('3:' || vec_id) AS h,
+    list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda e: isfinite(e::DOUBLE))) = {dimensions})""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS k, x AS c
+  FROM (SELECT h, x FROM v ORDER BY h NULLS LAST, x LIMIT {clusters}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT rid, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+  SELECT rid, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+  FROM v CROSS JOIN c{i}) GROUP BY rid)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{i} LEFT JOIN (
+  SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS m FROM (
+    SELECT k, j, sum(e) AS s, count(*) AS n FROM (
+      SELECT k, unnest(x) AS e, generate_subscripts(x, 1) AS j FROM v JOIN a{i} USING (rid)) GROUP BY k, j)
+  GROUP BY k) USING (k))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (rid) JOIN c{rounds} USING (k)"""
+
+
 ORACLES = {"op1_archives": ARCHIVES, "op5_secrets": SECRETS, "op8_quality_rules": QUALITY,
-           "op10_decontamination": DECONTAMINATION}
+           "op10_decontamination": DECONTAMINATION, "op12_heap_clusters": _heap_clusters()}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import (archives, byte_pairs, decontaminate, language_model, near_copies, pseudonyms,
-                           quality_rules, secret_scan, severity, url_rules)
+from truegauge.llm import (archives, byte_pairs, decontaminate, heap_clusters, language_model, near_copies,
+                           pseudonyms, quality_rules, secret_scan, severity, simhash, url_rules, whitening)
 from truegauge.llm.common import new_folder
 from truegauge.llm.oracles import ORACLES  # noqa: F401 - the driver contract reads it here
 
@@ -114,3 +114,37 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.size("found_items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("found_items", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"))
+
+
+@query
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_copies(read(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
+@query
+def op12_heap_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    members, centroids = heap_clusters.clustered(read(spark, folder, "embeddings"))
+    rows = centroids.collect()  # one a cluster
+    if not rows:
+        rows = [(0, [], 0, 0, [])]
+    total = sum(r[3] for r in rows)
+    inertia = F.get(F.array(*[F.lit(r[3]).cast("bigint") for r in rows]), F.col("cluster"))
+    digest = F.get(F.array(*[F.lit(heap_clusters.centroid_digest(r[1])) for r in rows]), F.col("cluster"))
+    return members.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", inertia.alias("cluster_inertia"),
+        F.lit(total).cast("bigint").alias("inertia"), digest.alias("centroid_sha256"))
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings")
+    model = whitening.fit(vectors)
+    n, shares, error = 0, [0.0], 0.0
+    if model is not None and len(model.values):
+        n, error, shares = model.n, model.identity_error, (model.values / model.trace).tolist()
+    explained = F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("component") - 1)
+    return whitening.whitened(vectors, model).select(
+        F.col("id").alias("vec_id"), "component", F.lit(n).cast("bigint").alias("n"), "deviation", "whitened",
+        explained.alias("explained"), F.lit(error).alias("identity_error"))
