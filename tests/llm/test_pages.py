@@ -68,6 +68,43 @@ def test_same_rows_same_bytes(spark, pages):
     assert names[0] == names[1]
 
 
+def test_many_tiny_shards_and_one_heavy_key(spark):
+    """9,000 keys in far more shards than tasks; then one key, the nulls and one repeated row fill many shards."""
+    rows = spark.range(9000, numPartitions=4).selectExpr("id * 7 AS page_id", "concat('u', id) AS url",
+                                                          "repeat('x', int(id % 50)) AS html")
+    folder = new_folder(spark, "archive")
+    manifest = archives.write_archive(rows, folder, shard_bytes=5000)
+    names = [r["name"] for r in manifest.orderBy("name").collect()]
+    assert len(names) > 800
+    ranges = [(r["first_key"], r["last_key"]) for r in manifest.orderBy("name").collect()]
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert archives.read_archive(spark, folder, False).select("key").distinct().count() == 9000
+
+    one = [(5, f"u{i % 3}", f"text {i % 40}") for i in range(400)] + [(None, None, "same")] * 300
+    one += [(8, "v", "same")] * 300 + [(3, "w", "text 7"), (9, "w", "same")] + [(k, None, None) for k in range(20, 40)]
+    found = []
+    for partitions in (1, 6):
+        frame = spark.createDataFrame(one, "page_id bigint, url string, html string").repartition(partitions)
+        folder = new_folder(spark, "archive")
+        files = archives.write_archive(frame, folder, shard_bytes=4000).collect()
+        assert max(r["records"] for r in files) <= 2 * 4000 / archives.HEAD_BYTES  # a cell more than a shard, at most
+        assert columns(archives.read_archive(spark, folder)) == expected(one)
+        found.append({(r["name"], r["sha256"]) for r in files})
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_plan_of_very_many_shards(spark):
+    """Made-up sizes of 2 TB: no driver loop, shards grow so that their number is bounded."""
+    cells = spark.range(200_000, numPartitions=8).select(
+        F.unhex(F.lpad(F.hex("id"), 98, "0")).alias("code"), F.lit(1).cast("bigint").alias("copies"),
+        (F.lit(10_000_000) + F.col("id") % 7).alias("size"))
+    placed, step = archives.planned(cells, 1 << 20)
+    total = sum(10_000_000 + i % 7 for i in range(200_000))
+    assert step == -(-total // archives.MOST_SHARDS)
+    assert placed.agg(F.max("before")).head()[0] == total - 10_000_000 - 199_999 % 7
+    assert placed.select(F.floor(F.col("before") / step)).distinct().count() > 90_000
+
+
 def test_uncommitted_files_are_not_read(spark, pages):
     folder = new_folder(spark, "archive")
     archives.write_archive(pages, folder)

@@ -1,6 +1,7 @@
 """Deterministic sharded WARC archives.
 
-Rows are range-sorted by key into shards, each shard is rolled into files by compressed
+Rows are range-sorted by key, payload digest and url digest; shards are cut at multiples of the running
+bytes in that order, so one key or the null keys may fill many. Each shard is rolled into files by compressed
 size, every record is its own gzip member with headers and digests made anew, and files
 are written under temporary names and committed through a manifest. The same rows and
 settings give the same files, byte for byte, however the input was partitioned.
@@ -20,7 +21,7 @@ import hashlib
 import io
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,14 +31,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truegauge.llm.common import written
+from truegauge.operators.ordered import running
 from truegauge.session import ship_package
 
-#: Payload bytes of a shard; shards are what tasks write.
-SHARD_BYTES = 64 << 20
+#: Bytes of a shard before compression; shards are what tasks write.
+SHARD_BYTES = 16 << 20
+#: Shards are made larger rather than more than this, so that their first codes (49 bytes each) can go to all tasks.
+MOST_SHARDS = 100_000
+#: What a record takes besides its payload.
+HEAD_BYTES = 512
 #: Compressed bytes after which a file is closed.
 FILE_BYTES = 16 << 20
-#: Key ranges counted at a time to cut shards.
-CELLS = 4096
 #: Tasks that read archives, each one or more files.
 READ_TASKS = 20_000
 #: Archives carry no clock time, so that they can be made again.
@@ -59,58 +63,40 @@ def digested(rows: DataFrame, payload: str) -> DataFrame:
 
 
 def revisits(full: DataFrame, key: str, min_revisit: int = 0) -> DataFrame:
-    """(key, sha1, refers) of the rows that revisit another; payloads don't travel.
+    """(key, sha1, code, refers) of the rows that revisit another; payloads don't travel.
 
     Nothing is grouped after the join, so that a payload of very many rows can be split.
     """
     narrow = full.where(F.col(key).isNotNull() & (F.col("__bytes") >= min_revisit)).select(
-        F.col(key).alias("__key"), F.col("__sha1").alias("__digest"))
+        F.col(key).alias("__key"), F.col("__sha1").alias("__digest"), "code")
     firsts = narrow.groupBy(F.col("__digest").alias("__d")).agg(F.min("__key").alias("__refers"))
     return narrow.join(firsts, narrow["__digest"] == firsts["__d"]).where(
         F.col("__key") != F.col("__refers")).drop("__d")
 
 
-def shard_column(rows: DataFrame, key: str, size: str, shard_bytes: int) -> Callable[[Column], Column]:
-    """A function from a key to its shard number: runs of keys of about ``shard_bytes``, the same for the same rows.
+def order_code(key: str, url: str) -> Column:
+    """49 bytes that sort as (key with nulls first, payload digest, digest of the url) do."""
+    number = F.lpad(F.hex(F.col(key).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.unhex(F.concat(F.coalesce(F.concat(F.lit("01"), number), F.lit("00" * 9)), "__sha1",
+                            F.coalesce(F.sha1(F.col(url).cast("binary")), F.lit("00" * 20))))
 
-    Key ranges are counted in at most ``CELLS`` cells a pass; a cell that is too heavy and still
-    holds more than one key is cut finer in the next pass. Null keys are in shard 0.
+
+def whole(number: Column, divisor: Column) -> Column:
+    """Integer division, down."""
+    return ((number - F.pmod(number, divisor)) / divisor).cast("bigint")
+
+
+def planned(cells: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """``cells(code, copies, size)`` with the bytes before each in order, and the bytes of a shard.
+
+    Chunks of the order are Spark's ranges; a running sum joins them, so neither one key nor the
+    nulls have to fit a task. Shards grow beyond ``shard_bytes`` only to be ``MOST_SHARDS`` at most.
     """
-    known = rows.where(F.col(key).isNotNull())
-    low, high = known.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return lambda column: F.lit(0).cast("int")
-    todo, weights = [(low, high + 1)], {}
-    while todo:
-        wide = [(a, b, max(1, -(-(b - a) // max(1, CELLS // len(todo))))) for a, b in todo]
-        cell = F.lit(None).cast("bigint")
-        for a, b, step in wide:
-            cell = F.when((F.col(key) >= a) & (F.col(key) < b),
-                          F.floor((F.col(key) - a) / step) * step + a).otherwise(cell)
-        counted = known.select(cell.alias("cell"), F.col(size).alias("size")).where(
-            "cell is not null").groupBy("cell").agg(F.sum("size").alias("size")).collect()  # CELLS rows at most
-        todo = []
-        for start, total in sorted((r["cell"], r["size"]) for r in counted):
-            a, b, step = next(x for x in wide if x[0] <= start < x[1])
-            if total > shard_bytes and step > 1 and len(todo) < CELLS:
-                todo.append((start, min(b, start + step)))
-            else:
-                weights[start] = total
-    starts, filled = [], 0
-    for start in sorted(weights):
-        if not starts or filled + weights[start] > shard_bytes:
-            starts.append(start)
-            filled = 0
-        filled += weights[start]
-    # One number per shard goes to the tasks.
-    shared = rows.sparkSession.sparkContext.broadcast(np.array(starts, dtype=np.int64))
-
-    @F.pandas_udf("int")
-    def place(keys: pd.Series) -> pd.Series:
-        found = np.searchsorted(shared.value, keys.fillna(low).astype("int64").to_numpy(), "right") - 1
-        return pd.Series(np.maximum(found, 0).astype("int32"))
-
-    return place
+    ranged = written(cells.repartitionByRange("code").withColumn("chunk", F.spark_partition_id()), "cells")
+    weight = F.col("copies") * F.col("size")
+    total = ranged.agg(F.sum(weight.cast("decimal(38,0)"))).head()[0] or 0
+    placed = running(ranged, [], ["code"], F.col("chunk"), {"before": ("sum", weight)}, inclusive=False)
+    return placed.drop("chunk"), max(shard_bytes, -(-int(total) // MOST_SHARDS))
 
 
 def _member(kind: str, key: str, url: str, sha1: str, size: int, refers: int | None,
@@ -182,33 +168,72 @@ def write_archive(rows: DataFrame, folder: str, key: str = "page_id", url: str =
     ship_package(spark)
     plain = rows.select(F.col(key).cast("bigint").alias("key"), F.col(url).alias("url"),
                         F.col(payload).alias("payload"))
-    sized = plain.withColumn("__size", F.octet_length(F.coalesce("payload", F.lit(""))).cast("bigint"))
-    place = shard_column(sized, "key", "__size", shard_bytes)
-    # Payloads are dealt once, by shard. A mark goes ahead of the rows that revisit another.
-    full = digested(plain, "payload")
-    marks = revisits(full, "key", min_revisit).select(
-        F.col("__key").alias("key"), F.lit(None).cast("string").alias("url"),
-        F.lit(None).cast("string").alias("payload"), F.col("__digest").alias("__sha1"),
-        F.lit(None).cast("bigint").alias("__bytes"), "__refers")
-    dealt = full.withColumn("__refers", F.lit(None).cast("bigint")).unionByName(marks).withColumn(
-        "shard", place(F.col("key"))).repartition("shard").sortWithinPartitions(
-        "shard", F.col("key").asc_nulls_first(), "__sha1", F.col("__refers").asc_nulls_last(),
-        F.col("url").asc_nulls_first())
+    sized = digested(plain, "payload").withColumn("__size", F.col("__bytes") + HEAD_BYTES)
+    ordered = sized.withColumn("code", order_code("key", "url"))
+    cells, step = planned(ordered.groupBy("code").agg(
+        F.count(F.lit(1)).alias("copies"), F.max("__size").alias("size")), shard_bytes)
+    cells = written(cells, "cells")
+    # Rows that repeat key, payload and url give one record; where they outweigh a shard, it is sent once and counted.
+    heavy = written(cells.where((F.col("copies") > 1) & (F.col("copies") * F.col("size") > step)), "heavy")
+    shard = whole(F.col("before"), F.lit(step))
+    last = whole(F.col("before") + F.col("copies") * F.col("size") - 1, F.lit(step))
+    begun = cells.groupBy(shard.alias("shard")).agg(F.min("code").alias("code")).select(
+        "code", "shard", F.col("shard").alias("last"))
+    begun = {bytes(r["code"]): (r["shard"], r["last"]) for r in begun.union(
+        heavy.select("code", shard, last)).collect()}  # at most MOST_SHARDS of each
+    shards = 1 + max((r[1] for r in begun.values()), default=0)
+    codes = sorted(begun)
+    starts = spark.sparkContext.broadcast((np.array(codes, "S49"), np.array(
+        [begun[c] for c in codes], np.int32).reshape(-1, 2)))
+
+    def place(side: int):
+        @F.pandas_udf("int")
+        def run(codes: pd.Series) -> pd.Series:
+            first, number = starts.value
+            found = np.searchsorted(first, np.array(codes.tolist(), "S49"), "right") - 1
+            return pd.Series(number[np.maximum(found, 0), side])
+        return run
+
+    plain, some_heavy = ordered, not heavy.isEmpty()
+    if some_heavy:
+        plain = ordered.join(heavy.select("code"), "code", "left_anti")
+        # Copy i begins at before + i * size: so many copies begin before a shard's end.
+        upto = lambda n: F.least("copies", F.greatest(F.lit(0), whole(
+            n * step - F.col("before") + F.col("size") - 1, F.col("size"))))
+        counted = ordered.join(heavy.select("code"), "code", "left_semi").groupBy("code").agg(
+            *[F.any_value(c).alias(c) for c in ordered.columns if c != "code"]).join(heavy, "code").withColumn(
+            "shard", F.explode(F.sequence(shard, last))).withColumn(
+            "copies", (upto(F.col("shard") + 1) - upto(F.col("shard"))).cast("bigint")).withColumn(
+            "shard", F.col("shard").cast("int")).drop("before", "size")
+    plain = plain.withColumns({"copies": F.lit(1).cast("bigint"), "shard": place(0)("code")})
+    if some_heavy:
+        plain = plain.unionByName(counted.where("copies > 0"))
+    # Payloads are dealt once, by shard. A mark goes ahead of the rows that revisit another, to every shard that has some.
+    start = F.expr("substring(code, 1, 29)")
+    edge = lambda byte: F.concat(start, F.unhex(F.lit(byte * 20)))
+    marks = revisits(ordered, "key", min_revisit).withColumn(
+        "shard", F.explode(F.sequence(place(0)(edge("00")), place(1)(edge("FF"))))).select(
+        F.col("__key").alias("key"), F.col("__digest").alias("__sha1"), "__refers", "shard",
+        edge("00").alias("code"))
+    dealt = plain.unionByName(marks, allowMissingColumns=True).repartitionById(shards, "shard").sortWithinPartitions(
+        "shard", "code", F.col("__refers").asc_nulls_last())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, marked, target = None, None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                k, link, text, sha1, size, refers, own = (column[row].as_py() for column in batch.columns)
+                k, link, text, sha1, size, refers, own, copies = (column[row].as_py() for column in batch.columns)
                 if refers is not None:
                     marked, target = (k, sha1), refers
                     continue
                 refers = target if marked == (k, sha1) else None
                 files = files or _Files(folder, file_bytes)
-                files.add(own, k, _member(
+                member = _member(
                     "response" if refers is None else "revisit", "-" if k is None else str(k),
                     "".join((link or "urn:none").split()), _digest(sha1), size, refers,
-                    b"" if refers is not None else (text or "").encode(), date))
+                    b"" if refers is not None else (text or "").encode(), date)
+                for _ in range(copies):
+                    files.add(own, k, member)
         if files is not None:
             found = files.finish()
             names = ["name", "temporary", "records", "bytes", "sha256", "first_key", "last_key"]
@@ -216,7 +241,7 @@ def write_archive(rows: DataFrame, folder: str, key: str = "page_id", url: str =
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[n] for x in found], t) for n, t in zip(names, kinds)], names=names)
 
-    entries = written(dealt.select("key", "url", "payload", "__sha1", "__bytes", "__refers", "shard")
+    entries = written(dealt.select("key", "url", "payload", "__sha1", "__bytes", "__refers", "shard", "copies")
                       .mapInArrow(write, MANIFEST), "manifest")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
