@@ -172,6 +172,10 @@ def split_violations(split: "Split", context_bins: int) -> DataFrame:
         found.append(shared_sessions(blocks))
     if split.kind in ANIMAL_KINDS:
         found.append(shared_subjects(blocks))
+    if split.target not in ("bin", "trial"):
+        raise SplitViolation(f"unknown target {split.target!r}")
+    if split.target == "trial" and split.trials is None:
+        raise SplitViolation("a split for trial targets needs its trials, so that none straddles a border")
     if split.trials is not None:
         found.append(straddling_trials(split.trials))
     return reduce(DataFrame.unionByName, found)

@@ -45,6 +45,8 @@ class Split:
     required_parts: tuple[str, ...] = ("train", "test")
     bin_width_us: int | None = None
     chunk_bins: int = field(default=4096, repr=False)
+    #: What is predicted: a value per "bin", or per "trial", which then needs ``trials``.
+    target: str = "bin"
 
     def __post_init__(self) -> None:
         from truegauge.operators.guards import assert_split_valid
@@ -63,6 +65,15 @@ class Split:
                 .withColumn("n_pos", F.col("_stop") - F.col("start_bin"))
                 .drop("start_bin", "_stop"))
 
+    def trial_rows(self, df: DataFrame, *parts: str, width_us: int) -> DataFrame:
+        """Trials of ``df(eid, start_us, end_us, ...)`` wholly inside a block of the given parts.
+
+        Only a split that declares trial targets, and so was guarded on its trials, gives them.
+        """
+        if self.target != "trial":
+            raise ValueError("this split was not made for trial targets")
+        return assign_trials(df, self.blocks, width_us).where(F.col("part").isin(*parts))
+
     def bin_spans(self, *parts: str) -> DataFrame:
         """The blocks of the given parts as (eid, part, start_bin, end_bin)."""
         return self.blocks.where(F.col("part").isin(*parts)).select(

@@ -5,11 +5,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truegauge import PREPROC_VERSION
+from truegauge.functions.hashing import hash_bucket
+from truegauge.sources import runs
+
+#: Partitions of a run's data by key; a hit lists and reads only those of its keys.
+BUCKETS = 256
+INDEX = "cache_key string, run string"
 
 
 def config_hash(spark: SparkSession, config: Mapping[str, object]) -> str:
@@ -26,32 +31,36 @@ def cache_keys(sessions: DataFrame, config: Mapping[str, object],
     return sessions.select("eid", F.sha2(text, 256).alias("cache_key"))
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def cached(sessions: DataFrame, compute: Callable[[DataFrame], DataFrame], root: str,
            config: Mapping[str, object], version: str = PREPROC_VERSION) -> DataFrame:
     """Results for all ``sessions(eid)``, computing only the ones not stored yet.
 
-    ``compute`` gets the missing sessions. Data are appended first and the keys
-    recorded after, so an interrupted run is repeated, not half trusted; rows are read
-    through the index of a run, so leftovers of such a run are never returned.
+    ``compute`` gets the missing sessions. A run writes its data first and its index last, each
+    in a folder of its own, so an interrupted run is repeated, not half trusted. Where runs
+    at the same time stored one key, the run with the smallest id counts for it. Rows are
+    read through run and session bucket, both partitions of the data.
     """
     spark = sessions.sparkSession
-    wanted = cache_keys(sessions, config, version)
-    index = _read(spark, f"{root}/index")
+    wanted = cache_keys(sessions, config, version).withColumn(
+        "session_bucket", hash_bucket(BUCKETS, "cache_key"))
+    index = runs.existing(spark, f"{root}/index", schema=INDEX)
     missing = wanted if index is None else wanted.join(index, "cache_key", "left_anti")
     if not missing.isEmpty():
-        run = spark.range(1).select(F.uuid()).head()[0]
-        fresh = compute(missing.select("eid")).join(missing, "eid").withColumn("run", F.lit(run))
-        fresh.write.mode("append").partitionBy("run").parquet(f"{root}/data")
-        missing.select("cache_key", F.lit(run).alias("run")).write.mode("append").parquet(
-            f"{root}/index")
-        index = spark.read.parquet(f"{root}/index")
-    live = index.join(wanted.select("cache_key"), "cache_key", "left_semi")
-    data = spark.read.parquet(f"{root}/data")
-    return data.join(live, ["cache_key", "run"], "left_semi").drop("cache_key", "run")
+        run = runs.new_run()
+        fresh = compute(missing.select("eid")).join(missing, "eid")
+        fresh.write.partitionBy("session_bucket").parquet(runs.run_folder(f"{root}/data", run))
+        missing.select("cache_key").write.parquet(runs.run_folder(f"{root}/index", run))
+    return stored(spark, wanted, root)
+
+
+def stored(spark: SparkSession, wanted: DataFrame, root: str) -> DataFrame:
+    """Rows of the wanted keys (cache_key, session_bucket), each from the one run that counts."""
+    index = spark.read.schema(INDEX).parquet(f"{root}/index")
+    live = (index.join(wanted.select("cache_key", "session_bucket"), "cache_key")
+            .groupBy("cache_key").agg(F.min("run").alias("run"), F.min("session_bucket").alias("session_bucket")))
+    # BUCKETS values at most, so that the scan lists only their folders.
+    buckets = sorted(r[0] for r in live.select("session_bucket").distinct().collect())
+    data = spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data").where(
+        F.col("session_bucket").isin(buckets))
+    return data.join(live.select("cache_key", "run"), ["cache_key", "run"], "left_semi").drop(
+        "cache_key", "run", "session_bucket")

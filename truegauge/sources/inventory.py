@@ -5,11 +5,19 @@ An inventory has one row per named object of a file: file, path (and dtype, shap
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from truegauge.session import ship_package
+
+READ_BYTES = 1 << 22
+
 # Fixed patterns: what a path has to contain to count as the named content.
 PROBE_RULES = {
     "units_table": r"(^|/)units(/|$)",
@@ -52,10 +60,31 @@ def revision_drift(files: DataFrame, pin_date: str) -> DataFrame:
         F.count_if(F.col("revision").isNull()).alias("n_undated"))
 
 
-def landed_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """sha256 of every landed file, each read whole by the task that holds it."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-            .select(F.col("path").alias("file"), F.sha2("content", 256).alias("checksum")))
+def landed_checksums(spark: SparkSession, folder: str, tasks: int | None = None) -> DataFrame:
+    """(file, n_bytes, checksum) of every landed file, sha256 over a stream of ``READ_BYTES``.
+
+    Spark lists the files and deals them to tasks; no row holds a file's content, so a file may
+    be larger than a task's memory.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
+        F.col("path").alias("file"), F.col("length").alias("n_bytes"))
+    ship_package(spark)
+    dealt = listed.repartition(tasks, "file") if tasks else listed.repartition("file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                digest = hashlib.sha256()
+                scheme, _, plain = batch["file"][row].as_py().partition(":")
+                system, path = fs.FileSystem.from_uri(f"{scheme}:{quote(plain)}")
+                with system.open_input_stream(path, compression=None) as stream:
+                    while data := stream.read(READ_BYTES):
+                        digest.update(data)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["file"].slice(row, 1), batch["n_bytes"].slice(row, 1), pa.array([digest.hexdigest()])],
+                    names=["file", "n_bytes", "checksum"])
+
+    return dealt.mapInArrow(run, "file string, n_bytes bigint, checksum string")
 
 
 def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:

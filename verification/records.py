@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from truegauge.operators import baselines, binning, integrity, report, splits
 from truegauge.plans import contract, protocols
 from truegauge.session import cut_lineage, shared_folder
-from truegauge.sources import artifacts, cache, inventory, sessions
+from truegauge.sources import artifacts, cache, inventory, runs, sessions, split_store
 from verification.bindings import BIN_US, N_BINS, Tables
 from verification.ctes import cte, sql
 from verification.modelling import LAM, preds, rmse
@@ -62,6 +62,28 @@ def _(t: Tables):
     return sessions.select_sessions(t.sessions, 50, 10, 3).select("eid", "subject", "lab")
 
 
+def stored_split(t: Tables) -> split_store.StoredSplit:
+    """The within-session split written to its file once, then read and checked."""
+    if "_stored_split" not in t.__dict__:
+        root = shared_folder(t.spark) + "/splits-" + runs.new_run()
+        name = split_store.save_split(t.within, root, t.sessions)
+        t.__dict__["_stored_split"] = split_store.load_split(t.spark, root, name, t.sessions)
+    return t.__dict__["_stored_split"]
+
+
+@query("e10_split_file", sql("within_blocks", """
+SELECT split_id, kind, part, eid, subject, lab, start_bin, end_bin FROM within_blocks"""))
+def _(t: Tables):
+    return stored_split(t).blocks
+
+
+@query("c09_stored_norm", sql("norm", """
+SELECT eid, unit_id, round(mean, 6) AS mean, round(std, 6) AS std, n FROM norm"""))
+def _(t: Tables):
+    """Statistics fit under the stored split and read back from its file."""
+    return rounded(stored_split(t).fit_norm(t.bins, t.units).drop("split_hash"), "mean", "std")
+
+
 CONFIG = {"width_us": BIN_US, "context": 4}
 
 
@@ -123,6 +145,23 @@ def _(t: Tables):
     return inventory.verify_checksums(landed, announced)
 
 
+@query("a06_landed_files", sql("files", """
+SELECT shelf, strlen(t)::BIGINT AS n_bytes, sha256(t) AS checksum,
+       CASE WHEN shelf % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS status
+FROM (SELECT page_id % 64 AS shelf, string_agg(html || chr(10), '' ORDER BY page_id) AS t FROM files GROUP BY ALL)"""))
+def _(t: Tables):
+    """All pages written as files, one a shelf, then hashed as they landed; every fifth sum was announced wrongly."""
+    root = shared_folder(t.spark) + "/landed-" + runs.new_run()
+    shelves = files(t).select((F.col("page_id") % 64).alias("shelf"), "page_id", "html")
+    shelves.repartition("shelf").sortWithinPartitions("shelf", "page_id").select("shelf", "html").write.partitionBy(
+        "shelf").text(root)
+    landed = cut_lineage(inventory.landed_checksums(t.spark, root).where(F.col("file").contains("/shelf=")).withColumn(
+        "shelf", F.regexp_extract("file", "shelf=([0-9]+)/", 1).cast("bigint")))
+    wrong = F.when(F.col("shelf") % 5 == 0, F.sha2("checksum", 256)).otherwise(F.col("checksum"))
+    return inventory.verify_checksums(landed, landed.select("file", wrong.alias("checksum"))).join(
+        landed, "file").select("shelf", "n_bytes", "checksum", "status")
+
+
 @query("a07_artifacts", sql("preds", """
 SELECT eid, bin, round(y, 6) AS y, round(yhat, 6) AS yhat FROM preds"""))
 def _(t: Tables):
