@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from truegauge.functions.stats import slope
 from truegauge.operators.binning import session_bins
 from truegauge.operators.splits import Split
+from truegauge.session import ship_package
 
 
 # --- sufficient statistics --------------------------------------------------------
@@ -96,6 +97,8 @@ def solve_ridge(grams: DataFrame, keys: Sequence[str], d: int, lam: float) -> Da
         return fitted.withColumn("intercept", my - F.col("coef")[0] * mx).select(
             *keys, "intercept", "coef")
 
+    ship_package(grams.sparkSession)
+
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             intercept, coef = _ridge(batch, d, lam)
@@ -186,6 +189,7 @@ def fit_rrr(split: Split, rows: DataFrame, xs: Sequence[str], y: str, rank: int,
     grams = gram(split.rows(rows, "train"), ["eid"], xs, y)
     first = solve_ridge(grams, ["eid"], d, lam)
     basis = shared_basis(first, grams.select("eid", "n"), d, rank)
+    ship_package(rows.sparkSession)
 
     def refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -9,7 +9,7 @@ ridge, reduced rank and squared errors are arithmetic on these rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,28 +77,65 @@ class Moment:
         return float(self.n * (turn @ self.mean - intercept) ** 2 + turn @ self.moment @ turn)
 
 
-def _merged(frame: pd.DataFrame) -> Moment:
-    """Pairwise, so that rounding grows with the depth of the tree."""
-    parts = [Moment.unpacked(*r) for r in zip(frame["n"], frame["mean"], frame["moment"])]
-    while len(parts) > 1:
-        parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
+def merged_by(parts: DataFrame, keys: Sequence[str], columns: Sequence[str], schema: str,
+              unpack: Callable[..., object], pack: Callable[[object], Sequence]) -> DataFrame:
+    """Values of ``columns`` (numbers or arrays of one length) added up per key.
 
+    Rows are dealt by key and sorted, so that a task adds runs of rows without a call per group. They are
+    added pairwise, by a ladder of sums of 1, 2, 4, ... rows, so rounding grows with its height.
+    """
+    ship_package(parts.sparkSession)
+    types = dict(parts.dtypes)
+    full = ", ".join([*[f"{k} {types[k]}" for k in keys], schema])
+    dealt = parts.select(*keys, *columns)
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys) if keys else dealt.coalesce(1)
 
-def _row(keys: dict, m: Moment) -> pd.DataFrame:
-    return pd.DataFrame([{**keys, "n": m.n, "mean": m.mean, "moment": m.moment.ravel()}])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ladder, done, kinds = None, [], [], None
 
+        def finish() -> None:
+            total = ladder[-1][1]
+            for _, value in reversed(ladder[:-1]):
+                total = total + value
+            done.append((*current, *pack(total)))
 
-def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of moments merged per key."""
-    ship_package(parts.sparkSession)
-    types = dict(parts.dtypes)
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], MOMENTS])
+        def out() -> pa.RecordBatch:
+            names = [*keys, *columns]
+            arrays = [pa.array([r[i] for r in done], kinds[i]) for i in range(len(names))]
+            done.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return _row({k: frame[k].iloc[0] for k in keys}, _merged(frame))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = kinds or [column.type for column in batch.columns]
+            keyed = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))])) or [()] * batch.num_rows
+            values = [c.to_numpy(zero_copy_only=False) if not pa.types.is_list(c.type) else
+                      c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                      for c in batch.columns[len(keys):]]
+            for row, key in enumerate(keyed):
+                if key != current:
+                    if ladder:
+                        finish()
+                    current, ladder = key, []
+                rank, value = 0, unpack(*[v[row] for v in values])
+                while ladder and ladder[-1][0] == rank:
+                    rank, value = rank + 1, ladder.pop()[1] + value
+                ladder.append((rank, value))
+                if len(done) >= 1024:
+                    yield out()
+        if ladder:
+            finish()
+        if done:
+            yield out()
 
-    return parts.select(*keys, "n", "mean", "moment").groupBy(*keys).applyInPandas(add, schema)
+    return dealt.mapInArrow(run, full)
+
+
+def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of moments merged per key."""
+    return merged_by(parts, keys, ("n", "mean", "moment"), MOMENTS, Moment.unpacked,
+                     lambda m: (m.n, m.mean, m.moment.ravel()))
 
 
 def moments(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

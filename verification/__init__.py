@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("preprocessing", "splitting", "modelling", "trust", "records")
+MODULES = ("preprocessing", "splitting", "modelling", "trust", "records", "kinds")
 
 
 def load_all() -> None:
