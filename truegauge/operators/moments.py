@@ -132,16 +132,21 @@ def merged_by(parts: DataFrame, keys: Sequence[str], columns: Sequence[str], sch
     return dealt.mapInArrow(run, full)
 
 
+def _packed(m: Moment) -> Sequence:
+    return m.n, m.mean, m.moment.ravel()
+
+
 def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of moments merged per key."""
-    return merged_by(parts, keys, ("n", "mean", "moment"), MOMENTS, Moment.unpacked,
-                     lambda m: (m.n, m.mean, m.moment.ravel()))
+    return merged_by(parts, keys, ("n", "mean", "moment"), MOMENTS, Moment.unpacked, _packed)
 
 
-def moments(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """(keys, n, mean, moment) of the vectors ``x`` with ``y`` appended; rows with a null in either are left out.
+def summed_by(rows: DataFrame, keys: Sequence[str], x: str, y: str, of: Callable[[np.ndarray, np.ndarray], object],
+              columns: Sequence[str], schema: str, unpack: Callable[..., object],
+              pack: Callable[[object], Sequence]) -> DataFrame:
+    """``of(vectors, targets)`` of each key's rows, added up; rows with a null in either are left out.
 
-    Every row of ``x`` has to have one length. A hot key is summed where its rows lie; what is
+    Every vector has to have one length. A hot key is summed where its rows lie; what is
     shuffled is a block per task and key, and these meet in groups of bounded size.
     """
     ship_package(rows.sparkSession)
@@ -149,45 +154,53 @@ def moments(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     given = rows.select(*keys, F.col(x).cast("array<double>").alias("_x"), F.col(y).cast("double").alias("_y")).where(
         "_x is not null and _y is not null and not exists(_x, v -> v is null)")
     names = [f"_k{i}" for i in range(len(keys))]
-    schema = ", ".join([*[f"{n} {types[k]}" for n, k in zip(names, keys)], MOMENTS, "_salt int"])
+    full = ", ".join([*[f"{n} {types[k]}" for n, k in zip(names, keys)], schema, "_salt int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         salt = TaskContext.get().partitionId() % FAN_IN
-        kinds = None
-        found: dict[tuple, Moment] = {}
+        kinds, held = None, 0
+        found: dict[tuple, object] = {}
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array([k[i] for k in found], kinds[i]) for i in range(len(keys))]
-            return pa.RecordBatch.from_arrays([
-                *columns, pa.array([m.n for m in found.values()]), pa.array([m.mean for m in found.values()]),
-                pa.array([m.moment.ravel() for m in found.values()]), pa.array([salt] * len(found), pa.int32())],
-                names=[*names, "n", "mean", "moment", "_salt"])
+            packed = [pack(value) for value in found.values()]
+            arrays = [pa.array([k[i] for k in found], kinds[i]) for i in range(len(keys))]
+            arrays += [pa.array([p[i] for p in packed]) for i in range(len(columns))]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([salt] * len(found), pa.int32())],
+                                              names=[*names, *columns, "_salt"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             kinds = kinds or [batch.column(i).type for i in range(len(keys))]
-            width = len(batch.column(len(keys))[0])
-            values = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            z = np.column_stack((values, batch.column(len(keys) + 1).to_numpy(zero_copy_only=False)))
+            values = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            target = batch.column(len(keys) + 1).to_numpy(zero_copy_only=False)
             where = pd.DataFrame({n: batch.column(i).to_pandas() for i, n in enumerate(names)}) if keys else None
-            groups = where.groupby(names, sort=False, dropna=False).indices if keys else {(): np.arange(len(z))}
-            for key, places in groups.items():
-                first = int(places[0])
-                own = tuple(batch.column(i)[first].as_py() for i in range(len(keys)))
-                fresh = Moment.of(z[places])
-                found[own] = found[own] + fresh if own in found else fresh
-            if len(found) * (width + 1) ** 2 > HELD:
+            groups = where.groupby(names, sort=False, dropna=False).indices if keys else {(): np.arange(len(target))}
+            for places in groups.values():
+                own = tuple(batch.column(i)[int(places[0])].as_py() for i in range(len(keys)))
+                fresh = of(values[places], target[places])
+                if own in found:
+                    fresh = found[own] + fresh
+                else:
+                    held += sum(np.size(part) for part in pack(fresh))
+                found[own] = fresh
+            if held > HELD:
                 yield out()
-                found = {}
+                found, held = {}, 0
         if found:
             yield out()
 
-    parts = given.mapInArrow(run, schema)
-    near = merged(parts, [*names, "_salt"])
-    return merged(near, names).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "n", "mean", "moment")
+    near = merged_by(given.mapInArrow(run, full), [*names, "_salt"], columns, schema, unpack, pack)
+    return merged_by(near, names, columns, schema, unpack, pack).select(
+        *[F.col(n).alias(k) for n, k in zip(names, keys)], *columns)
+
+
+def moments(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """(keys, n, mean, moment) of the vectors ``x`` with ``y`` appended."""
+    return summed_by(rows, keys, x, y, lambda v, t: Moment.of(np.column_stack((v, t))),
+                     ("n", "mean", "moment"), MOMENTS, Moment.unpacked, _packed)
 
 
 def without(parts: DataFrame, keys: Sequence[str], whole: DataFrame) -> DataFrame:
