@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("preprocessing", "splitting", "modelling", "trust", "records", "kinds")
+MODULES = ("preprocessing", "splitting", "modelling", "trust", "records", "kinds", "wide")
 
 
 def load_all() -> None:
