@@ -95,3 +95,21 @@ def test_rows_with_null_keys_stay(spark):
     out = running(rows, ["k"], ["i"], F.col("i"), {"best": ("max", F.col("v"))})
     assert sorted((str(r["k"]), r["i"], r["best"]) for r in out.collect()) == [
         ("None", 1, 5), ("None", 2, 7), ("a", 1, 1)]
+
+
+def test_running_shuffles_the_rows_once(spark):
+    """Window, chunk sums and join use one partitioning of the rows, with null keys among them."""
+    rows = spark.range(1000).selectExpr("if(id % 7 = 0, null, id % 7) AS k", "id AS i", "id % 5 AS v",
+                                        "if(id % 11 = 0, null, date'2024-01-01' + int(id % 3)) AS day")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ordered.running(rows, ["k", "day"], ["i"], F.floor(F.col("i") / 100), {"s": ("sum", F.col("v"))})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 4, plan
+        got = {(r["k"], r["day"], r["i"]): r["s"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sums: dict = {}
+    for r in rows.orderBy("i").collect():
+        sums[r["k"], r["day"]] = sums.get((r["k"], r["day"]), 0) + r["v"]
+        assert got[r["k"], r["day"], r["i"]] == sums[r["k"], r["day"]]

@@ -15,8 +15,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -54,16 +52,23 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     in it. ``reverse`` runs from the end. ``last`` keeps the latest non-null value,
     so ``last`` with ``inclusive=False`` is lag (or lead, reversed).
     """
+    # Null keys and a null chunk are groups of their own: flag and value, so that equality finds them
+    # and window, sums and join share one partitioning of the rows.
     rows = df.withColumn("_chunk", chunk)
+    rows, by = null_keys(rows, [*keys, "_chunk"])
+    groups, at = by[:-1], by[-1]
     for name, (_, value) in carry.items():
         rows = rows.withColumn(f"_in_{name}", value)
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
-    within = (W.partitionBy(*keys, "_chunk").orderBy(*direction)
+    flat = [c for pair in by for c in pair]
+    within = (W.partitionBy(*flat).orderBy(*direction)
               .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
-    across = (W.partitionBy(*keys)
-              .orderBy(F.col("_chunk").desc() if reverse else F.col("_chunk").asc())
+    # Nulls come first, as in the order of the rows.
+    known = [F.col(at[0]).desc(), *[F.col(c).asc() for c in at[1:]]]
+    known = [F.col(at[0]).asc(), *[F.col(c).desc() for c in at[1:]]] if reverse else known
+    across = (W.partitionBy(*[c for pair in groups for c in pair]).orderBy(*known)
               .rowsBetween(W.unboundedPreceding, -1))
 
     summaries, carried, local, merged = [], [], [], []
@@ -91,15 +96,31 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
         else:
             raise ValueError(f"unknown running kind {kind!r}")
 
-    ends = rows.groupBy(*keys, "_chunk").agg(*summaries).select(*keys, "_chunk", *carried)
-    # Null keys and a null chunk are groups of their own, so their rows stay.
-    by = [*keys, "_chunk"]
-    ends = ends.withColumnsRenamed({c: f"_of_{c}" for c in by})
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
-    out = rows.select("*", *local).join(ends, same)
+    ends = rows.groupBy(*flat).agg(*summaries).select(*flat, *carried)
+    out = rows.select("*", *local).join(ends, flat)
     return out.select(*df.columns, *merged)
 
 
+def null_keys(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[tuple[str, ...]]]:
+    """Columns that are equal exactly where the given ones are null-safe equal, and their names."""
+    types, found = dict(df.dtypes), []
+    for c in columns:
+        kind = types[c]
+        flag, value = f"_null_{c}", f"_key_{c}"
+        if kind == "string":
+            other = F.lit("")
+        elif kind in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+            other = F.lit(0).cast(kind)
+        else:
+            # Structs compare their nulls as equal, whatever the type.
+            df = df.withColumns({flag: F.col(c).isNull(), value: F.struct(F.col(c))})
+            found.append((flag, value))
+            continue
+        df = df.withColumns({flag: F.col(c).isNull(), value: F.coalesce(F.col(c), other)})
+        found.append((flag, value))
+    return df, found
+
+
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
              columns: Sequence[str], *, prefix: str = "prev_", reverse: bool = False) -> DataFrame:
     """lag(1) of several columns (lead(1) with ``reverse``), nulls included."""
