@@ -35,6 +35,35 @@ def test_nearest_neighbours_are_exact(clouds, pivots, block_rows):
         assert np.isclose(got[eid]["knn_mean"], want.mean()) and np.isclose(got[eid]["knn_kth"], want[4])
 
 
+def test_neighbours_of_repeated_ids_and_few_rows(spark, clouds):
+    train, _, known, _ = clouds
+    schema = "eid string, x array<double>"
+    rows = [("same", train[0][1]), ("same", train[400][1]), (None, train[3][1]), ("none", None)]
+    asked = spark.createDataFrame(rows, schema)
+    c = np.array([x for _, x in train])
+    want = sorted(np.sort(np.sqrt(((c - np.array(x)) ** 2).sum(axis=1)))[:5].mean() for _, x in rows[:3])
+    got = ood.knn_distance(asked, known, 5, block_rows=30).collect()
+    assert sorted(str(r["eid"]) for r in got) == ["None", "same", "same"]
+    assert np.allclose(sorted(r["knn_mean"] for r in got), want)
+    few = ood.knn_distance(asked, known.limit(2), 5).collect()
+    assert len(few) == 3 and all(r["knn_kth"] >= r["knn_mean"] for r in few)
+    assert ood.knn_distance(asked, known.where("false"), 5).count() == 0
+    equal = spark.createDataFrame([("a", [1.0, 2.0])] * 50, schema)
+    assert {(r["knn_mean"], r["knn_kth"]) for r in ood.knn_distance(equal, equal, 5, block_rows=8).collect()} == {(0.0, 0.0)}
+
+
+def test_clustered_rows_meet_few_blocks(spark):
+    """On clusters far apart a row meets blocks of its own cluster, not all."""
+    rows = [(f"e{i}", [planted.gauss(i, d) + 50.0 * ((i % 12) == d) for d in range(12)]) for i in range(1500)]
+    known = spark.createDataFrame(rows, "eid string, x array<double>").repartition(5)
+    near = ood.Neighbours(known, 30)
+    answers, met = ood.knn_search(known.where("eid like '%7'"), near, 5)
+    blocks, asked = near.blocks.count(), known.where("eid like '%7'").count()
+    assert blocks >= 40 and len(near.pivots) > 5
+    assert answers.count() == asked and met.count() < 0.4 * blocks * asked
+    assert near.blocks.agg(F.max("n")).head()[0] <= 150
+
+
 def test_mahalanobis_matches_numpy(clouds):
     train, test, known, asked = clouds
     c = np.array([x for _, x in train])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from truegauge.functions.arrays import log_sum_exp, total
-from truegauge.functions.hashing import hash_bucket, hash_order
-from truegauge.operators.ordered import kth_smallest, quantiles
-from truegauge.session import cut_lineage
+from truegauge.operators.ordered import quantiles
+from truegauge.session import cut_lineage, ship_package
 
 # Fixed gate levels, from trusted to refused.
 LEVELS = ("high", "moderate", "low", "abstain")
@@ -90,92 +90,207 @@ def diagonal_distance(train: DataFrame, rows: DataFrame, dim: int, x: str = "x",
 
 # --- nearest neighbours ---------------------------------------------------------------
 
-def knn_distance(test: DataFrame, train: DataFrame, k: int, pivots: int = 16,
-                 block_rows: int = 4096, x: str = "x") -> DataFrame:
-    """Exact mean distance of each test row to its k nearest train rows.
+#: Rows of a block; a task holds a block of each side, or eight while rows are assigned.
+BLOCK_ROWS = 4096
+#: Vectors of the first level go to all tasks.
+MOST_PIVOTS = 1024
+_SLACK = 1e-9
 
-    Rows of both sides belong to the cell of their nearest pivot, and a cell is cut into
-    blocks of about ``block_rows``. The triangle inequality bounds the k-th distance of
-    a test row and rules cells out; test blocks meet only the train blocks that are
-    left. A meeting returns k distances per test row, never its pairs, and no task
-    holds more than one block of each side.
-    """
-    centres = np.stack([np.asarray(r[x], float) for r in
-                        train.orderBy(hash_order("eid"), "eid").limit(pivots).select(x).collect()])
 
-    def to_centres(vectors: pd.Series) -> np.ndarray:
-        block = np.stack(vectors.to_numpy()).astype(float)
-        return np.sqrt(((block[:, None, :] - centres[None]) ** 2).sum(axis=2))
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = to_centres(batch[x])
-                yield batch.assign(cell=d.argmin(axis=1), reach=d.min(axis=1))
-
-    def celled(rows: DataFrame) -> DataFrame:
-        kind = dict(rows.dtypes)["eid"]
-        return cut_lineage(rows.select("eid", F.col(x).cast("array<double>").alias(x)).mapInPandas(
-            assign, f"eid {kind}, {x} array<double>, cell int, reach double"))
-
-    def blocked(rows: DataFrame, sizes: np.ndarray) -> Column:
-        n = F.element_at(F.array(*[F.lit(max(1, -(-int(s) // block_rows))) for s in sizes]),
-                         F.col("cell") + 1)
-        return F.concat_ws(":", F.col("cell").cast("string"),
-                           (hash_bucket(1 << 31, "eid") % n).cast("string"))
-
-    # One row per pivot: how many rows, how far the farthest and the k-th are.
-    known, asking = celled(train), celled(test)
-    radius, kth = np.full(len(centres), -np.inf), np.full(len(centres), np.inf)
-    sizes, asked_sizes = np.zeros(len(centres)), np.zeros(len(centres))
-    for row in kth_smallest(known, ["cell"], "reach", k, "kth").join(
-            known.groupBy("cell").agg(F.max("reach").alias("radius")), "cell").collect():
-        radius[row["cell"]], kth[row["cell"]] = row["radius"], row["kth"]
-        sizes[row["cell"]] = row["size"]
-    for row in asking.groupBy("cell").count().collect():
-        asked_sizes[row["cell"]] = row["count"]
-
-    def near_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = to_centres(batch[x])
-                # The slack keeps rounding from ruling out a cell at the very bound.
-                bound = (d + kth).min(axis=1, keepdims=True) * (1 + 1e-9) + 1e-9
-                near = (d - radius <= bound) & np.isfinite(radius)
-                yield batch.assign(near=[np.flatnonzero(row) for row in near])
-
-    kind = dict(test.dtypes)["eid"]
-    offered = known.withColumn("block", blocked(known, sizes)).select("eid", x, "cell", "block")
-    routed = asking.withColumn("own", blocked(asking, asked_sizes)).select("eid", x, "own").mapInPandas(
-        near_cells, f"eid {kind}, {x} array<double>, own string, near array<int>")
-    routed = routed.select("eid", x, "own", F.explode("near").alias("cell"))
-    blocks = offered.select("cell", "block").distinct()
-    asked = routed.join(blocks, "cell")
-    # A train block travels to the test blocks that have a row asking for it.
-    meetings = asked.select("block", "own").distinct()
-    given = offered.join(meetings, "block").select(
-        F.col("block").alias("given_block"), F.col("own").alias("given_to"), x)
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"eid": left["eid"][:0], "distance": np.array([], float)})
-        q = np.stack(left[x].to_numpy()).astype(float)
-        c = np.stack(right[x].to_numpy()).astype(float)
-        rough = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * q @ c.T
-        take = min(k, len(c))
-        pick = np.argpartition(rough, take - 1, axis=1)[:, :take]
-        exact = np.sqrt(((q[:, None, :] - c[pick]) ** 2).sum(axis=2))
-        return pd.DataFrame({"eid": np.repeat(left["eid"].to_numpy(), take),
-                             "distance": exact.ravel()})
-
-    found = (asked.select("block", "own", "eid", x).groupBy("block", "own")
-             .cogroup(given.groupBy("given_block", "given_to"))
-             .applyInPandas(nearest, f"eid {kind}, distance double"))
+
+def _apart(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances, a slice of rows at a time."""
+    out = np.empty((len(rows), len(centres)))
+    for at in range(0, len(rows), 256):
+        out[at:at + 256] = np.sqrt(((rows[at:at + 256, None, :] - centres[None]) ** 2).sum(axis=2))
+    return out
+
+
+def _salt(rows: Column, size: int) -> Column:
+    """A group of ``rows`` rows in parts of about ``size``."""
+    return F.pmod(F.xxhash64("qid"), F.greatest(F.ceil(rows / F.lit(size)), F.lit(1))).cast("int")
+
+
+class Neighbours:
+    """Training rows in blocks of bounded size under two levels of pivots.
+
+    The number of pivots follows the number of rows: about one block per ``block_rows`` rows, their
+    centres drawn from the rows by hash, under the square root of that many first-level
+    pivots. Only these reach the driver; blocks (cell, sub, chunk, centre, radius, n) are a table.
+    """
+
+    def __init__(self, train: DataFrame, block_rows: int = BLOCK_ROWS, x: str = "x", pivots: int | None = None) -> None:
+        ship_package(train.sparkSession)
+        self.block_rows = block_rows
+        self.rows = cut_lineage(self._numbered(train, x))
+        n = self.rows.count()
+        first = pivots or min(MOST_PIVOTS, max(1, ceil(sqrt(n / block_rows))))
+        self.pivots = np.array([r["x"] for r in self.rows.orderBy(F.xxhash64("x", "qid"), "qid").limit(first).collect()])
+        if not n:
+            return
+        first = len(self.pivots)
+        celled = cut_lineage(self.in_cells(self.rows))
+        # Per first-level cell: rows and the farthest of them.
+        found = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).collect()
+        self.sizes, self.reach = np.zeros(first), np.full(first, -np.inf)
+        for r in found:
+            self.sizes[r["cell"]], self.reach[r["cell"]] = r["n"], r["reach"]
+        spark = train.sparkSession
+        share = max(1, block_rows // 2)
+        drawn = celled.where(F.pmod(F.xxhash64(F.lit(7), "qid"), F.lit(share)) == 0).select("cell", F.col("x").alias("centre"))
+        own = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(self.pivots)], "cell int, centre array<double>")
+        centres = cut_lineage(own.unionByName(drawn).distinct().withColumn("sub", F.row_number().over(
+            W.partitionBy("cell").orderBy(F.xxhash64("centre"), "centre"))))
+        placed = self._with_centres(celled, celled, centres, self._nearest_sub, "qid bigint, x array<double>, sub int, far double")
+        crowd = placed.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("crowd"))
+        self.placed = cut_lineage(placed.join(crowd, ["cell", "sub"]).withColumn(
+            "chunk", _salt(F.col("crowd"), block_rows)).drop("crowd"))
+        self.blocks = cut_lineage(self.placed.groupBy("cell", "sub", "chunk").agg(
+            F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).join(centres, ["cell", "sub"]))
+
+    @staticmethod
+    def _numbered(rows: DataFrame, x: str) -> DataFrame:
+        """Every row has its own number, whatever its id is."""
+        return rows.where(F.col(x).isNotNull()).select(
+            *(["eid"] if "eid" in rows.columns else []), F.col(x).cast("array<double>").alias("x"),
+            F.monotonically_increasing_id().alias("qid"))
+
+    def in_cells(self, rows: DataFrame) -> DataFrame:
+        """(qid, x, cell, reach): the nearest first-level pivot."""
+        pivots = self.pivots
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    d = _apart(_matrix(batch["x"]), pivots)
+                    yield batch.assign(cell=d.argmin(axis=1).astype("int32"), reach=d.min(axis=1))
+
+        return rows.select("qid", "x").mapInPandas(run, "qid bigint, x array<double>, cell int, reach double")
+
+    def _with_centres(self, rows: DataFrame, sized: DataFrame, centres: DataFrame, run, schema: str) -> DataFrame:
+        """``run(rows of a cell, its centres)`` for parts of each cell's rows; the centres go to every part."""
+        sizes = sized.groupBy("cell").agg(F.count(F.lit(1)).alias("_rows"))
+        size = 8 * self.block_rows
+        left = rows.join(sizes, "cell").withColumn("_part", _salt(F.col("_rows"), size)).drop("_rows")
+        right = centres.join(sizes, "cell").withColumn("_part", F.explode(F.sequence(
+            F.lit(0), F.greatest(F.ceil(F.col("_rows") / F.lit(size)), F.lit(1)).cast("int") - 1))).drop("_rows")
+
+        def both(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            found = run(a, b) if len(a) and len(b) else None
+            if found is None or found.empty:
+                return pd.DataFrame(columns=["cell", *[c.split()[0] for c in schema.split(", ")]])
+            return found.assign(cell=key[0])
+
+        return left.groupBy("cell", "_part").cogroup(right.groupBy("cell", "_part")).applyInPandas(
+            both, "cell int, " + schema)
+
+    @staticmethod
+    def _nearest_sub(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        d = _apart(_matrix(rows["x"]), _matrix(centres["centre"]))
+        return pd.DataFrame({"qid": rows["qid"], "x": rows["x"], "sub": centres["sub"].to_numpy()[d.argmin(axis=1)],
+                             "far": d.min(axis=1)})
+
+    def own_block(self, asking: DataFrame, k: int) -> DataFrame:
+        """(qid, x, cell, sub, chunk): the block of a row whose centre is nearest, of those with k rows if there are any."""
+        def run(rows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+            if (blocks["n"] >= k).any():
+                blocks = blocks[blocks["n"] >= k]
+            at = _apart(_matrix(rows["x"]), _matrix(blocks["centre"])).argmin(axis=1)
+            return pd.DataFrame({"qid": rows["qid"], "x": rows["x"], "sub": blocks["sub"].to_numpy()[at],
+                                 "chunk": blocks["chunk"].to_numpy()[at]})
+
+        celled = cut_lineage(self.in_cells(asking))
+        return self._with_centres(celled, celled, self.blocks, run, "qid bigint, x array<double>, sub int, chunk int")
+
+    def met(self, asking: DataFrame, k: int) -> DataFrame:
+        """(qid, distance): of each asking row (qid, x, cell, sub, chunk) its k nearest in that block.
+
+        Asking rows of a block meet it in parts of bounded size.
+        """
+        keys = ["cell", "sub", "chunk"]
+        sizes = asking.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        left = asking.join(sizes, keys).withColumn("_part", _salt(F.col("_rows"), self.block_rows)).drop("_rows")
+        right = self.placed.select(*keys, "x").join(sizes, keys).withColumn("_part", F.explode(F.sequence(
+            F.lit(0), F.greatest(F.ceil(F.col("_rows") / F.lit(self.block_rows)), F.lit(1)).cast("int") - 1))).drop("_rows")
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if a.empty or b.empty:
+                return pd.DataFrame({"qid": np.array([], np.int64), "distance": np.array([], float)})
+            q, c = _matrix(a["x"]), _matrix(b["x"])
+            take = min(k, len(c))
+            # Near ties of the rough distances are kept beside the k best, then measured exactly.
+            rough = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * q @ c.T
+            room = 1e-12 * ((q * q).sum(axis=1) + (c * c).sum(axis=1).max())
+            border = np.partition(rough, take - 1, axis=1)[:, take - 1] + room
+            out = [np.sort(np.sqrt(((c[rough[i] <= border[i]] - q[i]) ** 2).sum(axis=1)))[:take] for i in range(len(q))]
+            return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), take), "distance": np.concatenate(out)})
+
+        parts = [*keys, "_part"]
+        return left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(run, "qid bigint, distance double")
+
+    def candidates(self, asking: DataFrame) -> DataFrame:
+        """(qid, x, cell, sub, chunk): blocks that may hold a row within ``bound`` of an asking row (qid, x, bound)."""
+        pivots, reach = self.pivots, self.reach
+
+        def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    d = _apart(_matrix(batch["x"]), pivots)
+                    limit = batch["bound"].to_numpy()[:, None] * (1 + _SLACK) + _SLACK
+                    near = (d - reach <= limit) & np.isfinite(reach)
+                    yield batch.assign(near=[np.flatnonzero(row).astype("int32") for row in near])
+
+        def run(rows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+            d = _apart(_matrix(rows["x"]), _matrix(blocks["centre"])) - blocks["radius"].to_numpy()
+            i, j = np.nonzero(d <= rows["bound"].to_numpy()[:, None] * (1 + _SLACK) + _SLACK)
+            return pd.DataFrame({"qid": rows["qid"].to_numpy()[i], "x": rows["x"].to_numpy()[i],
+                                 "sub": blocks["sub"].to_numpy()[j], "chunk": blocks["chunk"].to_numpy()[j]})
+
+        routed = asking.mapInPandas(cells, "qid bigint, x array<double>, bound double, near array<int>").select(
+            "qid", "x", "bound", F.explode("near").alias("cell"))
+        return self._with_centres(routed, routed, self.blocks, run, "qid bigint, x array<double>, sub int, chunk int")
+
+
+def knn_search(test: DataFrame, near: Neighbours, k: int, x: str = "x") -> tuple[DataFrame, DataFrame]:
+    """Returns (answers, meetings): eid, knn_mean, knn_kth of every row; and each row's blocks (qid, cell, sub, chunk).
+
+    A row first meets its own block; its k-th distance there is a true bound, and the triangle inequality
+    leaves only blocks within it. No task holds more than one block of each side, and a meeting returns k
+    distances a row, never pairs. Rows that repeat an eid are answered one by one.
+    """
+    asking = cut_lineage(near._numbered(test, x))
+    own = cut_lineage(near.own_block(asking, k))
+    first = cut_lineage(near.met(own, k))
+    bounds = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(
+        F.lit(float("inf"))).alias("bound"))
+    # A row whose cell is empty has no bound yet.
+    known = asking.select("qid", "x").join(bounds, "qid", "left").withColumn(
+        "bound", F.coalesce("bound", F.lit(float("inf"))))
+    keys = ["qid", "cell", "sub", "chunk"]
+    more = cut_lineage(near.candidates(known).join(own.select(*keys), keys, "left_anti"))
+    found = first.unionByName(near.met(more, k))
     # Only the k best per row survive, and Spark drops the others before the shuffle.
-    rank = F.row_number().over(W.partitionBy("eid").orderBy("distance"))
-    best = found.withColumn("_r", rank).where(F.col("_r") <= k)
-    return best.groupBy("eid").agg(F.avg("distance").alias("knn_mean"),
-                                   F.max("distance").alias("knn_kth"))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy("distance"))
+    best = found.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("qid").agg(
+        F.avg("distance").alias("knn_mean"), F.max("distance").alias("knn_kth"))
+    return (asking.select("qid", "eid").join(best, "qid").drop("qid"),
+            own.select(*keys).unionByName(more.select(*keys)))
+
+
+def knn_distance(test: DataFrame, train: DataFrame, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS,
+                 x: str = "x") -> DataFrame:
+    """Exact mean and k-th distance of each test row to its k nearest train rows (all of them, if fewer).
+
+    ``pivots`` sets the number of first-level pivots, which follows the rows by default.
+    """
+    near = Neighbours(train, block_rows, x, pivots)
+    if not len(near.pivots):
+        return test.select("eid", F.lit(None).cast("double").alias("knn_mean"),
+                           F.lit(None).cast("double").alias("knn_kth")).where("false")
+    return knn_search(test, near, k, x)[0]
 
 
 # --- scores from the model's own outputs ------------------------------------------------
