@@ -179,3 +179,52 @@ def test_no_labels_and_no_pages(spark, pages):
     assert url_rules.judged(pages.limit(0)).count() == 0
     lone = spark.createDataFrame([(1, "http://x.org/a")], "page_id bigint, url string")
     assert [r["verdict"] for r in url_rules.judged(lone).collect()] == ["allow"]
+
+
+def brute_rules(rows, least, confidence):
+    """All minimal confident rules over classes of tokens, by every set of classes that enough rows hold."""
+    where: dict = {}
+    for i, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            where.setdefault(t, set()).add(i)
+    first: dict = {}
+    for t in sorted(where):
+        if len(where[t]) >= least:
+            first.setdefault(frozenset(where[t]), t)
+    items = {t: held for held, t in first.items()}
+    found, level = {}, [((t,), items[t]) for t in sorted(items)]
+    while level:
+        for chosen, held in level:
+            for verdict in ("allow", "block"):
+                both = sum(rows[i][1] == verdict for i in held)
+                if both >= least and both / len(held) >= confidence:
+                    found[chosen, verdict] = both / len(held)
+        level = [((*chosen, t), held & items[t]) for chosen, held in level for t in items
+                 if t > chosen[-1] and len(held & items[t]) >= least]
+    return {(c, v) for (c, v), sure in found.items() if not any(
+        w == v and set(d) < set(c) and s >= sure for (d, w), s in found.items())}
+
+
+def test_no_mined_rule_is_missing(spark):
+    words = ["a", "b", "c", "d", "e", "f"]
+    rows = []
+    for i in range(120):
+        tokens = sorted({words[(i * 7 + j * j) % 6] for j in range(1 + i % 4)}) + (["x", "y"] if i % 5 == 0 else [])
+        rows.append((tokens, "block" if ("a" in tokens and "c" in tokens) or i % 5 == 0 else "allow"))
+    frame = spark.createDataFrame(rows, "tokens array<string>, label string").repartition(4)
+    rules, known = url_rules.mined(frame, "tokens", "label", 0.05, 0.9)
+    got = {(tuple(sorted(r["items"])), r["verdict"]) for r in rules.collect()}
+    assert got == brute_rules(rows, 6, 0.9) and len(got) > 3
+    assert {(r["token"], r["item"]) for r in known.collect() if r["token"] in "xy"} == {("x", "x"), ("y", "x")}
+
+
+def test_long_urls_end(spark):
+    """A path of 200 segments among few labelled urls, also repeated, is no power set."""
+    path = "/".join(f"s{i}" for i in range(200))
+    urls = [f"http://h{i}.net/fr/{path}/{i}" for i in range(6)] + [f"http://www.example.com/en/{i}" for i in range(14)]
+    urls += [f"http://h9.net/zz/{path}", "http://h9.org/s7", "http://other.org/"]
+    pages = spark.createDataFrame([(i, u, 1, 2) for i, u in enumerate(urls)],
+                                  "page_id bigint, url string, explicit int, found int")
+    got = {r["page_id"]: r for r in url_rules.judged(pages).collect()}
+    assert got[20]["verdict"] == "block" and got[21]["verdict"] == "block" and got[22]["verdict"] == "allow"
+    assert got[20]["mined_rule"] and (got[0]["explicit"], got[0]["found"]) == (1, 2)

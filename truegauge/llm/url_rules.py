@@ -4,26 +4,30 @@ Explicit rules (host and path prefix, longest wins) decide first. For the other
 Spark's FP-growth mines combinations of url tokens that go with a verdict in labelled urls;
 rules with enough support and confidence are kept, and of those a rule is dropped if a
 part of its tokens already gives the verdict as surely. The kept rules match by an inverted
-index: each is filed under its rarest token, and a url asks for the rules of its tokens.
+index: each is filed under its rarest token, and a url asks for the rules of its tokens. Tokens that come
+with the very same labelled urls are mined as one and stand for one another.
 
 Null urls and urls without ``://`` have no host, path or tokens and get the default verdict.
 Verdicts depend on the url alone, so repeated rows agree. Labels must be ``allow`` or
 ``block``. Extra columns stay with the caller's rows, but those named host, path, rule,
-verdict or mined_rule are replaced.
+verdict or mined_rule are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.llm.common import ascii_lower, written
+from truegauge.llm.common import ascii_lower, spare, written
 
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
+#: Labelled rows that a rule needs, however few there are.
+LEAST_ROWS = 3
 DEFAULT = "allow"
 
 
@@ -82,17 +86,46 @@ def tokens_of(host: Column, path: Column) -> Column:
                     lambda x: F.concat(F.lit("h:"), x)), shaped))
 
 
-def mine(labelled: DataFrame, tokens: str, label: str, min_support: float = MIN_SUPPORT,
-         min_confidence: float = MIN_CONFIDENCE, partitions: int | None = None) -> DataFrame:
-    """(rule_id, items, verdict, support, confidence, anchor) of the mined rules.
+def classes(rows: DataFrame, least: int) -> DataFrame:
+    """(token, item, n): tokens of at least ``least`` rows; those of the very same rows share one item, the smallest.
 
-    A rule's number of tokens has no limit; their number follows from the least support, not
-    from the number of urls.
+    ``rows`` has rid and tokens. Rows are the same if their number and the sum of two hashes of them are.
+    """
+    total = lambda seed: F.sum(F.xxhash64("rid", F.lit(seed)).cast("decimal(38,0)"))
+    tokens = rows.select("rid", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), total(1).alias("a"), total(2).alias("b")).where(F.col("n") >= least)
+    firsts = tokens.groupBy("n", "a", "b").agg(F.min("token").alias("item"))
+    return tokens.join(firsts, ["n", "a", "b"]).select("token", "item", "n")
+
+
+def mine(labelled: DataFrame, tokens: str, label: str, *options, **more) -> DataFrame:
+    """The rules of ``mined`` alone."""
+    return mined(labelled, tokens, label, *options, **more)[0]
+
+
+def mined(labelled: DataFrame, tokens: str, label: str, min_support: float = MIN_SUPPORT,
+          min_confidence: float = MIN_CONFIDENCE, partitions: int | None = None, least_rows: int = LEAST_ROWS
+          ) -> tuple[DataFrame, DataFrame]:
+    """Returns (rules, classes): rule_id, items, verdict, support, confidence, anchor of the mined rules; and
+    which token stands for which item.
+
+    Tokens that always come together are one item, so that a long path is no power set of itself, and a
+    rule needs ``least_rows`` labelled rows at least. A rule's number of items has no limit; their number follows
+    from the least support, not from the number of urls.
     """
     spark = labelled.sparkSession
-    marked = labelled.where(F.col(label).isNotNull() & (F.size(tokens) > 0)).select(
-        F.concat(F.col(tokens), F.array(F.concat(F.lit("verdict="), F.col(label)))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0,
+    rows = written(labelled.where(F.col(label).isNotNull() & (F.size(tokens) > 0)).select(
+        F.monotonically_increasing_id().alias("rid"), F.col(tokens).alias("tokens"), F.col(label).alias("label")), "labelled")
+    n = rows.count()
+    least = max(least_rows, ceil(min_support * n))
+    known = written(classes(rows, least), "classes")
+    items = rows.select("rid", F.explode("tokens").alias("token")).join(known, "token").select(
+        "rid", "item").distinct().groupBy("rid").agg(F.collect_list("item").alias("items"))
+    marked = items.join(rows.select("rid", "label"), "rid").select(
+        F.concat("items", F.array(F.concat(F.lit("verdict="), F.col("label")))).alias("items"))
+    # The share of the rows that are left, a little less than least, so that rounding drops no set.
+    share = (least - 0.5) / max(items.count(), 1)
+    model = FPGrowth(itemsCol="items", minSupport=min(share, 1.0), minConfidence=1.0,
                      numPartitions=partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(marked)
     sets = written(model.freqItemsets, "itemsets")
     is_verdict = lambda x: F.startswith(x, F.lit("verdict="))
@@ -114,15 +147,19 @@ def mine(labelled: DataFrame, tokens: str, label: str, min_support: float = MIN_
     longer = filed.select("rule_id", "verdict", "items", "confidence", F.explode("items").alias("anchor"))
     shorter = filed.select(F.col("anchor"), F.col("verdict"), F.col("items").alias("less"),
                            F.col("confidence").alias("sure"))
-    spare = longer.join(shorter, ["anchor", "verdict"]).where(
+    needless = longer.join(shorter, ["anchor", "verdict"]).where(
         (F.size("less") < F.size("items")) & (F.size(F.array_except("less", "items")) == 0)
         & (F.col("sure") >= F.col("confidence"))).select("rule_id", "verdict").distinct()
-    return filed.join(spare, ["rule_id", "verdict"], "left_anti")
+    return filed.join(needless, ["rule_id", "verdict"], "left_anti"), known
 
 
-def matched(urls: DataFrame, url: str, tokens: str, rules: DataFrame) -> DataFrame:
-    """(url, verdict, mined_rule) per distinct url: the surest fitting rule, block before allow."""
-    asked = urls.select(F.col(url).alias("u"), F.col(tokens).alias("t"), F.explode(tokens).alias("anchor"))
+def matched(urls: DataFrame, url: str, tokens: str, rules: DataFrame, known: DataFrame) -> DataFrame:
+    """(url, verdict, mined_rule) per distinct url: the surest fitting rule, block before allow.
+
+    A rule fits if every item of it has one of its tokens in the url.
+    """
+    asked = urls.select(F.col(url).alias("u"), F.explode(tokens).alias("token")).join(
+        known, "token").groupBy("u").agg(F.collect_set("item").alias("t")).withColumn("anchor", F.explode("t"))
     hits = asked.join(rules, "anchor").where(F.size(F.array_except("items", "t")) == 0)
     order = F.struct(-F.col("confidence"), F.when(F.col("verdict") == "block", 0).otherwise(1),
                      -F.col("support"), F.col("rule_id"), F.col("verdict"))
@@ -143,17 +180,18 @@ def judged(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = RULE
     host, path = host_of(F.col(url)), path_of(F.col(url))
     parsed = pages.drop("host", "path", "rule", "verdict", "mined_rule").withColumns({"host": host, "path": path})
     parsed = parsed.withColumn("rule", explicit_rule(F.col("host"), F.col("path"), rules))
-    parsed = parsed.withColumn("__explicit", explicit_verdict(F.col("rule"), rules))
+    explicit, key, found = (spare(parsed, c) for c in ("explicit", "url_key", "found"))
+    parsed = parsed.withColumn(explicit, explicit_verdict(F.col("rule"), rules))
     distinct = written(parsed.where(F.col(url).isNotNull()).select(
-        F.col(url).alias("url"), tokens_of(F.col("host"), F.col("path")).alias("tokens"), "__explicit")
+        F.col(url).alias("url"), tokens_of(F.col("host"), F.col("path")).alias("tokens"),
+        F.col(explicit).alias("explicit"))
         .dropDuplicates(["url"]), "urls")
     if labelled is None:
-        teach = distinct.select("tokens", F.col("__explicit").alias("label"))
+        teach = distinct.select("tokens", F.col("explicit").alias("label"))
     else:
         teach = labelled.select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "label")
-    mined = mine(teach, "tokens", "label", min_support, min_confidence)
-    verdicts = matched(distinct.where("__explicit is null"), "url", "tokens", mined).select(
-        F.col("url").alias("__url"), F.col("verdict").alias("__mined"), "mined_rule")
-    out = parsed.join(verdicts, parsed[url] == verdicts["__url"], "left")
-    return out.withColumn("verdict", F.coalesce("__explicit", "__mined", F.lit(default))).drop(
-        "__explicit", "__url", "__mined")
+    filters, known = mined(teach, "tokens", "label", min_support, min_confidence)
+    verdicts = matched(distinct.where("explicit is null"), "url", "tokens", filters, known).select(
+        F.col("url").alias(key), F.col("verdict").alias(found), "mined_rule")
+    out = parsed.join(verdicts, parsed[url] == verdicts[key], "left")
+    return out.withColumn("verdict", F.coalesce(explicit, found, F.lit(default))).drop(explicit, key, found)
