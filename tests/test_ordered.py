@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tests.planted import draw, mid_rank
-from truegauge.operators import ordered
+from truegauge.operators import latent, ordered, targets
 from truegauge.operators.intervals import join_points
 
 
@@ -113,3 +113,30 @@ def test_running_shuffles_the_rows_once(spark):
     for r in rows.orderBy("i").collect():
         sums[r["k"], r["day"]] = sums.get((r["k"], r["day"]), 0) + r["v"]
         assert got[r["k"], r["day"], r["i"]] == sums[r["k"], r["day"]]
+
+
+def test_running_both_ways_in_one_pass(hot):
+    frame, rows = hot
+    both = ordered.running(rows, ["key"], ["i"], F.floor(F.col("i") / 50), {"s": ("sum", F.col("v")), "l": ("last", F.col("maybe"))},
+                           back={"r": ("sum", F.col("v")), "n": ("last", F.col("maybe")), "m": ("max", F.col("v"))})
+    got = both.orderBy("i").toPandas()
+    for key, part in frame.groupby("key"):
+        mine = got[got["key"] == key]
+        v, maybe = part["v"].to_numpy(), part["maybe"]
+        assert np.allclose(mine["s"], v.cumsum()) and np.allclose(mine["r"], v[::-1].cumsum()[::-1])
+        assert np.allclose(mine["m"], np.maximum.accumulate(v[::-1])[::-1])
+        assert np.array_equal(mine["l"].fillna(-1).to_numpy(float), maybe.ffill().fillna(-1).to_numpy(float))
+        assert np.array_equal(mine["n"].fillna(-1).to_numpy(float), maybe.bfill().fillna(-1).to_numpy(float))
+
+
+def test_epochs_and_lags_shuffle_little(spark):
+    """One shuffle for the edges (written), four for the runs (written), four for the carries both ways and one to count."""
+    states = spark.range(500).selectExpr("id % 3 AS eid", "id div 3 AS bin", "string(id * 7 % 5 < 2) AS state")
+    events = spark.range(60).selectExpr("id % 3 AS eid", "id * 500 AS t_us")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = latent.transition_lags(states, events, 100, 50)._jdf.queryExecution().executedPlan().toString()
+        epochs = targets.state_epochs(states)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 5 and epochs.count("Exchange hashpartitioning") <= 4

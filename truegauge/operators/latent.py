@@ -68,20 +68,16 @@ def transition_lags(states: DataFrame, events: DataFrame, width_us: int,
                     lag_us: int) -> DataFrame:
     """Histogram of the signed time from each state change to its nearest event.
 
-    Changes and events are merged in time; running last and next event meet at every
-    change, so no change is paired with all events. Equal distances go to the earlier
+    Changes and events are merged in time; last and next event meet at every
+    change in one pass, so no change is paired with all events. Equal distances go to the earlier
     event.
     """
-    epochs = state_epochs(states)
-    first = epochs.groupBy("eid").agg(F.min("start_bin").alias("_first"))
-    changes = (epochs.join(first, "eid").where(F.col("start_bin") > F.col("_first"))
-               .select("eid", (F.col("start_bin") * width_us).alias("t_us"), F.lit(1).alias("_mark")))
-    marks = events.select("eid", "t_us").distinct().withColumn("_mark", F.lit(0))
-    both = changes.unionByName(marks)
-    chunk = bin_of("t_us", width_us * CHUNK_BINS)
+    changes = state_epochs(states, order="_first").where(~F.col("_first")).select(
+        "eid", (F.col("start_bin") * width_us).alias("t_us"), F.lit(1).alias("_mark"))
+    both = cut_lineage(changes.unionByName(events.select("eid", "t_us").withColumn("_mark", F.lit(0))))
     at = F.when(F.col("_mark") == 0, F.col("t_us"))
-    back = running(both, ["eid"], ["t_us", "_mark"], chunk, {"_before": ("last", at)})
-    full = running(back, ["eid"], ["t_us", "_mark"], chunk, {"_after": ("last", at)}, reverse=True)
+    full = running(both, ["eid"], ["t_us", "_mark"], bin_of("t_us", width_us * CHUNK_BINS),
+                   {"_before": ("last", at)}, back={"_after": ("last", at)})
     since, until = F.col("t_us") - F.col("_before"), F.col("_after") - F.col("t_us")
     lag = (F.when(until.isNull() | (since <= until), -since).otherwise(until))
     return (full.where("_mark = 1").where(F.col("_before").isNotNull() | F.col("_after").isNotNull())

@@ -45,56 +45,56 @@ def with_halo(df: DataFrame, index: str, chunk: int, back: int = 0, ahead: int =
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
             carry: Mapping[str, tuple[str, Column]], *, inclusive: bool = True,
-            reverse: bool = False) -> DataFrame:
+            reverse: bool = False, back: Mapping[str, tuple[str, Column]] | None = None) -> DataFrame:
     """Running sum / max / min / last of each ``carry`` entry, added as a column.
 
     ``order`` has to be a total order inside ``keys`` and ``chunk`` non-decreasing
-    in it. ``reverse`` runs from the end. ``last`` keeps the latest non-null value,
-    so ``last`` with ``inclusive=False`` is lag (or lead, reversed).
+    in it. ``reverse`` runs from the end; ``back`` has entries that run the other way in the same pass,
+    from the same chunk summaries. ``last`` keeps the latest non-null value, so ``last`` with
+    ``inclusive=False`` is lag (or lead, reversed).
     """
     # Null keys and a null chunk are groups of their own: flag and value, so that equality finds them
     # and window, sums and join share one partitioning of the rows.
-    rows = df.withColumn("_chunk", chunk)
-    rows, by = null_keys(rows, [*keys, "_chunk"])
-    groups, at = by[:-1], by[-1]
-    for name, (_, value) in carry.items():
-        rows = rows.withColumn(f"_in_{name}", value)
-    direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-
+    rows, by = null_keys(df.withColumn("_chunk", chunk), [*keys, "_chunk"])
+    groups, at = [c for pair in by[:-1] for c in pair], by[-1]
     flat = [c for pair in by for c in pair]
-    within = (W.partitionBy(*flat).orderBy(*direction)
-              .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
-    # Nulls come first, as in the order of the rows.
-    known = [F.col(at[0]).desc(), *[F.col(c).asc() for c in at[1:]]]
-    known = [F.col(at[0]).asc(), *[F.col(c).desc() for c in at[1:]]] if reverse else known
-    across = (W.partitionBy(*[c for pair in groups for c in pair]).orderBy(*known)
-              .rowsBetween(W.unboundedPreceding, -1))
+    ways = [(carry, reverse), (back or {}, not reverse)]
+    for entries, _ in ways:
+        for name, (_, value) in entries.items():
+            rows = rows.withColumn(f"_in_{name}", value)
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
     summaries, carried, local, merged = [], [], [], []
-    for name, (kind, _) in carry.items():
-        value, total = F.col(f"_in_{name}"), F.col(f"_sum_{name}")
-        before, here = F.col(f"_before_{name}"), F.col(f"_here_{name}")
-        if kind == "sum":
-            summaries.append(F.sum(value).alias(f"_sum_{name}"))
-            carried.append(F.sum(total).over(across).alias(f"_before_{name}"))
-            local.append(F.sum(value).over(within).alias(f"_here_{name}"))
-            merged.append((F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))).alias(name))
-        elif kind in ("max", "min"):
-            fn = getattr(F, kind)
-            summaries.append(fn(value).alias(f"_sum_{name}"))
-            carried.append(fn(total).over(across).alias(f"_before_{name}"))
-            local.append(fn(value).over(within).alias(f"_here_{name}"))
-            pick = F.greatest if kind == "max" else F.least
-            merged.append(pick(before, here).alias(name))
-        elif kind == "last":
-            known = F.when(value.isNotNull(), position)
-            summaries.append((F.min_by if reverse else F.max_by)(value, known).alias(f"_sum_{name}"))
-            carried.append(F.last(total, ignorenulls=True).over(across).alias(f"_before_{name}"))
-            local.append(F.last(value, ignorenulls=True).over(within).alias(f"_here_{name}"))
-            merged.append(F.coalesce(here, before).alias(name))
-        else:
-            raise ValueError(f"unknown running kind {kind!r}")
+    for entries, backwards in ways:
+        # Nulls come first, as in the order of the rows.
+        rising = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
+        known = [F.col(at[0]).asc() if backwards else F.col(at[0]).desc(),
+                 F.col(at[1]).desc() if backwards else F.col(at[1]).asc()]
+        within = W.partitionBy(*flat).orderBy(*rising).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+        across = W.partitionBy(*groups).orderBy(*known).rowsBetween(W.unboundedPreceding, -1)
+        for name, (kind, _) in entries.items():
+            value, total = F.col(f"_in_{name}"), F.col(f"_sum_{name}")
+            before, here = F.col(f"_before_{name}"), F.col(f"_here_{name}")
+            if kind == "sum":
+                summaries.append(F.sum(value).alias(f"_sum_{name}"))
+                carried.append(F.sum(total).over(across).alias(f"_before_{name}"))
+                local.append(F.sum(value).over(within).alias(f"_here_{name}"))
+                merged.append((F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))).alias(name))
+            elif kind in ("max", "min"):
+                fn = getattr(F, kind)
+                summaries.append(fn(value).alias(f"_sum_{name}"))
+                carried.append(fn(total).over(across).alias(f"_before_{name}"))
+                local.append(fn(value).over(within).alias(f"_here_{name}"))
+                pick = F.greatest if kind == "max" else F.least
+                merged.append(pick(before, here).alias(name))
+            elif kind == "last":
+                seen = F.when(value.isNotNull(), position)
+                summaries.append((F.min_by if backwards else F.max_by)(value, seen).alias(f"_sum_{name}"))
+                carried.append(F.last(total, ignorenulls=True).over(across).alias(f"_before_{name}"))
+                local.append(F.last(value, ignorenulls=True).over(within).alias(f"_here_{name}"))
+                merged.append(F.coalesce(here, before).alias(name))
+            else:
+                raise ValueError(f"unknown running kind {kind!r}")
 
     ends = rows.groupBy(*flat).agg(*summaries).select(*flat, *carried)
     out = rows.select("*", *local).join(ends, flat)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from truegauge.functions.timing import bin_of
 from truegauge.operators.binning import CHUNK_BINS
 from truegauge.operators.intervals import join_points
-from truegauge.operators.ordered import previous, with_halo
+from truegauge.operators.ordered import previous, running, with_halo
+from truegauge.session import cut_lineage
 
 # The velocity filter is fixed and recorded with every run: it is never tuned.
 VELOCITY_FILTER = "binned mean, central difference, 3-bin boxcar"
@@ -84,23 +85,24 @@ def movement_state(velocity: DataFrame, cuts: Sequence[float],
 
 
 def state_epochs(states: DataFrame, keys: Sequence[str] = ("eid",),
-                 state: str = "state") -> DataFrame:
+                 state: str = "state", order: str | None = None) -> DataFrame:
     """Maximal runs of one state over consecutive bins, as inclusive [start_bin, end_bin].
 
-    Only the first bin of each run is carried on; a run ends where the previous
-    bin of the next run was, or at the last bin of the key.
+    Whether a bin starts or ends a run shows in the bins next to it; only such bins are carried on, and a
+    start meets the first end from there on. ``order`` names a column that tells a key's first run.
     """
-    rows = states.select(*keys, "bin", state)
     chunk = bin_of("bin", CHUNK_BINS)
-    seen = previous(rows, keys, ["bin"], chunk, ["bin", state])
-    fresh = (F.col("prev_bin").isNull() | (F.col("prev_bin") != F.col("bin") - 1)
-             | (F.col(f"prev_{state}") != F.col(state)))
-    starts = seen.where(fresh).drop(f"prev_{state}")
-    runs = previous(starts, keys, ["bin"], chunk, ["prev_bin"], prefix="next_", reverse=True)
-    last = rows.groupBy(*keys).agg(F.max("bin").alias("_last"))
-    return (runs.join(last, list(keys))
-            .select(*keys, state, F.col("bin").alias("start_bin"),
-                    F.coalesce("next_prev_bin", "_last").alias("end_bin")))
+    near = with_halo(states.select(*keys, "bin", state), "bin", CHUNK_BINS, back=1, ahead=1)
+    beside = lambda step: F.max(state).over(W.partitionBy(*keys, "_chunk").orderBy("bin").rangeBetween(step, step))
+    edges = near.withColumns({"_starts": ~F.coalesce(beside(-1) == F.col(state), F.lit(False)),
+                              "_ends": ~F.coalesce(beside(1) == F.col(state), F.lit(False))}).where(
+        "_core AND (_starts OR _ends)").drop("_chunk", "_core")
+    edges = cut_lineage(edges)  # read for the chunk sums and for the rows
+    first = {} if order is None else {"_earlier": ("min", F.col("bin"))}
+    runs = running(edges, keys, ["bin"], chunk, {"end_bin": ("last", F.when(F.col("_ends"), F.col("bin")))}, reverse=True,
+                   back=first).where("_starts")
+    told = [] if order is None else [(F.col("_earlier") == F.col("bin")).alias(order)]
+    return runs.select(*keys, state, F.col("bin").alias("start_bin"), "end_bin", *told)
 
 
 def trial_bins(bins: DataFrame, trials: DataFrame, width_us: int, phases: int) -> DataFrame:
