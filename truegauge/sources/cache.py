@@ -13,7 +13,7 @@ from truegauge.functions.hashing import hash_bucket
 from truegauge.sources import runs
 
 #: Partitions of a run's data by key; a hit lists and reads only those of its keys.
-BUCKETS = 256
+BUCKETS = 64
 INDEX = "cache_key string, run string"
 
 
