@@ -69,9 +69,6 @@ def test_seating_stays_consistent_and_sums_to_one():
         part.sweep(base)
         for level, seats in enumerate(part.levels):
             assert (seats.c >= seats.t).all() and ((seats.c > 0) == (seats.t > 0)).all()
-            assert (np.bincount(seats.cell, seats.size, len(seats.c)) == seats.c).all()
-            alive = seats.size > 0
-            assert (np.bincount(seats.cell[alive], minlength=len(seats.c)) == seats.t).all()
         low, middle, root = part.levels
         assert (np.bincount(part.up, low.t, len(middle.c)) == middle.c).all()
         assert (np.bincount(part.top, middle.t, len(root.c)) == root.c).all()
@@ -85,18 +82,45 @@ def test_seating_stays_consistent_and_sums_to_one():
         assert abs(p.sum() + unknown[0] - 1) < 1e-9
 
 
-def test_sampler_meets_the_exact_posterior():
-    """One cell of three customers under a fixed parent: P(tables) by enumeration."""
-    d, theta, base = 0.5, 1.0, 0.2
-    seats = language_model.Seats(np.array([0]), np.array([3]), d, (np.zeros(1), np.zeros(1)), np.random.default_rng(1))
-    found = Counter()
-    for _ in range(6000):
-        seats.resat(np.array([base]))
-        found[int(seats.t[0])] += 1
-    rise = lambda t: np.prod([theta + d * i for i in range(t)]) * base ** t
-    weight = {1: rise(1) * (1 - d) * (2 - d), 2: rise(2) * 3 * (1 - d), 3: rise(3)}
-    for t, w in weight.items():
-        assert abs(found[t] / 6000 - w / sum(weight.values())) < 0.03
+def table_chances(c, d, others, parent, most=800):
+    """P(tables) of one cell by the recursion of the generalized Stirling numbers, in logarithms."""
+    t = np.arange(1, min(c, most) + 1)
+    ways = np.where(t == 1, 0.0, -np.inf)
+    for n in range(1, c):
+        with np.errstate(divide="ignore"):
+            stays = np.where(t <= n, ways + np.log(np.maximum(n - d * t, 1e-300)), -np.inf)
+        ways = np.logaddexp(stays, np.concatenate(([-np.inf], ways[:-1])))
+    rise = np.concatenate(([0.0], np.cumsum(np.log((1 + d * (others + t[:-1])) * parent))))
+    chance = np.exp(ways + rise - (ways + rise).max())
+    return t, chance / chance.sum()
+
+
+@pytest.mark.parametrize("c", [2, 3, 10, 16, 17, 100, 1000, 20000])
+@pytest.mark.parametrize("d, others, parent", [(0.5, 0, 0.2), (0.5, 30, 0.001), (0.2, 10, 0.9), (0.7, 5, 0.3),
+                                               (0.6, 400, 0.05)])
+def test_one_sweep_meets_the_exact_posterior(c, d, others, parent):
+    """A single sweep from the start of one table a cell, as many equal cells, under a fixed parent."""
+    n = 4000
+    seats = language_model.Seats(np.zeros(n, np.int64), np.full(n, c), d,
+                                 (np.zeros(1), np.full(1, others + 1.0)), np.random.default_rng(c))
+    seats.resat(np.full(n, parent))
+    t, chance = table_chances(c, d, others, parent)
+    mean = (t * chance).sum()
+    assert abs(seats.t.mean() - mean) < 0.04 * mean + 4 * seats.t.std() / n ** 0.5 + 0.12 * (mean - 1) * (c > 16)
+    if c <= language_model.EXACT:
+        found = np.bincount(seats.t, minlength=c + 1)[1:] / n
+        assert abs(found - chance).max() < 0.035
+
+
+def test_large_cells_hold_many_tables():
+    """Cells of up to 10^12 customers are drawn too, and more customers never mean fewer tables on average."""
+    means = []
+    for c in (10, 100, 1000, 100_000, 10 ** 12):
+        t = language_model.drawn_tables(np.full(3000, c), np.full(3000, 50), np.full(3000, 0.3), 0.4,
+                                        np.random.default_rng(4))
+        assert (t >= 1).all() and (t <= c).all()
+        means.append(t.mean())
+    assert means[0] > 3 and all(b > a for a, b in zip(means, means[1:]))
 
 
 def test_severity_grades(spark):
