@@ -231,3 +231,18 @@ def test_constant_target_has_no_r2(spark):
     rows = spark.createDataFrame([("a", 1.0, 0.5), ("a", 1.0, 1.5)], "eid string, y double, yhat double")
     row = metrics.regression(rows).head()
     assert row["r2"] is None and row["mae"] == 0.5 and row["rmse"] == 0.5
+
+
+def test_unit_slots_lose_no_unit_and_follow_the_order(spark):
+    """Five units in three slots and a rest; masked units count for nothing, empty slots are flagged."""
+    units = spark.createDataFrame(
+        [(1, u, u != "m") for u in "abcdem"] + [(2, "z", True)], "eid bigint, unit_id string, mask boolean")
+    bins = spark.createDataFrame(
+        [(1, "a", 0, 1), (1, "c", 0, 3), (1, "d", 0, 4), (1, "e", 0, 5), (1, "m", 0, 90), (2, "z", 1, 7)],
+        "eid bigint, unit_id string, bin bigint, n bigint")
+    spans = spark.createDataFrame([(1, 0, 1), (2, 0, 1)], "eid bigint, start_bin bigint, end_bin bigint")
+    got = {(r["eid"], r["bin"]): list(r["x"]) for r in baselines.slot_units(bins, units, spans, 3).collect()}
+    assert got == {(1, 0): [1, 0, 3, 9, 1, 1, 1], (1, 1): [0, 0, 0, 0, 1, 1, 1],
+                   (2, 0): [0, 0, 0, 0, 1, 0, 0], (2, 1): [7, 0, 0, 0, 1, 0, 0]}
+    turned = baselines.slot_units(bins, units, spans, 3, F.col("unit_id").desc()).collect()
+    assert {(r["eid"], r["bin"]): list(r["x"]) for r in turned}[1, 0] == [5, 4, 3, 1, 1, 1, 1]

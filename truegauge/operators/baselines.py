@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from truegauge.functions.stats import slope
@@ -270,6 +270,29 @@ def pool_units(bins: DataFrame, units: DataFrame, spans: DataFrame, regions: Seq
                     F.coalesce("_m", zero).alias("max"), s.alias("sum"), *per_region))
 
 
+def slot_units(bins: DataFrame, units: DataFrame, spans: DataFrame, slots: int, order: Column | str = "unit_id",
+               value: str = "n") -> DataFrame:
+    """Features that depend on the order of units: one slot per unit of a session, then the rest, then a mask.
+
+    Live units of a session take slots 1, 2, ... by ``order``, ties by unit_id; those beyond the last slot
+    are summed in one more value, so none is lost. ``x`` holds ``slots`` + 1 values and ``slots`` flags that
+    tell a silent unit from an empty slot. It is made from the sparse counts, as in ``pool_units``.
+    """
+    live = units.where("mask") if "mask" in units.columns else units
+    rank = F.row_number().over(Window.partitionBy("eid").orderBy(order, "unit_id"))
+    placed = live.select("eid", "unit_id", F.least(rank, F.lit(slots + 1)).alias("_slot"))
+    sizes = placed.groupBy("eid").agg(F.count(F.lit(1)).alias("n_units"))
+    v = F.col(value).cast("double")
+    sums = (bins.join(placed, ["eid", "unit_id"]).groupBy("eid", "bin", "_slot").agg(F.sum(v).alias("_v"))
+            .groupBy("eid", "bin").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_v"))).alias("_held")))
+    zero = F.lit(0.0)
+    held = F.transform(F.sequence(F.lit(1), F.lit(slots + 1)),
+                       lambda i: F.coalesce(F.try_element_at("_held", i), zero))
+    mask = F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda i: (F.col("n_units") >= i).cast("double"))
+    return (session_bins(spans, sizes).join(sums, ["eid", "bin"], "left")
+            .select("eid", "bin", "n_units", F.concat(held, mask).alias("x")))
+
+
 def invariance_gap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Largest difference of two pooled tables per session, unmatched rows counted."""
     features = [c for c in a.columns if c not in ("eid", "bin")]

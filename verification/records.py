@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from truegauge.operators import baselines, binning, integrity, report, splits
+from truegauge.operators import baselines, binning, integrity, moments, report, splits
 from truegauge.plans import contract, protocols
 from truegauge.session import cut_lineage, shared_folder
 from truegauge.sources import artifacts, cache, inventory, runs, sessions, split_store
@@ -523,6 +523,79 @@ UNION ALL SELECT 'bin_width', '6h', true, eid, value FROM rmse
 UNION ALL SELECT 'bin_width', '12h', false, eid, value FROM wide_rmse""")
 
 
+SLOTS, ORDER_STEPS = 3, 4000
+POOLED = ("mean", "std", "max", "sum")
+
+# Both feature sets in both orders of units: order 0 is that of the training, 1 a shuffled one.
+cte("slotted", ("units",), f"""
+SELECT eid, unit_id, turn, least(row_number() OVER (PARTITION BY eid, turn ORDER BY place, unit_id), {SLOTS + 1}) AS slot,
+       count(*) OVER (PARTITION BY eid, turn) AS n_units
+FROM (SELECT eid, unit_id, 0 AS turn, unit_id AS place FROM units
+      UNION ALL SELECT eid, unit_id, 1, md5(eid || ':' || unit_id) FROM units)""")
+cte("order_rows", ("dense", "slotted", "samples", "parts24"), f"""
+SELECT f.level, f.turn, f.eid, f.bin, f.x, s.y, p.part FROM (
+  SELECT 'slots' AS level, turn, eid, bin,
+         [{", ".join(f"coalesce(sum(n) FILTER (WHERE slot = {i}), 0)" for i in range(1, SLOTS + 2))},
+          {", ".join(f"(any_value(n_units) >= {i})::INT" for i in range(1, SLOTS + 1))}]::DOUBLE[] AS x
+  FROM dense JOIN slotted USING (eid, unit_id) GROUP BY turn, eid, bin
+  UNION ALL
+  SELECT 'pooled', turn, eid, bin, [avg(n), stddev_pop(n), max(n), sum(n)]::DOUBLE[]
+  FROM dense, (VALUES (0), (1)) v(turn) GROUP BY turn, eid, bin) f
+JOIN samples s USING (eid, bin) JOIN parts24 p USING (bin) WHERE p.part <> 'gap'""")
+cte("order_long", ("order_rows",), """
+SELECT level, eid, bin, y, j, v, avg(v) OVER (PARTITION BY level, j) AS m FROM (
+  SELECT level, eid, bin, y, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM order_rows
+  WHERE part = 'train' AND turn = 0)""")
+cte("order_moments", ("order_long",), """
+SELECT level, list(row ORDER BY j) AS c, list(cxy ORDER BY j) AS cxy, list(m ORDER BY j) AS m, any_value(my) AS my,
+       sum(row[j]) AS trace
+FROM (SELECT level, j, list(c ORDER BY l) AS row FROM (
+        SELECT a.level, a.j, b.j AS l, avg((a.v - a.m) * (b.v - b.m)) AS c
+        FROM order_long a JOIN order_long b USING (level, eid, bin) GROUP BY ALL) GROUP BY level, j)
+JOIN (SELECT level, j, covar_pop(v, y) AS cxy, any_value(m) AS m, avg(y) AS my FROM order_long GROUP BY level, j)
+USING (level, j) GROUP BY level""")
+cte("order_fits", ("order_moments",), f"""
+WITH RECURSIVE steps AS (
+  SELECT level, 0 AS i, list_transform(cxy, lambda e: 0.0::DOUBLE) AS b FROM order_moments
+  UNION ALL
+  SELECT level, i + 1, list_transform(range(1, len(b) + 1), lambda j: b[j] + (cxy[j] - list_dot_product(c[j], b) - {LAM} * b[j])
+                                      / (trace + {LAM}))
+  FROM steps JOIN order_moments USING (level) WHERE i < {ORDER_STEPS})
+SELECT level, b, m, my FROM steps JOIN order_moments USING (level) WHERE i = {ORDER_STEPS}""")
+
+
+@query("x02_unit_order", sql("order_rows order_fits", """
+SELECT level, count(*) AS n_sessions, round(avg(kept), 6) AS kept_order, round(avg(turned), 6) AS shuffled_order,
+       round(max(abs(turned - kept)), 6) AS max_change FROM (
+  SELECT level, eid, sqrt(avg(e * e) FILTER (WHERE turn = 0)) AS kept, sqrt(avg(e * e) FILTER (WHERE turn = 1)) AS turned
+  FROM (SELECT level, eid, turn, y - my - list_dot_product(x, b) + list_dot_product(m, b) AS e
+        FROM order_rows JOIN order_fits USING (level) WHERE part = 'test') GROUP BY level, eid)
+GROUP BY level"""))
+def _(t: Tables):
+    """Fixed unit slots against pooled units, one split and one kind of fit; then the units are shuffled."""
+    spans = t.within.bin_spans("train", "test")
+    shuffled = F.md5(F.concat_ws(":", F.col("eid").cast("string"), "unit_id"))
+    pooled = baselines.pool_units(t.bins, t.units, spans, []).withColumn("x", F.array(*POOLED))
+    renamed = baselines.pool_units(t.bins.withColumn("unit_id", shuffled), t.units.withColumn("unit_id", shuffled),
+                                   spans, []).withColumn("x", F.array(*POOLED))
+    features = {"pooled": (pooled, renamed),
+                "slots": (baselines.slot_units(t.bins, t.units, spans, SLOTS),
+                          baselines.slot_units(t.bins, t.units, spans, SLOTS, shuffled))}
+    y, table = t.samples.select("eid", "bin", "y"), None
+    for level, (kept, turned) in features.items():
+        train, test = (t.within.rows(kept.join(y, ["eid", "bin"]), part) for part in ("train", "test"))
+        intercept, coef = moments.ridge(train, "x", "y", LAM)
+        line = F.lit(intercept) + moments.dot("x", F.array(*[F.lit(float(c)) for c in coef]))
+        error = F.sqrt(F.avg(F.pow(F.col("y") - line, 2)))
+        again = t.within.rows(turned.join(y, ["eid", "bin"]), "test").groupBy("eid").agg(error.alias("turned"))
+        one = test.groupBy("eid").agg(error.alias("kept")).join(again, "eid").select(
+            F.lit(level).alias("level"), "kept", "turned")
+        table = one if table is None else table.unionByName(one)
+    return rounded(table.groupBy("level").agg(
+        F.count(F.lit(1)).alias("n_sessions"), F.avg("kept").alias("kept_order"), F.avg("turned").alias("shuffled_order"),
+        F.max(F.abs(F.col("turned") - F.col("kept"))).alias("max_change")), "kept_order", "shuffled_order", "max_change")
+
+
 @query("x02_ablations", sql("ablation_runs", """
 SELECT r.factor, r.level, count(r.value) AS n_sessions, round(avg(r.value), 6) AS mean,
        round(avg(r.value - b.value), 6) + 0.0 AS change
