@@ -183,23 +183,21 @@ def prepared(rows: DataFrame, sessions: DataFrame, recipe: Recipe, reps: int, se
     tested = rows.where("part = 'test'").select("eid", "pos", "n_pos", "y", F.col("x").alias("yhat"))
     turned = null_shuffle(tested, reps, seed)  # the features stay with yhat's place, the target rotates
     rotated = moments(turned, ["eid", "rep"], "yhat", "y")
-    cells = rows.groupBy("eid", "part", "cell", "coarse").agg(
-        F.count("y").alias("n"), F.sum("y").alias("s"), F.avg("y").alias("mean"),
-        (F.var_pop("y") * F.count("y")).alias("m2")).join(owner, "eid")
+    cells = structure_cells(rows, owner)
     part = lambda p: each.where(F.col("part") == p).drop("part").join(owner, "eid")
     return Inputs(cut_lineage(with_stacks(known, recipe)), cut_lineage(with_stacks(part("train"), recipe)),
                   cut_lineage(part("test")), cut_lineage(rotated.join(owner, "eid")), cut_lineage(cells))
 
 
-def structure_scores(cells: DataFrame, kind: str, train: Column, test: Column, pool: str | None,
-                     own: str | None) -> DataFrame:
-    """null_trialstruct: the mean target of a test row's cell in the fold's train rows.
+def structure_guesses(cells: DataFrame, train: Column, test: Column, pool: str | None,
+                      own: str | None) -> DataFrame:
+    """Test cells with ``guess``, the mean target of the cell in the fold's train rows.
 
     Empty cells fall back to the coarse cell, then to the pool's mean. What a fold leaves out is subtracted
     from the cell's totals.
     """
     scale = [pool] if pool else []
-    tests = cells.where(test).select("eid", "subject", "lab", "cell", "coarse", "n", "mean", "m2")
+    tests = cells.where(test).select("eid", "subject", "lab", "cell", "coarse", "n", "s", "mean", "m2")
     trains = cells.where(train)
     out = tests
     for level, by in (("cell", ["cell"]), ("coarse", ["coarse"]), ("all", [])):
@@ -214,30 +212,54 @@ def structure_scores(cells: DataFrame, kind: str, train: Column, test: Column, p
             out = out.join(trains.groupBy(own, *by).agg(*minus), [own, *by], "left")
             out = out.withColumns({f"{c}_{level}": F.col(f"{c}_{level}") - F.coalesce(f"{c}0_{level}", F.lit(0))
                                    for c in "ns"})
-    guess = F.coalesce(*[F.when(F.col(f"n_{level}") > 0, F.col(f"s_{level}") / F.col(f"n_{level}"))
-                         for level in ("cell", "coarse", "all")])
-    off = F.col("m2") + F.col("n") * (F.col("mean") - guess) ** 2
-    return out.groupBy("eid").agg(F.sqrt(F.sum(off) / F.sum("n")).alias("value")).select(
+    return out.withColumn("guess", F.coalesce(*[F.when(F.col(f"n_{level}") > 0, F.col(f"s_{level}") / F.col(f"n_{level}"))
+                                                for level in ("cell", "coarse", "all")]))
+
+
+def fold_guesses(cells: DataFrame, kind: str, parts: Mapping[str, DataFrame]) -> DataFrame:
+    """The trial-structure guesses of one kind of split."""
+    in_test = F.col("part") == "test"
+    if kind == "within_session":
+        return structure_guesses(cells, F.col("part") == "train", in_test, None, None)
+    if kind in GROUP_OF:
+        return structure_guesses(cells, F.lit(True), in_test, "subject" if kind == "held_out_session" else None,
+                                 GROUP_OF[kind])
+    sided = cells.join(parts[kind].select("eid", F.col("part").alias("side")), "eid")
+    return structure_guesses(sided, F.col("side") == "train", in_test & (F.col("side") == "test"), None, None)
+
+
+def structure_scores(cells: DataFrame, kind: str, parts: Mapping[str, DataFrame]) -> DataFrame:
+    """null_trialstruct: root mean squared error of the guesses."""
+    off = F.col("m2") + F.col("n") * (F.col("mean") - F.col("guess")) ** 2
+    return fold_guesses(cells, kind, parts).groupBy("eid").agg(F.sqrt(F.sum(off) / F.sum("n")).alias("value")).select(
         F.lit(kind).alias("kind"), F.lit("null_trialstruct").alias("row_kind"), "eid", "value")
 
 
-def contracts(given: Inputs, parts: Mapping[str, DataFrame], recipe: Recipe) -> DataFrame:
-    """(kind, row_kind, eid, value) of all six rows for every kind and tested session.
+def structure_cells(rows: DataFrame, owner: DataFrame) -> DataFrame:
+    """Count, sum, mean and squared deviations of the target per session, part and cell."""
+    return rows.groupBy("eid", "part", "cell", "coarse").agg(
+        F.count("y").alias("n"), F.sum("y").alias("s"), F.avg("y").alias("mean"),
+        (F.var_pop("y") * F.count("y")).alias("m2")).join(owner, "eid")
 
-    ``parts`` has (eid, part) for held_out_region and held_out_config, of checked splits.
+
+Runs = dict[str, list[tuple[DataFrame, DataFrame, str]]]
+
+
+def folds_of(whole: DataFrame, train: DataFrame, test: DataFrame, parts: Mapping[str, DataFrame], recipe: Recipe) -> Runs:
+    """Per kind (models, tested sessions, the key that joins them); every model is fit once.
+
+    The first entry of a kind holds its baseline_ridge. ``test`` needs eid, subject and lab.
     """
-    whole, train, test = given.whole, given.train, given.test
     all_train, all_whole = total(train), total(whole)
     one = lambda df: df.withColumn("fold", F.lit(0))
-    single = whole.sparkSession.createDataFrame([(0,)], "fold int")
+    spark = whole.sparkSession
 
-    def fit_one(sums: Sums, rows: Sequence[str] = FITTED) -> DataFrame:
-        found = [(0, row, float(a), [float(v) for v in b]) for row in rows
-                 for a, b in [recipe.fit(row, sums.moment, sums.stack)]]
-        return single.sparkSession.createDataFrame(found, "fold int, row_kind string, intercept double, coef array<double>")
+    def fit_one(sums: Sums | None, rows: Sequence[str] = FITTED) -> DataFrame:
+        found = [] if sums is None else [
+            (0, row, float(a), [float(v) for v in b]) for row in rows for a, b in [recipe.fit(row, sums.moment, sums.stack)]]
+        return spark.createDataFrame(found, "fold int, row_kind string, intercept double, coef array<double>")
 
-    # Per kind: models by a key of the tested sessions, and those sessions.
-    folds: dict[str, list[tuple[DataFrame, DataFrame, str]]] = {"within_session": [
+    folds: Runs = {"within_session": [
         (fit_one(all_train, ("baseline_ridge", "model")), one(test), "fold"),
         (fits(train, "eid", recipe, ("baseline_multisession",), basis_of=all_train), test, "eid")]}
     mates = whole.join(pooled(whole, "subject").withColumnsRenamed(
@@ -250,30 +272,33 @@ def contracts(given: Inputs, parts: Mapping[str, DataFrame], recipe: Recipe) ->
         inside = total(whole.join(chosen.where("part = 'train'").select("eid"), "eid", "left_semi"))
         outside = test.join(chosen.where("part = 'test'").select("eid"), "eid", "left_semi")
         folds[kind] = [(fit_one(inside), one(outside), "fold")]
+    return folds
+
+
+def ceilings(train: DataFrame, recipe: Recipe) -> DataFrame:
+    """ceiling_within: the ridge of each session's own train part."""
+    return fits(train, "eid", recipe, ("baseline_ridge",)).withColumn("row_kind", F.lit("ceiling_within"))
+
+
+def contracts(given: Inputs, parts: Mapping[str, DataFrame], recipe: Recipe) -> DataFrame:
+    """(kind, row_kind, eid, value) of all six rows for every kind and tested session.
 
-    own = fits(train, "eid", recipe, ("baseline_ridge",)).withColumn("row_kind", F.lit("ceiling_within"))
-    ceiling = cut_lineage(scores(own, test, "eid", "ceiling"))
+    ``parts`` has (eid, part) for held_out_region and held_out_config, of checked splits.
+    """
+    test = given.test
+    ceiling = cut_lineage(scores(ceilings(given.train, recipe), test, "eid", "ceiling"))
     found = []
-    for kind, runs in folds.items():
+    for kind, runs in folds_of(given.whole, given.train, test, parts, recipe).items():
         scored = cut_lineage(reduce(DataFrame.unionByName, [scores(m, t, key, kind) for m, t, key in runs]))
         tested = scored.where("row_kind = 'baseline_ridge'").select("eid")
         models, at, key = runs[0]
         turned = given.rotated.join(at.select("eid"), "eid", "left_semi")
-        turned = one(turned) if key == "fold" else turned
+        turned = turned.withColumn("fold", F.lit(0)) if key == "fold" else turned
         null = scores(models.where("row_kind = 'baseline_ridge'"), turned, key, kind).groupBy("kind", "eid").agg(
             F.avg("value").alias("value")).withColumn("row_kind", F.lit("null_shuffle"))
         found += [scored, null.select("kind", "row_kind", "eid", "value"),
-                  ceiling.join(tested, "eid", "left_semi").select(F.lit(kind).alias("kind"), "row_kind", "eid", "value")]
-        in_test = F.col("part") == "test"
-        if kind == "within_session":
-            cells, learn, pool, mine = given.cells, F.col("part") == "train", None, None
-        elif kind in GROUP_OF:
-            cells, learn, mine = given.cells, F.lit(True), GROUP_OF[kind]
-            pool = "subject" if kind == "held_out_session" else None
-        else:
-            cells = given.cells.join(parts[kind].select("eid", F.col("part").alias("side")), "eid")
-            learn, in_test, pool, mine = F.col("side") == "train", in_test & (F.col("side") == "test"), None, None
-        found.append(structure_scores(cells, kind, learn, in_test, pool, mine).join(tested, "eid", "left_semi"))
+                  ceiling.join(tested, "eid", "left_semi").select(F.lit(kind).alias("kind"), "row_kind", "eid", "value"),
+                  structure_scores(given.cells, kind, parts).join(tested, "eid", "left_semi")]
     return reduce(DataFrame.unionByName, found)
 
 

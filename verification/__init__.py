@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("preprocessing", "splitting", "modelling", "trust", "records", "kinds", "wide")
+MODULES = ("preprocessing", "splitting", "modelling", "trust", "records", "kinds", "choice", "wide")
 
 
 def load_all() -> None:
