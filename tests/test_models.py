@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import planted
+from truegauge.functions.hashing import hash_bucket
 from truegauge.operators import baselines, metrics, nulls, splits
 from truegauge.plans import contract, protocols
 
@@ -177,6 +178,31 @@ def test_shuffle_is_a_rotation_by_at_least_one(spark):
     assert len(seen) > 3
 
 
+@pytest.mark.parametrize("chunk", [1, 4, 7, 100])
+def test_packed_rotation_equals_one_row_per_repetition(spark, chunk):
+    """Gaps, wrapping, sessions of one and two positions, null targets, wide predictions."""
+    places = {"a": (23, [p for p in range(23) if p % 5]), "b": (2, [0, 1]), "c": (1, [0]), "d": (9, [8])}
+    rows = spark.createDataFrame(
+        [(e, p, n, None if p == 3 else float(p), [float(p), 1.0]) for e, (n, at) in places.items() for p in at],
+        "eid string, pos bigint, n_pos bigint, y double, yhat array<double>")
+    got = nulls.null_shuffle(rows, 30, "q", chunk).select("eid", "rep", "pos", "y", "yhat")
+    turn = 1 + hash_bucket(1 << 31, "eid", "rep", F.lit("q")) % (F.col("n_pos") - 1)
+    moved = rows.where("n_pos > 1").select("eid", "pos", "n_pos", "y", F.explode(
+        F.sequence(F.lit(0), F.lit(29))).alias("rep")).select(
+        "eid", F.col("rep").cast("bigint").alias("rep"), "y", F.pmod(F.col("pos") + turn, F.col("n_pos")).alias("pos"))
+    want = moved.join(rows.select("eid", "pos", "yhat"), ["eid", "pos"]).select("eid", "rep", "pos", "y", "yhat")
+    assert got.count() > 300 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_every_repetition_keeps_all_targets(spark):
+    """Five hundred repetitions of a session of four chunks."""
+    rows = spark.range(400).select(F.lit("a").alias("eid"), F.col("id").alias("pos"), F.lit(400).cast("bigint").alias("n_pos"),
+                                   F.col("id").cast("double").alias("y"), F.lit(0.0).alias("yhat"))
+    shuffled = nulls.null_shuffle(rows, 500, "q", 100)
+    assert shuffled.count() == 500 * 400
+    assert shuffled.groupBy("rep").agg(F.sum("y").alias("s")).where("s <> 79800").isEmpty()
+
+
 def test_p_value_counts_nulls_at_least_as_good(spark):
     model = spark.createDataFrame([("a", 0.8)], "eid string, score double")
     null = spark.createDataFrame([("a", s) for s in (0.1, 0.8, 0.9, 0.2)], "eid string, score double")

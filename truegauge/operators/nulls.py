@@ -2,27 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.functions.hashing import hash_bucket
+from truegauge.session import ship_package
 
 
-def null_shuffle(rows: DataFrame, reps: int, seed: str) -> DataFrame:
+#: Positions packed into one row by ``null_shuffle``.
+CHUNK = 8192
+#: Rows that it hands on at once.
+OUT_ROWS = 1 << 16
+
+
+def null_shuffle(rows: DataFrame, reps: int, seed: str, chunk: int = CHUNK) -> DataFrame:
     """Targets rotated against the predictions inside the block of each session, ``reps`` times.
 
     ``rows`` are scored rows of a split with one block per session: eid, pos, n_pos, y,
-    yhat. The shift is 1 .. n_pos - 1 from a hash, and each target moves to its new
-    position by an equi-join on (eid, pos): a long session is spread over its positions.
+    yhat (of any type that has an order), each position at most once. The shift is 1 .. n_pos - 1 from a hash.
+
+    Targets and predictions are packed per ``chunk`` of positions. A target chunk goes once to each prediction
+    chunk that any repetition moves it to, and the repetitions are applied where the two meet: a session of one
+    chunk is moved once whatever ``reps`` is, a longer one at most once per pair of its chunks.
+    Result: eid, pos, yhat, rep, y.
     """
-    shift = 1 + hash_bucket(1 << 31, "eid", "rep", F.lit(seed)) % (F.col("n_pos") - 1)
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
-    moved = (rows.where("n_pos > 1").select("eid", "pos", "n_pos", "y", numbers)
-             .select("eid", F.col("rep").cast("bigint").alias("rep"), "y",
-                     F.pmod(F.col("pos") + shift, F.col("n_pos")).alias("pos")))
-    return rows.select("eid", "pos", "yhat").join(moved, ["eid", "pos"])
+    ship_package(rows.sparkSession)
+    types = dict(rows.dtypes)
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))
+    shifts = F.transform(numbers, lambda rep: 1 + hash_bucket(1 << 31, "eid", rep, F.lit(seed)) % (F.col("n_pos") - 1))
+    number = lambda p: F.floor(p / F.lit(chunk)).cast("bigint")
+    given = rows.where("n_pos > 1").select("eid", F.col("pos").cast("bigint").alias("pos"),
+                                           F.col("n_pos").cast("bigint").alias("n_pos"), "y", "yhat")
+
+    def places(shift: Column) -> Column:
+        first, last = F.pmod(F.col("_low") + shift, F.col("n_pos")), F.pmod(F.col("_high") + shift, F.col("n_pos"))
+        wrapped = F.concat(F.sequence(number(first), number(F.col("n_pos") - 1)),
+                           F.sequence(F.lit(0).cast("bigint"), number(last)))
+        return F.when(first <= last, F.sequence(number(first), number(last))).otherwise(wrapped)
+
+    targets = given.groupBy("eid", "n_pos", number(F.col("pos")).alias("_from")).agg(
+        F.min("pos").alias("_low"), F.max("pos").alias("_high"), F.collect_list(F.struct("pos", "y")).alias("_t"))
+    moved = targets.withColumn("_at", F.explode(F.array_distinct(F.flatten(F.transform(shifts, places)))))
+    held = given.groupBy("eid", number(F.col("pos")).alias("_at")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "yhat"))).alias("_p"))
+    met = moved.join(held, ["eid", "_at"]).select(
+        "eid", "n_pos", F.col("_t.pos").alias("_tpos"), F.col("_t.y").alias("_y"), F.col("_p.pos").alias("_pos"),
+        F.col("_p.yhat").alias("_yhat"), shifts.alias("_shift"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            eid, size, at, y, place, yhat, shift = batch.columns
+            for i in range(batch.num_rows):
+                own, where = at[i].values.to_numpy(), place[i].values.to_numpy()
+                turns, n = shift[i].values.to_numpy(), size[i].as_py()
+                step = max(1, OUT_ROWS // len(own))
+                for begin in range(0, len(turns), step):
+                    to = (own[None, :] + turns[begin:begin + step, None]) % n
+                    found = np.minimum(np.searchsorted(where, to), len(where) - 1)
+                    rep, which = np.nonzero(where[found] == to)
+                    if len(rep):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(eid[i], len(rep)), pa.array(to[rep, which]),
+                             yhat[i].values.take(pa.array(found[rep, which])), pa.array(rep + begin),
+                             y[i].values.take(pa.array(which))], names=["eid", "pos", "yhat", "rep", "y"])
+
+    return met.mapInArrow(run, f"eid {types['eid']}, pos bigint, yhat {types['yhat']}, rep bigint, y {types['y']}")
 
 
 def null_trialstruct(train: DataFrame, test: DataFrame, features: Sequence[str]

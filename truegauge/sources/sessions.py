@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,12 +71,26 @@ def capabilities(tables: Mapping[str, DataFrame]) -> DataFrame:
     parts = None
     for name, df in tables.items():
         one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("capability"), "n_rows", (F.col("n_rows") > 0).alias("present"),
-            F.when(F.col("n_rows") == 0, "no rows").alias("reason"))
+            F.lit(name).alias("capability"), *_present())
         parts = one if parts is None else parts.unionByName(one)
     return parts
 
 
+def _present() -> list[Column]:
+    return [F.col("n_rows"), (F.col("n_rows") > 0).alias("present"), F.when(F.col("n_rows") == 0, "no rows").alias("reason")]
+
+
+def session_capabilities(sessions: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``capabilities`` of every session: a row per session and table, from one grouped count per table."""
+    counts = reduce(DataFrame.unionByName, [
+        df.groupBy("eid").agg(F.count(F.lit(1)).alias("_n")).select("eid", F.lit(name).alias("capability"), "_n")
+        for name, df in tables.items()])
+    names = F.explode(F.array(*[F.lit(n) for n in tables])).alias("capability")
+    every = sessions.select("eid").distinct().select("eid", names)
+    return every.join(counts, ["eid", "capability"], "left").withColumn(
+        "n_rows", F.coalesce("_n", F.lit(0).cast("bigint"))).select("eid", "capability", *_present())
+
+
 def build_manifest(sessions: DataFrame, units: DataFrame, trials: DataFrame,
                    behaviour: DataFrame, insertions: DataFrame) -> DataFrame:
     """One row per session: counts, regions, modalities, probes.

@@ -42,16 +42,24 @@ def _(t: Tables):
                               F.concat_ws(",", "modalities").alias("modalities"))
 
 
-@query("a02_load_session", sql("ev units trial_starts", """
-SELECT capability, n AS n_rows, n > 0 AS present, CASE WHEN n = 0 THEN 'no rows' END AS reason FROM (
-  SELECT 'spikes' AS capability, count(*) AS n FROM ev WHERE eid = 52
-  UNION ALL SELECT 'units', count(*) FROM units WHERE eid = 52
-  UNION ALL SELECT 'trials', count(*) FROM trial_starts WHERE eid = 52
-  UNION ALL SELECT 'behaviour', count(*) FROM ev WHERE eid = 52)"""))
+@query("a02_load_session", sql("ev units trial_starts sessions", """
+SELECT s.eid, c.capability, count(r.eid) AS n_rows, count(r.eid) > 0 AS present,
+       CASE WHEN count(r.eid) = 0 THEN 'no rows' END AS reason
+FROM sessions s CROSS JOIN (VALUES ('spikes'), ('units'), ('trials'), ('behaviour')) c(capability)
+LEFT JOIN (SELECT eid, 'spikes' AS capability FROM ev UNION ALL SELECT eid, 'units' FROM units
+  UNION ALL SELECT eid, 'trials' FROM trial_starts UNION ALL SELECT eid, 'behaviour' FROM ev) r
+  ON r.eid = s.eid AND r.capability = c.capability
+GROUP BY s.eid, c.capability"""))
 def _(t: Tables):
-    tables = {"spikes": t.spikes, "units": t.units, "trials": t.trial_starts,
-              "behaviour": t.behaviour}
-    return sessions.session_of(tables, 52).available
+    """What every session holds, from the tables written to session buckets and read back."""
+    if "_stored_tables" not in t.__dict__:
+        root = shared_folder(t.spark) + "/tables-" + runs.new_run()
+        sessions.write_tables({"spikes": t.spikes, "units": t.units, "trials": t.trial_starts,
+                               "behaviour": t.behaviour}, root, "events", buckets=16)
+        t.__dict__["_stored_tables"] = root
+    stored = {name: sessions.read_table(t.spark, t.__dict__["_stored_tables"], "events", name)
+              for name in ("spikes", "units", "trials", "behaviour")}
+    return sessions.session_capabilities(t.sessions, stored)
 
 
 @query("a03_select_sessions", sql("sessions", """
