@@ -14,7 +14,7 @@ from verification.check import TABLES, compare
 
 FAMILIES = ("a01_manifest", "b01_backend_agreement", "c06_densify", "c12_peri_event", "d06_state_epochs",
             "e05_held_out_region", "e12_interleaved", "g01_shared_bins_trials", "h07_pool_units",
-            "k04_contract_per_session", "l05_transition_lags", "m02_auroc", "n03_capability_report",
+            "k04_contract_choice", "k04_contract_per_session", "l05_transition_lags", "m02_auroc", "n03_capability_report",
             "o08_risk_coverage", "u04_conformal_sets", "z01_untraceable_numerals")
 NAMES = sorted(entry.queries()) if os.environ.get("TRUEGAUGE_ALL") else FAMILIES
 

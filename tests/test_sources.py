@@ -32,6 +32,15 @@ def test_load_session_round_trip_and_pruning(spark, tables, tmp_path):
     assert present == {"spikes": True, "units": True, "trials": False, "behaviour": False}
 
 
+def test_capabilities_of_every_session(spark):
+    eids = spark.createDataFrame([("a",), ("b",)], "eid string")
+    rows = spark.createDataFrame([("a",), ("a",), ("elsewhere",)], "eid string")
+    got = sessions.session_capabilities(eids, {"spikes": rows, "trials": rows.limit(0)}).collect()
+    assert {(r["eid"], r["capability"], r["n_rows"], r["present"], r["reason"]) for r in got} == {
+        ("a", "spikes", 2, True, None), ("a", "trials", 0, False, "no rows"),
+        ("b", "spikes", 0, False, "no rows"), ("b", "trials", 0, False, "no rows")}
+
+
 def test_cache_hit_is_identical_and_version_invalidates(spark, tables, tmp_path):
     root, calls = str(tmp_path), []
 
