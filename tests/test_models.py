@@ -55,6 +55,19 @@ def test_per_session_ridge_matches_numpy(split, signal):
             assert np.isclose(fit["intercept"], icpt) and np.allclose(fit["coef"], coef)
 
 
+def test_constant_feature_has_no_coefficient_at_all(split, signal):
+    _, df = signal
+    rows = df.withColumn("x2", F.lit(0.1))
+    again = rows.repartition(7, "bin")
+    for fit in baselines.fit_per_session(split, rows, ["x1", "x2"], "y", LAM).collect():
+        assert fit["coef"][1] == 0.0  # not 1e-17 of either sign, which would turn the angle
+    one = {r["eid"]: (r["intercept"], r["coef"]) for r in baselines.fit_per_session(split, df, ["x1", "x2"], "y", LAM).collect()}
+    for r in baselines.fit_per_session(split, df.repartition(7, "bin"), ["x1", "x2"], "y", LAM).collect():
+        assert one[r["eid"]] == (r["intercept"], r["coef"])
+    wide = baselines.fit_per_session(split, again.withColumn("x3", F.col("x1") * F.col("x1")), ["x1", "x2", "x3"], "y", LAM)
+    assert all(abs(r["coef"][1]) < 1e-12 for r in wide.collect())
+
+
 def test_reduced_rank_matches_numpy(split, signal):
     rows, df = signal
     xs = ["x1", "x2"]

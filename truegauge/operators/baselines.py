@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from truegauge.functions.stats import slope
-from truegauge.operators.binning import session_bins
+from truegauge.functions.timing import bin_of
+from truegauge.operators.binning import CHUNK_BINS, session_bins
 from truegauge.operators.splits import Split
 from truegauge.session import ship_package
 
@@ -143,8 +144,49 @@ def fit_ridge(split: Split, rows: DataFrame, xs: Sequence[str], y: str, lam: flo
 
 def fit_per_session(split: Split, rows: DataFrame, xs: Sequence[str], y: str,
                     lam: float) -> DataFrame:
-    """A ridge per session on its own train rows: one aggregation, then small solves."""
-    return solve_ridge(gram(split.rows(rows, "train"), ["eid"], xs, y), ["eid"], len(xs), lam)
+    """A ridge per session on its own train rows: centred sums in the order of the bins, then small solves.
+
+    A constant feature has a covariance of zero, not of what products rounded before they were subtracted leave, so
+    that coefficients that are zero have no sign or direction of their own.
+    """
+    d, target = len(xs), F.col(y).cast("double")
+    known = split.rows(rows, "train").select("eid", "bin", *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)],
+                                             target.alias("_y")).withColumn("_chunk", bin_of("bin", CHUNK_BINS))
+    at = ["eid", "_chunk"]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    sums = known.repartition(*at).sortWithinPartitions(*at, "bin").groupBy("eid").agg(
+        F.avg("_y").alias("my"), *[F.avg(f"_x{i}").alias(f"m_{i}") for i in range(d)],
+        *[F.covar_pop("_y", f"_x{i}").alias(f"c_{i}") for i in range(d)],
+        *[F.covar_pop(f"_x{j}", f"_x{i}").alias(f"c_{i}_{j}") for i, j in pairs])
+    c = {(i, j): F.col(f"c_{i}_{j}") + (lam if i == j else 0.0) for i, j in pairs}
+    if d == 1:
+        coef = [F.coalesce(F.try_divide(F.col("c_0"), c[0, 0]), F.lit(0.0))]
+    elif d == 2 and lam > 0:
+        det = c[0, 0] * c[1, 1] - c[0, 1] * c[0, 1]
+        coef = [(F.col("c_0") * c[1, 1] - F.col("c_1") * c[0, 1]) / det,
+                (F.col("c_1") * c[0, 0] - F.col("c_0") * c[0, 1]) / det]
+    else:
+        return _solve_centred(sums, d, lam)
+    intercept = F.col("my")
+    for i in range(d):
+        intercept = intercept - F.col("coef")[i] * F.col(f"m_{i}")
+    return sums.withColumn("coef", F.array(*coef)).select("eid", intercept.alias("intercept"), "coef")
+
+
+def _solve_centred(sums: DataFrame, d: int, lam: float) -> DataFrame:
+    ship_package(sums.sparkSession)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            mx, cxy = (np.stack([batch[f"{c}_{i}"].to_numpy(float) for i in range(d)], axis=1) for c in "mc")
+            cxx = np.empty((len(batch), d, d))
+            for i in range(d):
+                for j in range(i, d):
+                    cxx[:, i, j] = cxx[:, j, i] = batch[f"c_{i}_{j}"].to_numpy(float)
+            coef = np.einsum("nij,nj->ni", np.linalg.pinv(cxx + lam * np.eye(d), hermitian=True), cxy)
+            yield pd.DataFrame({"eid": batch["eid"], "intercept": batch["my"] - (mx * coef).sum(axis=1), "coef": list(coef)})
+
+    return sums.mapInPandas(solve, f"eid {dict(sums.dtypes)['eid']}, intercept double, coef array<double>")
 
 
 def predict_per_key(rows: DataFrame, models: DataFrame, xs: Sequence[str],
