@@ -108,3 +108,49 @@ def test_queries_with_python_workers_run_from_another_folder(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True,
                           timeout=600)
     assert done.stdout.endswith("ran\n"), done.stderr[-2000:]
+
+
+def test_rotated_moments_equal_the_moments_of_rotated_rows(spark):
+    from pyspark.sql import functions as F
+
+    from truegauge.operators import nulls
+
+    draw = np.random.default_rng(5)
+    rows = [(e, p, 41, [float(v) for v in draw.normal(0, 1, 2)] if p != 3 else None, float(draw.normal()) if p != 7 else None)
+            for e in ("a", "b") for p in range(41) if e == "a" or p % 3]
+    rows += [("c", 0, 1, [1.0, 2.0], 3.0)]  # one position cannot be rotated
+    df = spark.createDataFrame(rows, "eid string, pos bigint, n_pos bigint, x array<double>, y double")
+    turned = nulls.null_shuffle(df.withColumnRenamed("x", "yhat"), 5, "s", 8)
+    want = {(r["eid"], r["rep"]): r for r in moments.moments(turned, ["eid", "rep"], "yhat", "y").collect()}
+    got = nulls.rotated_moments(df, 2, 5, "s", 8).collect()
+    assert {r["eid"] for r in got} == {"a", "b"} and len(want) == 10
+    for r in got:
+        for rep in range(5):
+            w = want[r["eid"], rep]
+            assert r["n"][rep] == w["n"]
+            assert np.allclose(r["mean"][3 * rep:3 * rep + 3], w["mean"])
+            assert np.allclose(r["moment"][9 * rep:9 * rep + 9], w["moment"])
+    narrow = {r["rep"]: r for r in moments.narrow_moments(turned, ["rep"], "yhat", "y", 2).select(
+        "*", F.lit(0).alias("_")).collect()}
+    for r in moments.moments(turned, ["rep"], "yhat", "y").collect():
+        assert r["n"] == narrow[r["rep"]]["n"] and np.allclose(r["moment"], narrow[r["rep"]]["moment"])
+
+
+def test_models_that_all_sessions_share_meet_them_without_a_join(spark):
+    from truegauge.plans import kinds
+
+    tests = spark.createDataFrame([(1,), (2,)], "eid bigint")
+    found = kinds.met(tests, [("model", 0.5, [1.0, 2.0])], "")
+    assert sorted(map(tuple, found.collect())) == [(1, "model", 0.5, [1.0, 2.0]), (2, "model", 0.5, [1.0, 2.0])]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert kinds.met(tests, [], "").count() == 0
+    recipe = kinds.Recipe(ridge=(0,), multisession=(0, 1), model=(1, 2), rank=1, lam=LAM)
+    draw = np.random.default_rng(6)
+    some = [Moment.of(draw.normal(0, 1, (9, 4))) for _ in range(3)]
+    n, mean, moment = (np.array([getattr(m, c) for m in some]) for c in ("n", "mean", "moment"))
+    for row, at in (("baseline_ridge", [0]), ("model", [1, 2])):
+        a, b = recipe.fits(row, n, mean, moment, recipe.stacks(n, mean, moment))
+        for i, m in enumerate(some):
+            keep = [*at, 3]
+            one = Moment(m.n, m.mean[keep], m.moment[np.ix_(keep, keep)]).ridge(LAM)
+            assert np.isclose(a[i], one[0]) and np.allclose(b[i][at], one[1]) and np.count_nonzero(b[i]) == len(at)

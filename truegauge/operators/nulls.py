@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truegauge.functions.hashing import hash_bucket
+from truegauge.operators.moments import merged_by
 from truegauge.session import ship_package
 
 
@@ -19,19 +20,9 @@ CHUNK = 8192
 OUT_ROWS = 1 << 16
 
 
-def null_shuffle(rows: DataFrame, reps: int, seed: str, chunk: int = CHUNK) -> DataFrame:
-    """Targets rotated against the predictions inside the block of each session, ``reps`` times.
-
-    ``rows`` are scored rows of a split with one block per session: eid, pos, n_pos, y,
-    yhat (of any type that has an order), each position at most once. The shift is 1 .. n_pos - 1 from a hash.
-
-    Targets and predictions are packed per ``chunk`` of positions. A target chunk goes once to each prediction
-    chunk that any repetition moves it to, and the repetitions are applied where the two meet: a session of one
-    chunk is moved once whatever ``reps`` is, a longer one at most once per pair of its chunks.
-    Result: eid, pos, yhat, rep, y.
-    """
+def _met(rows: DataFrame, reps: int, seed: str, chunk: int) -> DataFrame:
+    """Each chunk of targets beside each chunk of predictions that a repetition moves it to, with all shifts."""
     ship_package(rows.sparkSession)
-    types = dict(rows.dtypes)
     numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))
     shifts = F.transform(numbers, lambda rep: 1 + hash_bucket(1 << 31, "eid", rep, F.lit(seed)) % (F.col("n_pos") - 1))
     number = lambda p: F.floor(p / F.lit(chunk)).cast("bigint")
@@ -49,10 +40,24 @@ def null_shuffle(rows: DataFrame, reps: int, seed: str, chunk: int = CHUNK) -> D
     moved = targets.withColumn("_at", F.explode(F.array_distinct(F.flatten(F.transform(shifts, places)))))
     held = given.groupBy("eid", number(F.col("pos")).alias("_at")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "yhat"))).alias("_p"))
-    met = moved.join(held, ["eid", "_at"]).select(
+    return moved.join(held, ["eid", "_at"]).select(
         "eid", "n_pos", F.col("_t.pos").alias("_tpos"), F.col("_t.y").alias("_y"), F.col("_p.pos").alias("_pos"),
         F.col("_p.yhat").alias("_yhat"), shifts.alias("_shift"))
 
+
+def null_shuffle(rows: DataFrame, reps: int, seed: str, chunk: int = CHUNK) -> DataFrame:
+    """Targets rotated against the predictions inside the block of each session, ``reps`` times.
+
+    ``rows`` are scored rows of a split with one block per session: eid, pos, n_pos, y,
+    yhat (of any type that has an order), each position at most once. The shift is 1 .. n_pos - 1 from a hash.
+
+    Targets and predictions are packed per ``chunk`` of positions. A target chunk goes once to each prediction
+    chunk that any repetition moves it to, and the repetitions are applied where the two meet: a session of one
+    chunk is moved once whatever ``reps`` is, a longer one at most once per pair of its chunks.
+    Result: eid, pos, yhat, rep, y.
+    """
+    types, met = dict(rows.dtypes), _met(rows, reps, seed, chunk)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             eid, size, at, y, place, yhat, shift = batch.columns
@@ -73,6 +78,73 @@ def null_shuffle(rows: DataFrame, reps: int, seed: str, chunk: int = CHUNK) -> D
     return met.mapInArrow(run, f"eid {types['eid']}, pos bigint, yhat {types['yhat']}, rep bigint, y {types['y']}")
 
 
+class Turns:
+    """Centred moments of a block of rows under each rotation: n (runs), mean (runs x k), moment (runs x k x k)."""
+
+    def __init__(self, n, mean, moment) -> None:
+        self.n = np.asarray(n, float)
+        self.mean = np.asarray(mean, float).reshape(len(self.n), -1)
+        self.moment = np.asarray(moment, float).reshape(len(self.n), self.mean.shape[1], -1)
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray, found: np.ndarray, ok: np.ndarray) -> Turns:
+        """Features ``x`` at ``found`` (runs x targets) with the targets, where ``ok``."""
+        both = np.concatenate((x[found], np.broadcast_to(y[None, :, None], (*found.shape, 1))), axis=2)
+        n = ok.sum(axis=1).astype(float)
+        safe, weight = np.maximum(n, 1.0)[:, None], ok[:, :, None]
+        mean = np.where(weight, both, 0.0).sum(axis=1) / safe
+        apart = np.where(weight, both - mean[:, None], 0.0)
+        rest = apart.sum(axis=1) / safe
+        apart = np.where(weight, apart - rest[:, None], 0.0)
+        return cls(n, mean + rest, apart.transpose(0, 2, 1) @ apart)
+
+    def __add__(self, other: Turns) -> Turns:
+        n = self.n + other.n
+        safe, apart = np.maximum(n, 1.0), other.mean - self.mean
+        mean = self.mean + apart * (other.n / safe)[:, None]
+        outer = apart[:, :, None] * apart[:, None, :] * (self.n * other.n / safe)[:, None, None]
+        return Turns(n, mean, self.moment + other.moment + outer)
+
+    def packed(self) -> tuple[np.ndarray, ...]:
+        return self.n, self.mean.ravel(), self.moment.ravel()
+
+
+def rotated_moments(rows: DataFrame, width: int, reps: int, seed: str, chunk: int = CHUNK) -> DataFrame:
+    """(eid, n, mean, moment): moments of features and target under every rotation of ``null_shuffle``, in arrays.
+
+    ``rows`` are as there with an array ``x`` of ``width`` features for ``yhat``; pairs with a null count nowhere. The
+    rotations of a session are summed where its chunks meet and are not made as rows.
+    """
+    known = rows.select("eid", "pos", "n_pos", F.col("y").cast("double").alias("y"),
+                        F.array(*[F.col("x")[i].cast("double") for i in range(width)]).alias("yhat"))
+    kind = dict(rows.dtypes)["eid"]
+    names = ("n", "mean", "moment")
+    schema = "n array<double>, mean array<double>, moment array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            eid, size, at, y, place, yhat, shift = batch.columns
+            out = []
+            for i in range(batch.num_rows):
+                own, where, target = (c[i].values.to_numpy(zero_copy_only=False) for c in (at, place, y))
+                flat = yhat[i].values.flatten()
+                x = flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+                whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width).all(axis=1)
+                turns, n = shift[i].values.to_numpy(), size[i].as_py()
+                given = y[i].values.is_valid().to_numpy(zero_copy_only=False)
+                step, blocks = max(1, OUT_ROWS // len(own)), []
+                for begin in range(0, len(turns), step):
+                    to = (own[None, :] + turns[begin:begin + step, None]) % n
+                    found = np.minimum(np.searchsorted(where, to), len(where) - 1)
+                    blocks.append(Turns.of(x, target, found, (where[found] == to) & whole[found] & given).packed())
+                out.append([np.concatenate(b) for b in zip(*blocks)])
+            yield pa.RecordBatch.from_arrays([eid, *[pa.array([o[c] for o in out], pa.list_(pa.float64())) for c in range(3)]],
+                                             names=["eid", *names])
+
+    near = _met(known, reps, seed, chunk).mapInArrow(run, f"eid {kind}, {schema}")
+    return merged_by(near, ["eid"], names, schema, Turns, Turns.packed)
+
+
 def null_trialstruct(train: DataFrame, test: DataFrame, features: Sequence[str]
                      ) -> DataFrame:
     """Predict from trial structure alone: train means of the features, no neural data.
