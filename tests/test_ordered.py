@@ -140,3 +140,16 @@ def test_epochs_and_lags_shuffle_little(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") <= 5 and epochs.count("Exchange hashpartitioning") <= 4
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from truegauge.operators import ordered
+
+    monkeypatch.setattr(ordered, "TASK_ROWS", 10)
+    rows = spark.range(400).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    assert ordered.tasks_for(rows, 400) == 40 and ordered.tasks_for(rows, 5) is None
+    made = ordered.running(rows, ["k"], ["v"], F.floor(F.col("v") / 50), {"s": ("sum", F.lit(1))}, parts=40)
+    assert made.rdd.getNumPartitions() > 8
+    assert {(r["v"], r["s"]) for r in made.collect()} == {(v, v // 3 + 1) for v in range(400)}

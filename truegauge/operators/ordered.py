@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from truegauge.session import cut_lineage
 
 MIN_CHUNKS = 64
+#: Rows that a task sorts; larger tables get more tasks than there are shuffle partitions.
+TASK_ROWS = 1 << 20
 
 
 def with_halo(df: DataFrame, index: str, chunk: int, back: int = 0, ahead: int = 0) -> DataFrame:
@@ -45,12 +47,13 @@ def with_halo(df: DataFrame, index: str, chunk: int, back: int = 0, ahead: int =
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
             carry: Mapping[str, tuple[str, Column]], *, inclusive: bool = True,
-            reverse: bool = False, back: Mapping[str, tuple[str, Column]] | None = None) -> DataFrame:
+            reverse: bool = False, back: Mapping[str, tuple[str, Column]] | None = None,
+            parts: int | None = None) -> DataFrame:
     """Running sum / max / min / last of each ``carry`` entry, added as a column.
 
     ``order`` has to be a total order inside ``keys`` and ``chunk`` non-decreasing
     in it. ``reverse`` runs from the end; ``back`` has entries that run the other way in the same pass,
-    from the same chunk summaries. ``last`` keeps the latest non-null value, so ``last`` with
+    from the same chunk summaries. ``parts`` deals the rows to so many tasks (``tasks_for``). ``last`` keeps the latest non-null value, so ``last`` with
     ``inclusive=False`` is lag (or lead, reversed).
     """
     # Null keys and a null chunk are groups of their own: flag and value, so that equality finds them
@@ -96,11 +99,19 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
             else:
                 raise ValueError(f"unknown running kind {kind!r}")
 
+    if parts is not None:
+        rows = rows.repartition(parts, *flat)
     ends = rows.groupBy(*flat).agg(*summaries).select(*flat, *carried)
     out = rows.select("*", *local).join(ends, flat)
     return out.select(*df.columns, *merged)
 
 
+def tasks_for(df: DataFrame, rows: int) -> int | None:
+    """Tasks for so many rows, where the shuffle partitions are too few."""
+    wanted = math.ceil(rows / TASK_ROWS)
+    return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def null_keys(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[tuple[str, ...]]]:
     """Columns that are equal exactly where the given ones are null-safe equal, and their names."""
     types, found = dict(df.dtypes), []
@@ -155,15 +166,17 @@ def cumulative_cells(df: DataFrame, keys: Sequence[str], value: str,
     Copies of a value collapse in the map-side aggregation, so ties cannot form a
     hot chunk.
     """
-    cells = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in totals.items()])
+    cells, parts = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in totals.items()]), None
     if chunk is None:
         # The cells are read for the cuts, the chunk sums and the rows: write them once.
-        cells = with_value_chunk(cut_lineage(cells), value)
+        cells = cut_lineage(cells)
+        parts = tasks_for(cells, cells.count())
+        cells = with_value_chunk(cells, value)
     else:
         cells = cells.withColumn("_part", chunk)
     return running(cells, keys, [value], F.col("_part"),
                    {f"before_{n}": ("sum", F.col(n)) for n in totals},
-                   inclusive=False).drop("_part")
+                   inclusive=False, parts=parts).drop("_part")
 
 
 def rank_cells(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
