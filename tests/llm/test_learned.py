@@ -8,6 +8,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,35 @@ def test_pipeline_stages(spark, stages):
 def test_pipeline_run(spark, stages):
     ran = {(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, SF_TINY).collect()}
     assert ran == {(r["doc_id"], r["ids_sha256"]) for r in stages["byte pairs"].collect()}
+
+
+def test_contexts_are_whole_words():
+    """The same word behind two words of one ending is two cells, which share a parent's cell."""
+    row, word, context = language_model.text_tokens(pa.array(["nation x sun-on x NATION x", None]))
+    assert row.tolist() == [0] * 7 + [1] and len(context) == len(word) == 8
+    after = context[[1, 3, 5]]
+    assert after[0] == after[2] != after[1]
+    assert len(set(language_model.parent_context(after))) == 1
+    assert context[0] == context[7] and context[0] not in after
+
+
+def test_language_model_tells_words_of_one_ending_apart(spark):
+    """What follows depends on the whole word before, which two bytes of it don't show; parts meet by exchange."""
+    rows = [(i, " ".join(["nation red" if i % 2 else "potion blue"] * 20)) for i in range(300)]
+    rows += [(1000, "nation red"), (1001, "nation blue")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in language_model.scored(
+        docs, F.col("doc_id") >= 1000, chunk_bytes=3000, parts=5).collect()}
+    assert found[1000] > found[1001] + 2
+
+
+def test_restaurants_of_many_parts_are_added(spark):
+    """Scores differ between numbers of parts by the sampling only, and each word's chances stay the same size."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 30, 40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r["doc_id"]: r for r in language_model.scored(
+        docs, language_model.held_out(), chunk_bytes=size, parts=parts).collect()} for size, parts in ((1 << 20, 1), (700, 9)))
+    for k in one:
+        assert abs(one[k]["score"] / many[k]["score"] - 1) < 0.03
+        assert abs(one[k]["base_score"] - many[k]["base_score"]) < 1e-6 and one[k]["n_known"] == many[k]["n_known"]
