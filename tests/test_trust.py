@@ -1,6 +1,7 @@
 """Uncertainty, shift scores and selective prediction against brute force."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,27 @@ def test_clustered_rows_meet_few_blocks(spark):
     assert near.blocks.agg(F.max("n")).head()[0] <= 150
 
 
+def test_tasks_of_neighbours_hold_bounded_pairs(spark, monkeypatch):
+    """Parts of a cell get smaller with its blocks; a distance matrix is never made whole."""
+    rng = np.random.default_rng(4)
+    known = spark.createDataFrame([(str(i), rng.normal(size=3).tolist()) for i in range(900)], "eid string, x array<double>")
+    monkeypatch.setattr(ood, "MOST_PAIRS", 200)
+    near = ood.Neighbours(known, 20, pivots=1)
+    celled = near.in_cells(near.rows)
+    pairs = near._with_centres(celled, celled, near.blocks, lambda a, b: a[["qid"]].assign(pairs=len(a) * len(b)),
+                               "qid bigint, pairs bigint").collect()
+    assert len(pairs) == 900 and near.blocks.count() > 20 and max(r["pairs"] for r in pairs) < 1500
+
+    rows, block = rng.normal(size=(700, 64)), rng.normal(size=(4096, 64))
+    tracemalloc.start()
+    apart, least = ood._apart(rows, block[:1024]), ood._k_least(rows, block, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    want = np.sqrt(((rows[:20, None] - block[None]) ** 2).sum(axis=2))
+    assert np.allclose(apart[:20], want[:, :1024]) and np.allclose(least[:20], np.sort(want, axis=1)[:, :5])
+
+
 def test_mahalanobis_matches_numpy(clouds):
     train, test, known, asked = clouds
     c = np.array([x for _, x in train])

@@ -90,8 +90,10 @@ def diagonal_distance(train: DataFrame, rows: DataFrame, dim: int, x: str = "x",
 
 # --- nearest neighbours ---------------------------------------------------------------
 
-#: Rows of a block; a task holds a block of each side, or eight while rows are assigned.
+#: Rows of a block; a task holds a block of each side, or two while rows are assigned.
 BLOCK_ROWS = 4096
+#: Distances of rows to block centres that a task holds at once, and numbers of a slice of a distance matrix.
+MOST_PAIRS, _SLICE = 1 << 18, 1 << 20
 #: Vectors of the first level go to all tasks.
 MOST_PIVOTS = 1024
 _SLACK = 1e-9
@@ -104,8 +106,24 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 def _apart(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Distances, a slice of rows at a time."""
     out = np.empty((len(rows), len(centres)))
-    for at in range(0, len(rows), 256):
-        out[at:at + 256] = np.sqrt(((rows[at:at + 256, None, :] - centres[None]) ** 2).sum(axis=2))
+    step = max(1, _SLICE // max(1, centres.size))
+    for at in range(0, len(rows), step):
+        out[at:at + step] = np.sqrt(((rows[at:at + step, None, :] - centres[None]) ** 2).sum(axis=2))
+    return out
+
+
+def _k_least(rows: np.ndarray, block: np.ndarray, k: int) -> np.ndarray:
+    """Distances of each row to its k nearest of a block, in order, a slice of rows at a time."""
+    out, squares = np.empty((len(rows), k)), (block * block).sum(axis=1)
+    step = max(1, _SLICE // max(1, len(block)))
+    for at in range(0, len(rows), step):
+        q = rows[at:at + step]
+        own = (q * q).sum(axis=1)
+        # Near ties of the rough distances are kept beside the k best, then measured exactly.
+        rough = own[:, None] + squares[None] - 2 * q @ block.T
+        border = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-12 * (own + squares.max())
+        for i in range(len(q)):
+            out[at + i] = np.sort(np.sqrt(((block[rough[i] <= border[i]] - q[i]) ** 2).sum(axis=1)))[:k]
     return out
 
 
@@ -171,12 +189,19 @@ class Neighbours:
         return rows.select("qid", "x").mapInPandas(run, "qid bigint, x array<double>, cell int, reach double")
 
     def _with_centres(self, rows: DataFrame, sized: DataFrame, centres: DataFrame, run, schema: str) -> DataFrame:
-        """``run(rows of a cell, its centres)`` for parts of each cell's rows; the centres go to every part."""
-        sizes = sized.groupBy("cell").agg(F.count(F.lit(1)).alias("_rows"))
-        size = 8 * self.block_rows
-        left = rows.join(sizes, "cell").withColumn("_part", _salt(F.col("_rows"), size)).drop("_rows")
+        """``run(rows of a cell, its centres)`` for parts of each cell's rows; the centres go to every part.
+
+        Parts are the smaller, the more centres a cell has, so that a task's pairs don't grow with the table.
+        """
+        held = centres.groupBy("cell").agg(F.count(F.lit(1)).alias("_centres"))
+        count = F.greatest(F.ceil(F.col("_rows") / F.lit(2 * self.block_rows)),
+                           F.ceil(F.col("_rows") * F.col("_centres") / F.lit(MOST_PAIRS)), F.lit(1)).cast("int")
+        sizes = sized.groupBy("cell").agg(F.count(F.lit(1)).alias("_rows")).join(held, "cell").select(
+            "cell", count.alias("_parts"))
+        left = rows.join(sizes, "cell").withColumn("_part", F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int")).drop(
+            "_parts")
         right = centres.join(sizes, "cell").withColumn("_part", F.explode(F.sequence(
-            F.lit(0), F.greatest(F.ceil(F.col("_rows") / F.lit(size)), F.lit(1)).cast("int") - 1))).drop("_rows")
+            F.lit(0), F.col("_parts") - 1))).drop("_parts")
 
         def both(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             found = run(a, b) if len(a) and len(b) else None
@@ -219,20 +244,16 @@ class Neighbours:
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
                 return pd.DataFrame({"qid": np.array([], np.int64), "distance": np.array([], float)})
-            q, c = _matrix(a["x"]), _matrix(b["x"])
+            c = _matrix(b["x"])
             take = min(k, len(c))
-            # Near ties of the rough distances are kept beside the k best, then measured exactly.
-            rough = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * q @ c.T
-            room = 1e-12 * ((q * q).sum(axis=1) + (c * c).sum(axis=1).max())
-            border = np.partition(rough, take - 1, axis=1)[:, take - 1] + room
-            out = [np.sort(np.sqrt(((c[rough[i] <= border[i]] - q[i]) ** 2).sum(axis=1)))[:take] for i in range(len(q))]
-            return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), take), "distance": np.concatenate(out)})
+            out = _k_least(_matrix(a["x"]), c, take)
+            return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), take), "distance": out.ravel()})
 
         parts = [*keys, "_part"]
         return left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(run, "qid bigint, distance double")
 
     def candidates(self, asking: DataFrame) -> DataFrame:
-        """(qid, x, cell, sub, chunk): blocks that may hold a row within ``bound`` of an asking row (qid, x, bound)."""
+        """(qid, cell, sub, chunk): blocks that may hold a row within ``bound`` of an asking row (qid, x, bound)."""
         pivots, reach = self.pivots, self.reach
 
         def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,12 +267,12 @@ class Neighbours:
         def run(rows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
             d = _apart(_matrix(rows["x"]), _matrix(blocks["centre"])) - blocks["radius"].to_numpy()
             i, j = np.nonzero(d <= rows["bound"].to_numpy()[:, None] * (1 + _SLACK) + _SLACK)
-            return pd.DataFrame({"qid": rows["qid"].to_numpy()[i], "x": rows["x"].to_numpy()[i],
-                                 "sub": blocks["sub"].to_numpy()[j], "chunk": blocks["chunk"].to_numpy()[j]})
+            return pd.DataFrame({"qid": rows["qid"].to_numpy()[i], "sub": blocks["sub"].to_numpy()[j],
+                                 "chunk": blocks["chunk"].to_numpy()[j]})
 
         routed = asking.mapInPandas(cells, "qid bigint, x array<double>, bound double, near array<int>").select(
             "qid", "x", "bound", F.explode("near").alias("cell"))
-        return self._with_centres(routed, routed, self.blocks, run, "qid bigint, x array<double>, sub int, chunk int")
+        return self._with_centres(routed, routed, self.blocks, run, "qid bigint, sub int, chunk int")
 
 
 def knn_search(test: DataFrame, near: Neighbours, k: int, x: str = "x") -> tuple[DataFrame, DataFrame]:
@@ -271,7 +292,7 @@ def knn_search(test: DataFrame, near: Neighbours, k: int, x: str = "x") -> tuple
         "bound", F.coalesce("bound", F.lit(float("inf"))))
     keys = ["qid", "cell", "sub", "chunk"]
     more = cut_lineage(near.candidates(known).join(own.select(*keys), keys, "left_anti"))
-    found = first.unionByName(near.met(more, k))
+    found = first.unionByName(near.met(more.join(asking.select("qid", "x"), "qid"), k))
     # Only the k best per row survive, and Spark drops the others before the shuffle.
     rank = F.row_number().over(W.partitionBy("qid").orderBy("distance"))
     best = found.withColumn("_r", rank).where(F.col("_r") <= k).groupBy("qid").agg(
