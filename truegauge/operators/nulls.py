@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,10 @@ def _met(rows: DataFrame, reps: int, seed: str, chunk: int) -> DataFrame:
 
     targets = given.groupBy("eid", "n_pos", number(F.col("pos")).alias("_from")).agg(
         F.min("pos").alias("_low"), F.max("pos").alias("_high"), F.collect_list(F.struct("pos", "y")).alias("_t"))
-    moved = targets.withColumn("_at", F.explode(F.array_distinct(F.flatten(F.transform(shifts, places)))))
+    # In a session of one chunk there is no other place, whatever the shifts are.
+    one = F.array(F.lit(0).cast("bigint"))
+    moved = targets.withColumn("_at", F.explode(F.when(F.col("n_pos") <= chunk, one).otherwise(
+        F.array_distinct(F.flatten(F.transform(shifts, places))))))
     held = given.groupBy("eid", number(F.col("pos")).alias("_at")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "yhat"))).alias("_p"))
     return moved.join(held, ["eid", "_at"]).select(
@@ -78,6 +82,62 @@ def null_shuffle(rows: DataFrame, reps: int, seed: str, chunk: int = CHUNK) -> D
     return met.mapInArrow(run, f"eid {types['eid']}, pos bigint, yhat {types['yhat']}, rep bigint, y {types['y']}")
 
 
+def rotated_errors(rows: DataFrame, reps: int, seed: str, chunk: int = CHUNK) -> DataFrame:
+    """(eid, n, valid, squares): arrays with an entry per rotation of ``null_shuffle``.
+
+    ``n`` counts its rows, ``valid`` those where target and prediction are known, ``squares`` sums their squared
+    differences. The sessions of a batch are rotated together, and no row is made per repetition.
+    """
+    known = rows.select("eid", "pos", "n_pos", F.col("y").cast("double").alias("y"),
+                        F.col("yhat").cast("double").alias("yhat"))
+    kind, names = dict(rows.dtypes)["eid"], ("n", "valid", "squares")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+                             + pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8 * OUT_ROWS, "right")))
+                part = batch.slice(at, stop - at)
+                at = stop
+                eid, size, own, y, place, yhat, shift = part.columns
+                n, turns = size.to_numpy(), shift.flatten().to_numpy().reshape(part.num_rows, -1)
+                owner, holder = (np.repeat(np.arange(part.num_rows), pc.list_value_length(c).to_numpy(
+                    zero_copy_only=False)) for c in (own, place))
+                own, target, where, guess = (c.flatten() for c in (own, y, place, yhat))
+                # Places of all sessions in one ascending order.
+                wide = int(n.max()) + 1
+                keys, own = holder * wide + where.to_numpy(), own.to_numpy()
+                fits, given = (c.is_valid().to_numpy(zero_copy_only=False) for c in (guess, target))
+                guess, target = (c.to_numpy(zero_copy_only=False) for c in (guess, target))
+                out = [np.empty((part.num_rows, turns.shape[1])) for _ in names]
+                for rep in range(turns.shape[1]):
+                    to = owner * wide + (own + turns[owner, rep]) % n[owner]
+                    found = np.minimum(np.searchsorted(keys, to), len(keys) - 1)
+                    met = keys[found] == to
+                    both = np.flatnonzero(met & given & fits[found])
+                    apart = target[both] - guess[found[both]]
+                    for column, of, weight in zip(out, (owner[met], owner[both], owner[both]), (None, None, apart * apart)):
+                        column[:, rep] = np.bincount(of, weight, part.num_rows)
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * turns.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [eid, *[pa.ListArray.from_arrays(offsets, pa.array(c.ravel())) for c in out]], names=["eid", *names])
+
+    near = _met(known, reps, seed, chunk).mapInArrow(
+        run, f"eid {kind}, " + ", ".join(f"{c} array<double>" for c in names))
+    # A session of several chunks has a row per meeting.
+    return near.groupBy("eid").agg(*[F.array(*[F.sum(F.col(c)[rep]) for rep in range(reps)]).alias(c) for c in names])
+
+
+def shuffle_errors(rows: DataFrame, reps: int, seed: str, chunk: int = CHUNK) -> DataFrame:
+    """(eid, rep, n, value): the root mean squared error of every rotation that has rows."""
+    met = rotated_errors(rows, reps, seed, chunk).select("eid", F.posexplode(F.arrays_zip("n", "valid", "squares")))
+    return met.where("col.n > 0").select(
+        "eid", F.col("pos").cast("bigint").alias("rep"), F.col("col.n").cast("bigint").alias("n"),
+        F.sqrt(F.try_divide("col.squares", "col.valid")).alias("value"))
+
+
 class Turns:
     """Centred moments of a block of rows under each rotation: n (runs), mean (runs x k), moment (runs x k x k)."""
 

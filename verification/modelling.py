@@ -384,10 +384,7 @@ SELECT eid, rep, count(*) AS n, sqrt(avg((y - yhat) ** 2)) AS value FROM shuffle
 
 
 def shuffle_rmse(t: Tables):
-    rows = nulls.null_shuffle(preds(t), REPS, "n1")
-    err = F.col("y") - F.col("yhat")
-    return rows.groupBy("eid", "rep").agg(F.count(F.lit(1)).alias("n"),
-                                          F.sqrt(F.avg(err * err)).alias("value"))
+    return nulls.shuffle_errors(preds(t), REPS, "n1")
 
 
 @query("k01_null_shuffle", sql("shuffle_rmse", """
