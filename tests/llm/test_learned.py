@@ -83,6 +83,54 @@ def test_seating_stays_consistent_and_sums_to_one():
         assert abs(p.sum() + unknown[0] - 1) < 1e-9
 
 
+def test_cells_without_customers_change_nothing():
+    """Cells that only held-out texts have lie among the others and get what an unseen cell is answered."""
+    rng = np.random.default_rng(6)
+    counts = [(w, c << 17 | c % 90, int(rng.integers(1, 9))) for w in range(1, 30)
+              for c in rng.choice(200, 5, replace=False).tolist()]
+    taken = {c[:2] for c in counts}
+    extra = [(w, c << 17 | c % 90, 0) for w in range(20, 40) for c in range(150, 260, 7)]
+    extra = [c for c in extra if c[:2] not in taken]
+    alone, base, mixed, parts = part_of(counts), 1 / 30, sorted([*counts, *extra]), []
+    both = part_of(mixed)
+    for part in (alone, language_model.Part.restored(both.stored(), (0.6, 0.5, 0.4), 3)):
+        for _ in range(3):
+            sums = part.sums()
+            part.set_totals([(sums[2 * i], sums[2 * i + 1]) for i in range(3)])
+            part.sweep(base)
+        sums = part.sums()
+        part.set_totals([(sums[2 * i], sums[2 * i + 1]) for i in range(3)])
+        parts.append(sums)
+    assert all((a == b).all() for a, b in zip(parts[0][2:], parts[1][2:]))
+    words, context = np.array([c[0] for c in mixed], np.uint64), np.array([c[1] for c in mixed])
+    distinct, first, context, _ = language_model.cells_of(words, context)
+    p, known = alone.asked(distinct, first, context, base)
+    assert np.allclose(part.shares(base)[0], p, rtol=1e-12) and (part.totals == known).all()
+
+
+def test_packed_numbers_take_little_room():
+    rng = np.random.default_rng(1)
+    rows, hashes = rng.integers(0, 600, 20_000, np.uint32), np.sort(rng.integers(0, 1 << 63, 20_000, np.int64))
+    assert len(language_model.pack(rows)) < 1.4 * len(rows)
+    assert len(language_model.pack(language_model.gaps(hashes))) < 6.6 * len(hashes)
+    arrays = [rows, rows[:0], language_model.gaps(hashes), np.zeros(7, np.uint32), rng.random(50)]
+    back = language_model.unpack(language_model.pack(*arrays), *(a.dtype for a in arrays))
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, back))
+
+
+def test_texts_and_cells_move_once(spark, tmp_path):
+    """The answer neither reads a text again nor moves cells that lie in buckets, and no chunk size changes it."""
+    docs = queries.read(spark, SF_TINY, "documents")
+    found = language_model.scored(docs, language_model.held_out())
+    found.write.parquet(str(tmp_path / "found"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "Bucketed: true" in plan
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    rows = {r["doc_id"]: r for r in spark.read.parquet(str(tmp_path / "found")).collect()}
+    for r in language_model.scored(docs, language_model.held_out(), chunk_bytes=5000).collect():
+        assert abs(r["score"] - rows[r["doc_id"]]["score"]) < 1e-6 and r["n_known"] == rows[r["doc_id"]]["n_known"]
+
+
 def table_chances(c, d, others, parent, most=800):
     """P(tables) of one cell by the recursion of the generalized Stirling numbers, in logarithms."""
     t = np.arange(1, min(c, most) + 1)
