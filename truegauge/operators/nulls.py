@@ -21,11 +21,17 @@ CHUNK = 8192
 OUT_ROWS = 1 << 16
 
 
+def turns_of(reps: int, seed: str) -> Column:
+    """How far each repetition rotates a session of ``n_pos`` positions, 1 .. n_pos - 1."""
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))
+    most = F.greatest(F.col("n_pos") - 1, F.lit(1))
+    return F.transform(numbers, lambda rep: 1 + hash_bucket(1 << 31, "eid", rep, F.lit(seed)) % most)
+
+
 def _met(rows: DataFrame, reps: int, seed: str, chunk: int) -> DataFrame:
     """Each chunk of targets beside each chunk of predictions that a repetition moves it to, with all shifts."""
     ship_package(rows.sparkSession)
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))
-    shifts = F.transform(numbers, lambda rep: 1 + hash_bucket(1 << 31, "eid", rep, F.lit(seed)) % (F.col("n_pos") - 1))
+    shifts = turns_of(reps, seed)
     number = lambda p: F.floor(p / F.lit(chunk)).cast("bigint")
     given = rows.where("n_pos > 1").select("eid", F.col("pos").cast("bigint").alias("pos"),
                                            F.col("n_pos").cast("bigint").alias("n_pos"), "y", "yhat")
